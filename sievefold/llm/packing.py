@@ -191,7 +191,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int
         other = at.get(capacity - int(sizes[k]))
         if other not in (None, k) and columns[k][other]:
             inverse[other, k] = -inverse[other, other]
-    for _ in range in range(max_columns):
+    for _ in range(max_columns):
         duals = costs @ inverse
         surplus = int(duals.argmin())
         value, pattern = best_pattern(np.maximum(duals, 0), sizes, capacity)

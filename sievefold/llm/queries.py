@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievefold.llm import decontam, packing, pii, quality, simhash, substrings, tokens
+from sievefold.llm import chat, decontam, packing, pii, quality, secrets, simhash, substrings, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(chat.format_chats(chat.planted(_read(spark, sf_dir, "conversations"))))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.find_secrets(_read(spark, sf_dir, "documents")))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(_read(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))[1].withColumnRenamed("id", "doc_id")
 
@@ -41,6 +53,14 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_substrings, op6_packing, op7_simhash, op8_pii, op9_tokens, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_secrets, op4_substrings, op5_warc, op6_packing, op7_simhash, op8_pii, op9_tokens, op10_decontam)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS target FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> target THEN target END AS refers_to, true AS verified
+        FROM d""",
+}

@@ -9,11 +9,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievefold.llm.components import components
-from sievefold.llm.shared import keep_columns, slices, table
+from sievefold.llm.shared import keep_columns, slices, table, text_key
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: For a byte, a 64-bit word whose eight lanes hold its bits, lowest lane first.
@@ -69,12 +69,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp as signed long) of each row, in one narrow pass over whole texts."""
     inner = keep_columns(docs, {"id": id_col, "text": text_col})
 
+    return _fingerprints(inner, rules)
+
+
+def _fingerprints(inner: DataFrame, rules: SimhashRules) -> DataFrame:
+    """``inner`` has text and other columns, which are kept."""
+    others = [c for c in inner.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", rules.batch_bytes):
             found = [fingerprint(shingle_hashes(t or "", rules.shingle, rules.seed)) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, others), pa.array(np.array(found, np.uint64).view(np.int64))], names=[*others, "fp"])
 
-    return inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in others)
+    return inner.mapInArrow(run, f"{kinds}, fp long")
 
 
 def _parts(fp: Column, segments: int) -> list[Column]:
@@ -96,24 +104,28 @@ def _steps(segments: int, radius: int) -> list[int]:
 def spanning(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest with the components of all links between a and b.
 
-    Exclusive-or and bit counts of all pairs, some rows at a time. A row's
-    links are reduced to one for each component that it joins.
+    Exclusive-or and bit counts of all pairs, some rows at a time; over a wide
+    radius the nearer half first. A row's links are reduced to the nearest one
+    for each component that it joins.
     """
     nodes = np.concatenate([a, b])
     label = np.arange(len(nodes))
-    rows = max(1, (1 << 20) // max(1, len(b)))
+    rows = max(1, (1 << 19) // max(1, len(b)))
     left, right = [], []
-    for at in range(0, len(a), rows):
-        near = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
-        for i in np.flatnonzero(near.any(1)).tolist():
-            mine = label[at + i]
-            others = np.flatnonzero(near[i]) + len(a)
-            roots, first = np.unique(label[others], return_index=True)
-            for root, k in zip(roots.tolist(), first.tolist(), strict=True):
-                if root != mine:
-                    label[label == root] = mine
-                    left.append(at + i)
-                    right.append(int(others[k]))
+    for reach in (radius,) if radius < 4 else (radius // 2, radius):
+        for at in range(0, len(a), rows):
+            apart = np.bitwise_count(a[at : at + rows, None] ^ b[None, :])
+            near = apart <= reach
+            for i in np.flatnonzero(near.any(1)).tolist():
+                mine = label[at + i]
+                others = np.flatnonzero(near[i])
+                others = others[np.argsort(apart[i, others], kind="stable")] + len(a)
+                roots, first = np.unique(label[others], return_index=True)
+                for root, k in zip(roots.tolist(), first.tolist(), strict=True):
+                    if root != mine:
+                        label[label == root] = mine
+                        left.append(at + i)
+                        right.append(int(others[k]))
     return nodes[left], nodes[right]
 
 
@@ -167,3 +179,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = named.join(ids, "root").select("fp", "component_id")
     out = prints.join(of_fp, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Groups for filtering: five-word shingles, candidates within 12 bits in total, verified.
+DEDUP = SimhashRules(shingle=5, radius=12, segments=1)
+
+
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, rules: SimhashRules) -> DataFrame:
+    """The edges (a, b) whose fingerprints' texts share enough distinct shingles (Jaccard).
+
+    ``docs`` has fp and text, one text for each fingerprint.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", rules.batch_bytes):
+            found = [np.unique(shingle_hashes(t or "", rules.shingle, rules.seed)).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "shingles"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keep = []
+            for k in range(part.num_rows):
+                x, y = (np.frombuffer(part.column(c)[k].as_buffer(), np.int64) for c in ("x", "y"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    shingles = table(docs.join(ends, "fp", "left_semi").select("fp", "text").mapInArrow(sets, "fp long, shingles binary"), "shingles")
+    x = shingles.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    y = shingles.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimhashRules = DEDUP, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns.
+
+    Equal fingerprints are one group; links between others, nearest first, hold
+    if the texts' distinct shingles have the similarity. The smallest id of a group
+    stays (null ids only if there is no other), of equal ids the smallest text
+    hash, of equal rows one. Texts without a word are one group.
+    """
+    inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumn("key", text_key("id", "text"))
+    prints = table(_fingerprints(inner, rules), "prints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    edges = table(links(nodes.select("fp"), rules).distinct(), "links")
+    reps = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", F.col("least.id").alias("rep_id"), F.col("least.key").alias("rep_key"))
+    texts = inner.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("fp", "text").dropDuplicates(["fp"])
+    roots = components(verified(edges, texts, similarity, rules))
+    best = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    stay = best.select(F.col("least.id").alias("stay_id"), F.col("least.key").alias("stay_key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_key(f"`{id_col}`", f"`{text_col}`").alias("key"))
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    return kept.withColumn("n", first).filter("n = 1").select("row.*")
