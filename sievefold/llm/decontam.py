@@ -28,9 +28,9 @@ class DecontamRules:
     """
 
     masks: tuple[str, ...] = ("1101110111", "1110010110101")
-    stride: int = 2
-    min_score: int = 13
-    penalty: int = 2
+    stride: int = 1
+    min_score: int = 10
+    penalty: int = 1
     broadcast_rows: int = 1_000_000
 
 
