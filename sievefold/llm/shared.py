@@ -43,6 +43,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does as the JVM collects their handles."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, wherever it is."""
     jvm = spark.sparkContext._jvm

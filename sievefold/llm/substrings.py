@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, slices, split_words, table
+from sievefold.llm.shared import keep_columns, settle, slices, split_words, table
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -32,7 +33,9 @@ class SubstringRules:
 
     def levels(self) -> list[int]:
         """start, 2 start, 4 start, ... up to the window."""
-        out = [min(self.start, self.window)]
+        if not 0 < self.start < self.window < 2048:
+            raise ValueError("the first level must be shorter than the window, and the window than 2048 words")
+        out = [self.start]
         while out[-1] < self.window:
             out.append(min(2 * out[-1], self.window))
         return out
@@ -103,25 +106,34 @@ def _local(positions: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]
     return rows, positions - texts.first[rows]
 
 
+_SHIFT = 1 << 12  # a run of windows is start * _SHIFT + length in one long
+
+
 def _given(batch: pa.RecordBatch, texts: Texts, column: str) -> np.ndarray:
-    """Marks at the positions that ``column`` lists for each text."""
+    """Marks at the positions in the runs that ``column`` lists for each text."""
     lists = batch.column(column)
-    marks = np.zeros(len(texts.rows) + 1, bool)
-    rows = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    marks[pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False) + texts.first[rows]] = True
-    return marks
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    starts, lengths = np.divmod(pc.list_flatten(lists).to_numpy(zero_copy_only=False), _SHIFT)
+    delta = np.zeros(len(texts.rows) + 1, np.int64)
+    np.add.at(delta, starts + texts.first[rows], 1)
+    np.add.at(delta, starts + texts.first[rows] + lengths, -1)
+    return np.cumsum(delta) > 0
 
 
 def _rows_of(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(c).take(pa.array(rows)) for c in ("k1", "k2")]
 
 
-def _repeated(places: DataFrame, by: list[str]) -> DataFrame:
-    """(k1, k2, list of at) of the places whose hash occurs twice or more."""
-    places = table(places, "places")
+def _gathered(runs: DataFrame) -> DataFrame:
+    """(k1, k2, places): the runs of each document."""
+    return runs.groupBy("k1", "k2").agg(F.collect_set("run").alias("places"))
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """The places (k1, k2, run) whose hash h occurs twice or more."""
     # partial counts before the shuffle; the join splits a hash that very many places share
-    often = places.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return places.join(often, by, "left_semi").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    return places.join(often, "h", "left_semi").select("k1", "k2", "run")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SubstringRules = SubstringRules()) -> DataFrame:
@@ -133,9 +145,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice the length are tried, up to the whole window, so that most text is out after
     the first level. The last level has hashes of 128 bits.
 
-    Texts are shuffled once for each later level and once for the result, by a
+    At the last level the windows that picked one sub-window stand side by side
+    and are first compared as a whole, by the hashes of the first and the last
+    of them; what isn't settled so is compared window by window, with one
+    specimen of each settled group of the same sub-window. Both have 128 bits.
+
+    Texts are shuffled for each level after the first and for the result, by a
     hash of id and text. Positions of one document are gathered, never those
-    of one hash; each level's places are written to the shared folder. Rows with equal id and text count as two texts and get equal
+    of one hash; each level's places are written to the shared folder.
+    Rows with equal id and text count as two texts and get equal
     results; null ids are kept apart from others; null and empty texts have
     no words; an empty table gives an empty result; other columns are ignored.
     """
@@ -146,34 +164,48 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_kind = inner.schema["id"].dataType.simpleString()
     window, size = rules.window, rules.batch_bytes
 
+    def out(part: pa.RecordBatch, held: Texts, start: np.ndarray, n, **hashes: np.ndarray) -> pa.RecordBatch:
+        rows, at = _local(start, held)
+        return pa.RecordBatch.from_arrays([*_rows_of(part, rows), pa.array(at * _SHIFT + n), *(pa.array(h.view(np.int64)) for h in hashes.values())], names=["k1", "k2", "run", *hashes])
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", size):
             held = Texts(part.column("text"))
             _, picked, h = held.anchors(levels[0], window)
             picked = np.unique(picked)
-            rows, at = _local(picked, held)
-            yield pa.RecordBatch.from_arrays([*_rows_of(part, rows), pa.array(at.astype(np.int32)), pa.array(h[picked].view(np.int64))], names=["k1", "k2", "at", "h"])
+            yield out(part, held, picked, 1, h=h[picked])
 
-    def middle(length: int, before: int):
+    def longer(length: int, before: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text", size):
                 held = Texts(part.column("text"))
-                alive = _given(part, held, "places")
-                at, picked, _ = held.anchors(before, window)
-                at = at[alive[picked]]
-                if length < window:
-                    _, longer, h = held.anchors(length, window)
-                    starts = held.starts(window)
-                    place = np.unique(longer[np.isin(starts, at)])
-                    one, two = h[place], h[place]
-                else:
-                    place = at
-                    one, two = window_hashes(held.one, window)[at], window_hashes(held.two, window)[at]
-                rows, local = _local(place, held)
-                yield pa.RecordBatch.from_arrays([*_rows_of(part, rows), pa.array(local.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["k1", "k2", "at", "h", "h2"])
+                _, picked, _ = held.anchors(before, window)
+                _, place, h = held.anchors(length, window)
+                place = np.unique(place[_given(part, held, "places")[picked]])
+                yield out(part, held, place, 1, h=h[place])
 
         return run
 
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", size):
+            held = Texts(part.column("text"))
+            at, picked, h = held.anchors(levels[-2], window)
+            alive = _given(part, held, "places")[picked]
+            at, picked = at[alive], picked[alive]
+            new = np.r_[True, picked[1:] != picked[:-1]][: len(at)]
+            low, n = at[new], np.bincount(np.cumsum(new) - 1, minlength=int(new.sum()))
+            one, two = window_hashes(held.one, window), window_hashes(held.two, window)
+            yield out(part, held, low, n, h=h[picked[new]], s1=_join(one[low], one[low + n - 1]), s2=_join(two[low], two[low + n - 1] + n.astype(np.uint64)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", size):
+            held = Texts(part.column("text"))
+            one, two = window_hashes(held.one, window), window_hashes(held.two, window)
+            for column, settled in (("once", 0), ("often", 1)):
+                at = np.flatnonzero(_given(part, held, column))
+                got = out(part, held, at, 1, s1=one[at], s2=two[at])
+                yield got.append_column("settled", pa.array(np.full(len(at), settled, np.int32)))
+
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", size):
             held = Texts(part.column("text"))
@@ -191,11 +223,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    places = "k1 long, k2 long, at int, h long"
-    found = _repeated(inner.select("k1", "k2", "text").mapInArrow(first, places), ["h"])
-    for before, length in zip(levels, levels[1:], strict=False):
-        joined = inner.join(found, ["k1", "k2"]).select("k1", "k2", "text", "places")
-        found = _repeated(joined.mapInArrow(middle(length, before), f"{places}, h2 long"), ["h", "h2"])
-    marked = inner.join(found, ["k1", "k2"], "left").select("id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    out = marked.mapInArrow(last, f"id {id_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    spark, run = docs.sparkSession, "k1 long, k2 long, run long"
+    empty = F.array().cast("array<long>")
+    texts = inner.select("k1", "k2", "text")
+    found = _gathered(_repeated(table(texts.mapInArrow(first, f"{run}, h long"), "places")))
+    for before, length in zip(levels, levels[1:-1], strict=False):
+        found = _gathered(_repeated(table(texts.join(found, ["k1", "k2"]).mapInArrow(longer(length, before), f"{run}, h long"), "places")))
+    spans = table(texts.join(found, ["k1", "k2"]).mapInArrow(groups, f"{run}, h long, s1 long, s2 long"), "groups")
+    settle(spark)
+    counted = table(spans.groupBy("h", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "run")).alias("one")), "spans")
+    open_ = counted.filter("c = 1").select("h").distinct()
+    tried = counted.join(open_, "h", "left_semi").groupBy("one.k1", "one.k2").agg(*[F.collect_set(F.when(test, F.col("one.run"))).alias(n) for n, test in (("once", F.col("c") == 1), ("often", F.col("c") > 1))])
+    windows = table(texts.join(tried, ["k1", "k2"]).mapInArrow(each, f"{run}, s1 long, s2 long, settled int"), "windows")
+    settle(spark)
+    often = windows.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("settled").alias("settled")).filter("n > 1 or settled = 1").select("s1", "s2")
+    some = windows.filter("settled = 0").join(often, ["s1", "s2"], "left_semi").select("k1", "k2", "run")
+    whole = spans.join(counted.filter("c > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("k1", "k2", "run")
+    marked = inner.join(_gathered(some.unionAll(whole)), ["k1", "k2"], "left").select("id", "text", F.coalesce("places", empty).alias("places"))
+    result = marked.mapInArrow(last, f"id {id_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return result.withColumnRenamed("id", id_col)
