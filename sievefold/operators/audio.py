@@ -101,7 +101,7 @@ def map_to_rows(shifts: DataFrame, n: int, length: int) -> DataFrame:
     """
     half = max(length // n, 1) // 2
     first = F.floor((F.col("idx") - half) * F.lit(n) / F.lit(length)).cast("long") - 1
-    last = F.ceil((F.col("idx") + half) * F.lit(n) / F.lit(length)).cast("long") + 1
+    last = F.ceil((F.col("idx") + half + 1) * F.lit(n) / F.lit(length)).cast("long") + 1
     near = shifts.select("idx", "shift", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(n - 1).cast("long")))).alias("row_id"))
     at = F.floor(F.col("row_id") * F.lit(length) / F.lit(n)).cast("long")
     inside = (F.col("idx") >= at - half) & (F.col("idx") <= at + half)

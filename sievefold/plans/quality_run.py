@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievefold.operators import audio, rules, shift, spectral
 from sievefold.operators.detectors import ConsensusDetector
 from sievefold.operators.joins import union_all, without_flagged
-from sievefold.operators.rowid import limit_lines
+from sievefold.operators.rowid import limit_lines, with_row_id
 
 
 @dataclass(frozen=True)
@@ -40,17 +40,16 @@ class QualityRun:
         for c in self.columns:
             signals.append(audio.track(df, self.key, c, p).select(F.lit(c).alias("column_name"), "idx", "value"))
             own = flagged.select("row_id").join(df.select(F.col(self.key).alias("row_id"), F.col(c).cast("double").alias("value")), "row_id")
-            # flagged rows keep their order; their number is bounded by the consensus, about 5 in 100
-            from sievefold.operators.rowid import with_row_id
-
             at = with_row_id(own, ["row_id"], "idx").select("idx", "value")
             made = audio.anomaly_track(at, self.rate, 1.0, self.samples_per_second)
             if made is not None:
                 noise.append(made.select(F.lit(c).alias("column_name"), "idx", "value"))
+        # both tracks are cut to the shorter, and its shifts are stretched over all rows
+        length = min(p.samples, audio.audio_params(flagged.count(), self.rate, 1.0, None, self.samples_per_second).samples)
         if not noise:
             return df.select(F.col(self.key).alias("row_id"), F.lit(0.0).alias("score"))
         shifts = spectral.filter_columns(union_all(signals), union_all(noise)).select("column_name", "idx", F.col("shift"))
-        rows = union_all([audio.map_to_rows(shifts.filter(F.col("column_name") == c), n, p.samples) for c in self.columns])
+        rows = union_all([audio.map_to_rows(shifts.filter(F.col("column_name") == c), n, length) for c in self.columns])
         return shift.row_scores(rows)
 
     def clean(self, df: DataFrame, scores: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def null_nan(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None, schema=None) -> DataFrame:
     """Header, inferred or given types; pruned columns; null for NaN."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("nanValue", "nan")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if encoding:
         reader = reader.option("encoding", encoding)
