@@ -157,5 +157,9 @@ def joined(spans: Column) -> Column:
 def pii_digest(found: DataFrame, kinds: Sequence[str] = BASE) -> DataFrame:
     """Counts by kind and a digest of the base spans."""
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(kinds)]
+
+    def of_kind(rank: int) -> Column:  # a second parameter of the lambda would be the element's place
+        return F.filter("spans", lambda s: s["rank"] == rank)
+
+    counts = [F.size(of_kind(KINDS.index(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
