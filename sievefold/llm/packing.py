@@ -31,7 +31,7 @@ class PackingRules:
     max_columns: int = 1200
     rank_rows: int = 200_000
     batch_bytes: int = 4 << 20
-    cache_chunks: int = 300_000
+    cache_chunks: int = 500_000
 
 
 class ChunkTokenizer:
@@ -52,6 +52,8 @@ class ChunkTokenizer:
         space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
         quoted = "|".join("".join("\\" + c if not c.isalnum() else c for c in t) for t in specials)
         self.odd = f"{space}\\x20|\\x20{space}|^\\x20|\\x20$" + (f"|{quoted}" if quoted else "")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -63,20 +65,36 @@ class ChunkTokenizer:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def places(self, chunks: list[str]) -> np.ndarray:
+    def encode_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, ids of each), for chunks that open with a blank.
+
+        They are encoded as one text; a byte-level id stands for a known number
+        of bytes, so the bytes of each chunk tell which ids are its own.
+        """
+        ids = np.array(self.encode(["".join(chunks)])[0], np.uint32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        last = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "left") + 1
+        return ids, np.diff(last, prepend=0)
+
+    def places(self, chunks: list[str], joined: bool) -> np.ndarray:
         """Numbers of the chunks in ``ids``; the new ones are encoded."""
         index = self.index
         missing = [c for c in chunks if c not in index]
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            for chunk, ids in zip(some, self.encode(some), strict=True):
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                index[chunk] = len(self.ends) - 1
-                self.ends.append(self.used)
-        return np.fromiter((index[c] for c in chunks), np.int64, len(chunks))
+        for at in range(0, len(missing), 2_000):
+            some = missing[at : at + 2_000]
+            if joined:
+                ids, counts = self.encode_joined(some)
+            else:
+                each = self.encode(some)
+                ids, counts = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
+            self.ids[self.used : self.used + len(ids)] = ids
+            first = len(self.ends) - 1
+            index.update(zip(some, range(first, first + len(some)), strict=True))
+            self.ends.extend((np.cumsum(counts) + self.used).tolist())
+            self.used += len(ids)
+        return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; ids of each text)."""
@@ -94,8 +112,8 @@ class ChunkTokenizer:
         start_codes = np.unique(codes[first])
         inner_codes = np.unique(codes[~first])
         at_start, inside = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        at_start[start_codes] = self.places([words[k] for k in start_codes.tolist()])
-        inside[inner_codes] = self.places([" " + words[k] for k in inner_codes.tolist()])
+        at_start[start_codes] = self.places([words[k] for k in start_codes.tolist()], False)
+        inside[inner_codes] = self.places([" " + words[k] for k in inner_codes.tolist()], True)
         place = np.where(first, at_start[codes], inside[codes])
         ends = np.array(self.ends)
         lengths = ends[place + 1] - ends[place]
