@@ -7,7 +7,9 @@ from pathlib import Path
 import pytest
 
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 TESTDATA = Path("/root/testdata/sf0.001")
 
 
