@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Groups for filtering: five-word shingles, candidates within 12 bits in total, verified.
-DEDUP = SimhashRules(shingle=5, radius=12, segments=1)
+#: Groups for filtering: five-word shingles, candidates within 13 bits, verified.
+DEDUP = SimhashRules(shingle=5, radius=13, segments=1)
 
 
 def verified(edges: DataFrame, docs: DataFrame, similarity: float, rules: SimhashRules) -> DataFrame:
