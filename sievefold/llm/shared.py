@@ -32,6 +32,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sievefold/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -40,6 +43,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +59,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what ``table`` has written in this process; results that read it must be stored before."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
 def text_key(id_col: str, text_col: str) -> Column:
     """With the id, tells rows apart that share an id; equal rows share it."""
     return F.xxhash64(F.col(id_col).isNull(), F.col(text_col))

@@ -22,3 +22,15 @@ def test_stages(spark, sf):
 
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_written_tables_can_be_dropped(spark, sf):
+    from sievefold.llm import shared
+
+    held = shared.table(spark.range(3), "held")
+    path = shared._WRITTEN[-1]
+    assert held.count() == 3
+    shared.drop_tables(spark)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) and not shared._WRITTEN
