@@ -86,3 +86,10 @@ def part(df: DataFrame, table: str, position: int, keys: Sequence[str]) -> DataF
 def schedule(notes: DataFrame, instrument: Column, bpm: Column) -> DataFrame:
     """delay in ms of each note and loudness in dB."""
     return notes.withColumns({"delay": (2000 * instrument + 1000 * F.col("start_time")) / bpm, "db": -20 + 15 * F.col("volume")})
+
+
+def composition(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One JSON document for each entity from its parts, tables in name order."""
+    held = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("table_name", "instrument", "mood", "scale", "tempo", "volume", "melody"))).alias("instruments"))
+    n = F.size("instruments")
+    return held.select(*keys, n.alias("total_tables"), F.greatest(F.lit(45), 15 * n).alias("composition_length"), F.to_json(F.struct("instruments")).alias("document"))

@@ -61,3 +61,8 @@ def roll_up(frames: DataFrame) -> DataFrame:
 def grouped_values(flagged: DataFrame) -> DataFrame:
     """Flagged values and row ids of each column, in order. ``flagged``: column_name, row_id, value."""
     return flagged.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("row_id", "value"))).alias("pairs")).select("column_name", F.transform("pairs", lambda p: p["row_id"]).alias("row_ids"), F.transform("pairs", lambda p: p["value"]).alias("vals"))
+
+
+def audio_summary(tracks: DataFrame, rate: int) -> DataFrame:
+    """K6: samples, seconds and flagged values of each column. ``tracks``: column_name, idx, is_flagged."""
+    return tracks.groupBy("column_name").agg(F.count("*").alias("n_samples"), F.round(F.count("*") / rate, 4).alias("seconds"), F.count_if("is_flagged").alias("n_anomaly"))

@@ -212,3 +212,12 @@ def peak_normalize(tracks: DataFrame) -> DataFrame:
     peak = tracks.agg(F.max(F.array_max(F.transform("samples", lambda s: F.abs(s)))).alias("peak"))
     scaled = F.transform("samples", lambda s: F.coalesce(F.try_divide(s, F.col("peak")), F.lit(0.0)))
     return tracks.crossJoin(F.broadcast(peak)).withColumn("samples", scaled).drop("peak")
+
+
+def baseline_and_anomalies(df: DataFrame, row_id: str, columns: list[str], flagged: DataFrame, seconds: float = 5.0, duration: float = 0.1, rate: int = 44_100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Sounds of a seeded sample of other rows, as long as ``seconds``, and of all flagged rows."""
+    from sievefold.operators.joins import only_flagged, without_flagged
+    from sievefold.operators.rowid import seeded_sample
+
+    calm = seeded_sample(without_flagged(df, flagged, row_id), row_id, int(seconds / duration), seed)
+    return synth_rows(calm, row_id, columns, rate, duration), synth_rows(only_flagged(df, flagged, row_id), row_id, columns, rate, duration)

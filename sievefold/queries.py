@@ -667,3 +667,33 @@ def multi_file_forest(spark, d):
 def knn_scores(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)])
     return detectors.knn(e, "vec_id", [f"e{k}" for k in range(8)]).select("vec_id", r("score").alias("score"), "vote")
+
+
+@query("SELECT 'value' AS column_name, count(*) AS n_samples, round(count(*) / 100.0, 4)::DOUBLE AS seconds, count(*) FILTER (value > 150) AS n_anomaly FROM events UNION ALL SELECT 'user_id', count(*), round(count(*) / 100.0, 4)::DOUBLE, count(*) FILTER (value > 150) FROM events")
+def audio_summary(spark, d):
+    e = t(spark, d, "events").select("event_id", (F.col("value") > 150).alias("is_flagged"))
+    both = e.select(F.lit("value").alias("column_name"), "is_flagged").unionAll(e.select(F.lit("user_id"), "is_flagged"))
+    return report.audio_summary(both, 100)
+
+
+@query("SELECT c_custkey AS id, CAST(1 + (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))::INT AS INT) AS total_tables, 45 AS composition_length FROM customer")
+def symphony_documents(spark, d):
+    c = compose.part(t(spark, d, "customer").withColumn("id", F.col("c_custkey")), "customer", 0, ["id"])
+    first = t(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).withColumn("id", F.col("o_custkey"))
+    o = compose.part(first, "orders", 1, ["id"])
+    known = o.join(c.select("id"), "id", "left_semi")
+    return compose.composition(c.unionByName(known), ["id"]).select("id", "total_tables", "composition_length")
+
+
+@query()
+def baseline_and_anomalies(spark, d):
+    e = scaling.minmax(t(spark, d, "events"), "value", "x", (0.0, 1.0), 0.5).select("event_id", "value", "x")
+    calm, loud = spectral.baseline_and_anomalies(e, "event_id", ["x"], e.filter("value > 150"), rate=200)
+    return calm.withColumn("kind", F.lit("baseline")).unionByName(loud.withColumn("kind", F.lit("anomalous"))).groupBy("kind").agg(F.count("*").alias("n"), r(F.max(F.array_max("samples"))).alias("peak"))
+
+
+@query("SELECT event_id, CASE WHEN value > 150 THEN 'anomalous' ELSE 'normal' END AS side FROM events")
+def mask_split(spark, d):
+    e = t(spark, d, "events").select("event_id", "value")
+    f = e.filter("value > 150").select("event_id")
+    return joins.only_flagged(e, f, "event_id").select("event_id", F.lit("anomalous").alias("side")).unionAll(joins.without_flagged(e, f, "event_id").select("event_id", F.lit("normal").alias("side")))
