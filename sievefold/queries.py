@@ -142,9 +142,9 @@ def histogram50(spark, d):
     return profile.histogram(t(spark, d, "orders"), "o_totalprice", 50)
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 3) AS cov FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i:]))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN abs(covar_samp({a}, {b})) < 0.0005 THEN 0.0 ELSE round(covar_samp({a}, {b}), 3) END::DOUBLE AS cov FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i:]))
 def covariance_pairs(spark, d):
-    return profile.covariance_pairs(t(spark, d, "lineitem"), LINE).select("a", "b", r("cov", 3).alias("cov"))
+    return profile.covariance_pairs(t(spark, d, "lineitem"), LINE).select("a", "b", F.when(F.abs("cov") < 0.0005, 0.0).otherwise(r("cov", 3)).alias("cov"))
 
 
 # scaling ------------------------------------------------------------------
@@ -464,7 +464,7 @@ def audio_pcm16(spark, d):
 
 @query("""WITH x AS (SELECT event_id AS idx, -1 + 2 * (value - a) / (b - a) AS v FROM events, (SELECT min(value) AS a, max(value) AS b FROM events)),
 n AS (SELECT count(*) AS n, greatest(1, count(*) // 200) AS w FROM events),
-g AS (SELECT greatest(0, event_id - w // 2) AS s, least(n, event_id + w // 2) AS e FROM events, n WHERE value > 150),
+g AS (SELECT greatest(0, a - w // 2) AS s, least(n, a + w // 2) AS e FROM (SELECT CAST(trunc(event_id::DOUBLE / n * n) AS BIGINT) AS a, n, w FROM events, n WHERE value > 150)),
 c AS (SELECT idx, count(*) AS k FROM (SELECT unnest(range(s, e)) AS idx FROM g) GROUP BY 1)
 SELECT x.idx, coalesce(k, 0) AS k, round(greatest(least(v * pow(2, coalesce(k, 0)), 1), -1), 4) AS value FROM x LEFT JOIN c ON x.idx = c.idx""")
 def audio_highlight(spark, d):
