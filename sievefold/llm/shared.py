@@ -40,11 +40,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
     Lineage ends at files that survive the loss of executors.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Writes ``df`` to the shared folder; returns the path, for a table that goes before the rest."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def settle(spark: SparkSession) -> None:
@@ -57,12 +61,18 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _forget(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes what ``table`` has written in this process; results that read it must be stored before."""
     while _WRITTEN:
-        remove(spark, _WRITTEN.pop())
+        remove(spark, _WRITTEN[-1])
+
+
+def _forget(path: str) -> None:
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
 
 
 def text_key(id_col: str, text_col: str) -> Column:

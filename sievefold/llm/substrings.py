@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, settle, slices, split_words, table
+from sievefold.llm.shared import keep_columns, remove, settle, slices, split_words, stored, table
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -226,10 +226,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, run = docs.sparkSession, "k1 long, k2 long, run long"
     empty = F.array().cast("array<long>")
     texts = inner.select("k1", "k2", "text")
-    found = _gathered(_repeated(table(texts.mapInArrow(first, f"{run}, h long"), "places")))
+    kind = f"{run}, h long"
+    level = [stored(texts.mapInArrow(first, kind), "places")]
+    repeated = lambda: _gathered(_repeated(spark.read.schema(kind).parquet(level[-1])))
     for before, length in zip(levels, levels[1:-1], strict=False):
-        found = _gathered(_repeated(table(texts.join(found, ["k1", "k2"]).mapInArrow(longer(length, before), f"{run}, h long"), "places")))
-    spans = table(texts.join(found, ["k1", "k2"]).mapInArrow(groups, f"{run}, h long, s1 long, s2 long"), "groups")
+        level.append(stored(texts.join(repeated(), ["k1", "k2"]).mapInArrow(longer(length, before), kind), "places"))
+    spans = table(texts.join(repeated(), ["k1", "k2"]).mapInArrow(groups, f"{kind}, s1 long, s2 long"), "groups")
+    for path in level:  # only the groups are read from here on
+        remove(spark, path)
     settle(spark)
     counted = table(spans.groupBy("h", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "run")).alias("one")), "spans")
     open_ = counted.filter("c = 1").select("h").distinct()
