@@ -12,11 +12,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, slices
+from sievefold.llm.shared import slices
 
 TURN, BODY, END_BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"\\|</?s>|\[/?INST\]")
