@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -181,54 +182,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Groups for filtering: five-word shingles, candidates within 13 bits, verified.
-DEDUP = SimhashRules(shingle=5, radius=13, segments=1)
+@dataclass(frozen=True)
+class NearRules:
+    """Shingle length in words, and how candidates are found.
+
+    A band joins ``rows`` minima of a set of shingles; two sets of Jaccard
+    similarity s agree in one with probability s to the power ``rows``. There are so
+    many bands that a pair at the asked similarity meets in none of them with
+    probability ``miss`` at most, whatever the texts.
+    """
+
+    shingle: int = 5
+    rows: int = 5
+    miss: float = 1e-7
+    seed: int = 42
+    batch_bytes: int = 4 << 20
+
+    def bands(self, similarity: float) -> int:
+        return math.ceil(math.log(self.miss) / math.log(1 - min(similarity, 1 - 1e-9) ** self.rows))
+
+
+#: Groups for filtering: five-word shingles.
+DEDUP = NearRules()
+
+
+def shingle_set(text: str | None, rules: NearRules) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending."""
+    return np.unique(shingle_hashes(text or "", rules.shingle, rules.seed))
+
+
+class Bands:
+    """Bucket numbers of a set of hashes, one for each band; none for an empty set."""
+
+    def __init__(self, rules: NearRules, similarity: float):
+        rng, shape = np.random.default_rng(rules.seed), (rules.bands(similarity), rules.rows)
+        self.order = rng.integers(0, 1 << 31, shape, np.uint32).ravel() * np.uint32(2) + np.uint32(1)
+        self.mix = rng.integers(0, 1 << 63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.start = rng.integers(0, 1 << 63, shape[0], np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        high = (hashes >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.order), 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(high), 1024):
+            np.minimum(least, np.multiply.outer(self.order, high[at : at + 1024]).min(1), out=least)
+        return ((least.reshape(self.mix.shape) * self.mix).sum(1, dtype=np.uint64) + self.start).view(np.int64)
+
+
+def _banded(inner: DataFrame, rules: NearRules, similarity: float) -> DataFrame:
+    """(id, key, node, n, bands): digest and size of each text's set of shingles, and its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(rules, similarity)
+        for part in slices(batches, "text", rules.batch_bytes):
+            sets = [shingle_set(t, rules) for t in part.column("text").to_pylist()]
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            found = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), nodes, pa.array([len(x) for x in sets], pa.int64()), found], names=["id", "key", "node", "n", "bands"])
+
+    return inner.select("id", "key", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, key long, node binary, n long, bands array<long>")
 
 
-def verified(edges: DataFrame, docs: DataFrame, similarity: float, rules: SimhashRules) -> DataFrame:
-    """The edges (a, b) whose fingerprints' texts share enough distinct shingles (Jaccard).
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, rules: NearRules) -> DataFrame:
+    """The edges (a, b) whose nodes' texts share enough distinct shingles (Jaccard).
 
-    ``docs`` has fp and text, one text for each fingerprint.
+    ``docs`` has node and text, one text for each node.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", rules.batch_bytes):
-            found = [np.unique(shingle_hashes(t or "", rules.shingle, rules.seed)).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "shingles"])
+            found = [shingle_set(t, rules).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             keep = []
             for k in range(part.num_rows):
-                x, y = (np.frombuffer(part.column(c)[k].as_buffer(), np.int64) for c in ("x", "y"))
+                x, y = (np.frombuffer(part.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    shingles = table(docs.join(ends, "fp", "left_semi").select("fp", "text").mapInArrow(sets, "fp long, shingles binary"), "shingles")
-    x = shingles.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    y = shingles.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    shingles = table(docs.mapInArrow(sets, "node binary, shingles binary"), "shingles")
+    x = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimhashRules = DEDUP, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = DEDUP, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
-    Equal fingerprints are one group; links between others, nearest first, hold
-    if the texts' distinct shingles have the similarity. The smallest id of a group
+    Texts with the same set of shingles are one node; two nodes are linked if the
+    Jaccard similarity of their sets is at least ``similarity``, and a group is all
+    that links reach. Candidates share a bucket. Each is first compared with the
+    least node of its buckets; of the others in a bucket only those pairs are
+    passed over that verified links have joined by then. The smallest id of a group
     stays (null ids only if there is no other), of equal ids the smallest text
     hash, of equal rows one. Texts without a word are one group.
     """
     inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumn("key", text_key("id", "text"))
-    prints = table(_fingerprints(inner, rules), "prints")
+    prints = table(_banded(inner, rules, similarity), "prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    edges = table(links(nodes.select("fp"), rules).distinct(), "links")
-    reps = nodes.join(edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", F.col("least.id").alias("rep_id"), F.col("least.key").alias("rep_key"))
-    texts = inner.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("fp", "text").dropDuplicates(["fp"])
-    roots = components(verified(edges, texts, similarity, rules))
-    best = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    nodes = table(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
+    bucket = Window.partitionBy("bucket")
+    each = prints.select("node", "n", "bands").dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("bucket"))
+    met = each.withColumns({"first": F.min(F.struct("node", "n")).over(bucket), "k": F.count("*").over(bucket)}).filter("k > 1")
+    members = table(met.select("bucket", "node", "n", "first"), "members")
+
+    def near(n: Column, m: Column) -> Column:
+        """Sizes that allow the similarity, with room for rounding."""
+        return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        edges = table(pairs.distinct(), name)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        reps = nodes.join(ends, "node", "left_semi").select("node", F.col("least.id").alias("rep_id"), F.col("least.key").alias("rep_key"))
+        texts = inner.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text").dropDuplicates(["node"])
+        return table(verified(edges, texts, similarity, rules), f"{name}_held")
+
+    stars = members.filter((F.col("node") != F.col("first.node")) & near(F.col("n"), F.col("first.n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    held = links_of(stars, "stars")
+    named = table(members.join(components(held).withColumnRenamed("root", "label"), "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "named")
+    mixed = table(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket"), "mixed")
+    open_ = named.join(mixed, "bucket")
+    left, right = open_.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label")]), open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
+    across = left.join(right, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near(F.col("n_a"), F.col("n_b")))
+    rest = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(stars.distinct(), ["a", "b"], "left_anti")
+    roots = components(held.unionAll(links_of(rest, "rest"))).withColumnRenamed("node", "of")
+    best = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     stay = best.select(F.col("least.id").alias("stay_id"), F.col("least.key").alias("stay_key"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_key(f"`{id_col}`", f"`{text_col}`").alias("key"))
     kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")), "left_semi")

@@ -322,3 +322,30 @@ def test_decontamination(spark, docs, sf):
     kept = decontam.drop_leaks(every, bench)
     assert kept.columns == every.columns and kept.count() == every.count() - every.filter(F.col("doc_id").isin([d for d, _ in want])).count()
     assert decontam.find_leaks(empty(spark), bench).count() == 0 and decontam.find_leaks(docs, bench.filter("false")).count() == 0
+
+
+def test_near_duplicate_groups_are_whole(spark):
+    """Variants that are linked through one another only: all pairs of a family compared, none dropped unverified."""
+    rng = random.Random(11)
+    rows, want, at = [], set(), 0
+    for _ in range(12):
+        base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        family = []
+        for _ in range(40):
+            w = list(base)
+            for k in rng.sample(range(300), rng.randrange(2, 7)):
+                w[k] = f"x{rng.randrange(10**6)}"
+            family.append(w)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in family]
+        group = list(range(40))
+        for i in range(40):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        rows += [(at + k, " ".join(w), None, None, None) for k, w in enumerate(family)]
+        want |= {at + g for g in group}
+        at += 40
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(want)
