@@ -349,3 +349,12 @@ def test_near_duplicate_groups_are_whole(spark):
         at += 40
     got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == sorted(want)
+
+
+def test_texts_with_one_fingerprint_are_compared(spark):
+    """A repeated shingle sets all bits of a fingerprint; the texts around it differ."""
+    rng = random.Random(12)
+    texts = [" ".join([f"u{rng.randrange(10**6)}" for _ in range(430)] + ["same"] * 170) for _ in range(20)]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5, 42)) for t in texts}) == 1
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert simhash.drop_near_duplicates(frame).count() == 20
