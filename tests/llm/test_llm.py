@@ -358,3 +358,20 @@ def test_texts_with_one_fingerprint_are_compared(spark):
     assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5, 42)) for t in texts}) == 1
     frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
     assert simhash.drop_near_duplicates(frame).count() == 20
+
+
+def test_near_duplicates_far_apart_in_bits_are_found(spark):
+    """Pairs of similarity 0.8 to 0.86 whose fingerprints differ in more than 13 bits."""
+    rng = random.Random(13)
+    texts = []
+    while len(texts) < 60:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        b = list(a)
+        for k in rng.sample(range(100), 2):
+            b[k] = f"y{rng.randrange(10**6)}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(96)} for w in (a, b))
+        apart = np.bitwise_xor(*[np.uint64(simhash.fingerprint(simhash.shingle_hashes(" ".join(w), 5, 42))) for w in (a, b)])
+        if 0.8 <= len(x & y) / len(x | y) < 0.86 and apart.bit_count() > 13:
+            texts += [" ".join(a), " ".join(b)]
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()) == list(range(0, 60, 2))
