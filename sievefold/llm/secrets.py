@@ -21,7 +21,9 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short has no longer one inside
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+# '=' ends a run, so the value of KEY=value is one; it is padding only where nothing of the run follows.
+START = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16}")
+REST = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:={1,2}(?![A-Za-z0-9+/_.=-]))?")
 CONTEXT = re.compile(r"(?ai:pass(?:word|wd|phrase)|secret|token|api_?key|auth|bearer|credential|private_?key|access_?key|signature|session)")
 
 # A wider and cheaper look, by a linear-time matcher, at which texts need the patterns.
@@ -50,7 +52,6 @@ class SecretRules:
 
     reach: int = 64
     around: int = 256
-    longest: int = 512
     min_bits: float = 5.0
     level: int = 3
     batch_bytes: int = 4 << 20
@@ -70,6 +71,42 @@ class Novelty:
         return 8 * more / len(candidate)
 
 
+def _novel(text: str, rules: SecretRules, novelty: Novelty) -> Iterator[tuple[int, int]]:
+    """Novel strings after sensitive words.
+
+    A run that holds a word itself is judged from the word on, as a whole and up to
+    the next word in it; other runs, as a whole, if they start within ``reach``. A
+    run is judged as a whole once and then by disjoint parts, so work is linear.
+    """
+
+    def novel(start: int, end: int) -> bool:
+        value = text[start:end]
+        if len(value) < 16 or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+            return False
+        around = text[max(0, start - rules.around) : start] + text[end : end + rules.around]
+        return novelty.bits(around, value) >= rules.min_bits
+
+    words = [w.span() for w in CONTEXT.finditer(text)]
+    judged = held = -1
+    for k, (_, at) in enumerate(words):
+        inside = at < judged or REST.match(text, at)
+        if inside and at >= held:
+            end = judged if at < judged else inside.end()
+            after = words[k + 1][0] if k + 1 < len(words) else end
+            parts = [end] if at >= judged else []
+            parts += [min(after, end)] if at < judged or after < end else []
+            judged = end
+            if any(novel(at, x) for x in parts):
+                held = end
+                yield at, end
+        pos = max(at, judged)
+        while m := START.search(text, pos, min(len(text), at + rules.reach + 16)):
+            judged = pos = REST.match(text, m.start()).end()
+            if novel(m.start(), judged):
+                held = judged
+                yield m.start(), judged
+
+
 def scan(text: str, rules: SecretRules, novelty: Novelty, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of one text by start, then kind as listed; code points."""
     found = []
@@ -80,20 +117,7 @@ def scan(text: str, rules: SecretRules, novelty: Novelty, kinds: tuple[str, ...]
     if "hex" in kinds:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "novel" in kinds:
-        last = -1
-        for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, max(word.end() - 1, last), min(len(text), word.end() + rules.reach + rules.longest)):
-                if m.start() > word.end() + rules.reach:
-                    break
-                if m.end() <= last:
-                    continue
-                last = m.end()
-                value = m[0]
-                if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                    continue
-                around = text[max(0, m.start() - rules.around) : m.start()] + text[m.end() : m.end() + rules.around]
-                if novelty.bits(around, value) >= rules.min_bits:
-                    found.append((m.start(), m.end(), "novel"))
+        found += [(a, b, "novel") for a, b in _novel(text, rules, novelty)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -375,3 +375,19 @@ def test_near_duplicates_far_apart_in_bits_are_found(spark):
             texts += [" ".join(a), " ".join(b)]
     frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()) == list(range(0, 60, 2))
+
+
+def test_secrets_in_assignments_and_long_strings(spark):
+    rng = random.Random(14)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    heads = ["access_key=", "AUTH=", "session_id=", "passphrase=", "x token_secret_", "auth header my_session.", "Authorization: Bearer ", "credential: "]
+    sizes = [32, 32, 32, 32, 32, 32, 1280, 700]
+    values = [key(n) for n in sizes]
+    texts = [h + v + " end" for h, v in zip(heads, values, strict=True)] + ["access_key=" + values[0] + "== end", "bearer " + "token " * 2000]
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "novel"] for r in secrets.find_secrets(frame).collect()}
+    for k, (h, v) in enumerate(zip(heads, values, strict=True)):
+        assert any(a <= len(h) and b == len(h) + len(v) for a, b in found[k]), h
+    assert found[8] == [(11, 45)] and found[9] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame).collect()}
+    assert not any(v[-20:] in clean[k] for k, v in enumerate(values))
