@@ -23,8 +23,8 @@ class DecontamRules:
     """Two masks of weight 8, and the score a shared stretch needs.
 
     A stretch scores 1 for an equal word and ``-penalty`` for another; the
-    best stretch along an alignment counts. Shorter items need as much as
-    their length allows.
+    best stretch along an alignment counts. Items of fewer words than the score
+    need all of them; those shorter than the shortest mask are sought as a whole.
     """
 
     masks: tuple[str, ...] = ("1101110111", "1110010110101")
@@ -56,6 +56,18 @@ def seeds(words: DataFrame, rules: DecontamRules, stride: int) -> DataFrame:
     return each.select("id", "key", "seed", (F.col("n") * stride).alias("at")).filter(F.col("seed").isNotNull())
 
 
+def whole_seeds(words: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, key, seed, at) of each run of as many words as one of ``lengths`` says."""
+
+    def runs(h: Column, n: int) -> Column:
+        starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(-n), *[F.get(h, i + k) for k in range(n)]))
+
+    arrays = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*[runs(h, n) for n in lengths]))
+    each = words.select("id", "key", F.explode_outer(arrays).alias("list")).select("id", "key", F.posexplode_outer("list").alias("at", "seed"))
+    return each.filter(F.col("seed").isNotNull())
+
+
 def best_stretch(doc: Column, item: Column, shift: Column, penalty: int) -> Column:
     """Best-scoring stretch of the item along one alignment: (score, matched words)."""
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -75,8 +87,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     are found in one narrow pass against the seeds, which are broadcast only if
     counted to be at most ``broadcast_rows``; else both sides are shuffled on
     the seed. Documents are shuffled once more to compare words, by (id, key),
-    so no key gathers more than its own copies. Null and empty texts and items
-    shorter than the shortest mask share nothing; repeated rows give one pair;
+    so no key gathers more than its own copies. Items shorter than the shortest
+    mask are hashed as a whole and met with all runs of their length in the documents,
+    of which the first in a document is compared; without such items nothing is
+    added. Null and empty texts and items share nothing; repeated rows give one pair;
     null ids are kept; an empty table on either side gives an empty result;
     other columns are ignored.
     """
@@ -88,6 +102,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     probes = seeds(doc_words, rules, rules.stride)
     hits = probes.join(F.broadcast(known) if small else known.hint("shuffle_hash"), "seed")
     aligned = hits.select("id", "key", "seq", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    brief = sequences.filter(F.size("words") < min(map(len, rules.masks)))
+    lengths = sorted(r["n"] for r in brief.select(F.size("words").alias("n")).distinct().collect())
+    if lengths:
+        wholes = None
+        for n in lengths:
+            named = F.xxhash64(F.lit(-n), *[F.xxhash64(F.get("words", F.lit(k))) for k in range(n)])
+            one = brief.filter(F.size("words") == n).select(named.alias("seed"), F.col("id").alias("seq"))
+            wholes = one if wholes is None else wholes.unionAll(one)
+        few = wholes.count() <= rules.broadcast_rows
+        runs = whole_seeds(doc_words, lengths).join(F.broadcast(wholes) if few else wholes.hint("shuffle_hash"), "seed")
+        aligned = aligned.unionByName(runs.groupBy("id", "key", "seq").agg(F.min("at").alias("shift")))
 
     item_words = sequences.select(F.col("id").alias("seq"), F.col("words").alias("item_words"))
     with_item = aligned.join(F.broadcast(item_words) if small else item_words, "seq")

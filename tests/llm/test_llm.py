@@ -391,3 +391,15 @@ def test_secrets_in_assignments_and_long_strings(spark):
     assert found[8] == [(11, 45)] and found[9] == []
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame).collect()}
     assert not any(v[-20:] in clean[k] for k, v in enumerate(values))
+
+
+def test_short_benchmark_items_are_found(spark):
+    rules = decontam.DecontamRules()
+    items = ["who wrote the old book", "yes", "a b c d e f g h i", "one two three four five six seven eight nine ten", "春が来た。花が咲いた", None, " - "]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["he asked: Who wrote the OLD book?", "who wrote the new book", "x yes yes yes", "z a b c d e f g h i z", "b c d e f g h i", "one two three four five six seven eight nine ten", "今日、春が来た、花が咲いた。", "", None, "book"]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    for r in (rules, decontam.DecontamRules(broadcast_rows=0), decontam.DecontamRules(stride=3)):
+        got = {(x["doc_id"], x["item_id"], x["score"]) for x in decontam.find_leaks(docs, bench, rules=r).collect()}
+        assert got - {(5, 3, 10)} == {(0, 0, 5), (2, 1, 1), (3, 2, 9), (6, 4, 2)} and (r.stride > 1 or (5, 3, 10) in got)
+    assert sorted(x["doc_id"] for x in decontam.drop_leaks(docs, bench).collect()) == [1, 4, 7, 8, 9]
