@@ -62,8 +62,12 @@ def token_counts(texts: list[str], path: str) -> list[int]:
 
 @dataclass
 class Turn:
+    """A formatted turn; ``tokens`` counts it with its role, marks and escapes."""
+
     role: str
     text: str
+    start: int
+    end: int
     tokens: int
 
 
@@ -116,12 +120,11 @@ class Windows:
         self.any = True
         parts, starts, ends, at = [], [], [], 0
         for k, t in enumerate([*context, *new]):
-            text, a, b = turn_text(t.role, t.text)
             if k >= len(context) and t.role == "assistant":
-                starts.append(at + a)
-                ends.append(at + b)
-            parts.append(text)
-            at += len(text)
+                starts.append(at + t.start)
+                ends.append(at + t.end)
+            parts.append(t.text)
+            at += len(t.text)
         used += self.prefix[fit]
         out = {"window": self.number, "text": "".join(parts), "tokens": used, "context_turns": len(context), "new_turns": fit, "loss_starts": starts, "loss_ends": ends, "over_budget": used > self.rules.budget}
         self.history.extend(t for t in new if t is not self.system)
@@ -155,7 +158,9 @@ def format_chats(conversations: DataFrame, rules: ChatRules = ChatRules(), path:
     window however long a conversation is. Rows of a conversation come out in
     order. Null texts and roles are empty, null turns come first, null
     conversation ids are one conversation; repeated rows are turns like others;
-    an empty table gives no windows; other columns are ignored. Loss spans are code
+    an empty table gives no windows; other columns are ignored. ``tokens`` sums the
+    counts of the formatted turns; the window's own count is less where marks merge
+    at the joins. Loss spans are code
     points of ``text`` that hold escaped assistant texts, each in one window only.
     """
     inner = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -173,12 +178,13 @@ def format_chats(conversations: DataFrame, rules: ChatRules = ChatRules(), path:
 
         for part in slices(batches, "text", rules.batch_bytes):
             ids, roles, texts = (part.column(c).to_pylist() for c in ("conv_id", "role", "text"))
-            for conv, role, text, n in zip(ids, roles, texts, tokens(texts), strict=True):
+            turns = [turn_text(r, t) for r, t in zip(roles, texts, strict=True)]
+            for conv, role, turn, n in zip(ids, roles, turns, tokens([t[0] for t in turns]), strict=True):
                 if windows is None or conv != now:
                     if windows is not None:
                         put(now, windows.close())
                     now, windows = conv, Windows(rules)
-                put(conv, windows.add(Turn(role, text, n)))
+                put(conv, windows.add(Turn(role, *turn, n)))
                 if size > rules.batch_bytes:
                     yield _batch(rows)
                     rows, size = [], 0

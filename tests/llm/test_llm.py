@@ -403,3 +403,14 @@ def test_short_benchmark_items_are_found(spark):
         got = {(x["doc_id"], x["item_id"], x["score"]) for x in decontam.find_leaks(docs, bench, rules=r).collect()}
         assert got - {(5, 3, 10)} == {(0, 0, 5), (2, 1, 1), (3, 2, 9), (6, 4, 2)} and (r.stride > 1 or (5, 3, 10) in got)
     assert sorted(x["doc_id"] for x in decontam.drop_leaks(docs, bench).collect()) == [1, 4, 7, 8, 9]
+
+
+def test_chat_budget_holds_for_formatted_windows(spark):
+    """Many short turns: their roles, marks and escapes count."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    turns = [(1, k, "assistant" if k % 2 else "user", "ok") for k in range(2048)] + [(2, k, "user", "<s>\\" * 40) for k in range(60)] + [(3, 0, "user", "<s> " * 600), (3, 1, "user", "ok")]
+    got = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for w, n in zip(got, chat.token_counts([w["text"] for w in got], path), strict=True):
+        assert n <= w["tokens"] and w["tokens"] - n <= w["context_turns"] + w["new_turns"]
+        assert w["over_budget"] or n <= 2048
+    assert len([w for w in got if w["conv_id"] == 1]) >= 13 and any(w["over_budget"] for w in got if w["conv_id"] == 3)
