@@ -665,8 +665,9 @@ def multi_file_forest(spark, d):
 
 @query()
 def knn_scores(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)])
-    return detectors.knn(e, "vec_id", [f"e{k}" for k in range(8)]).select("vec_id", r("score").alias("score"), "vote")
+    """All dimensions, neighbours among all rows."""
+    e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
+    return detectors.knn_all(e, "vec_id", [f"e{k}" for k in range(64)]).select("vec_id", r("score").alias("score"), "vote")
 
 
 @query("SELECT 'value' AS column_name, count(*) AS n_samples, round(count(*) / 100.0, 4)::DOUBLE AS seconds, count(*) FILTER (value > 150) AS n_anomaly FROM events UNION ALL SELECT 'user_id', count(*), round(count(*) / 100.0, 4)::DOUBLE, count(*) FILTER (value > 150) FROM events")
