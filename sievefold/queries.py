@@ -421,6 +421,12 @@ def shift_method_compare(spark, d):
     return shift.compare(*_shift(spark, d), methods=("statistical_outlier",)).select("method", "n_found", "n_flagged", "rate")
 
 
+@query()
+def shift_methods(spark, d):
+    """All six methods; shift_method_compare is the one that its SQL can say."""
+    return shift.compare(*_shift(spark, d)).select("method", "n_found", "n_flagged", r("rate").alias("rate"))
+
+
 @query()
 def shift_iforest(spark, d):
     return shift.forest(*_shift(spark, d))
@@ -451,6 +457,14 @@ def audio_lerp(spark, d):
     return audio.lerp(_signal(spark, d, 200), 200, 500).withColumn("value", r("value", 3))
 
 
+@query("WITH x AS (SELECT o_orderkey AS idx, o_totalprice AS value FROM orders), c AS (SELECT count(*) AS n, count(*) * 5 // 2 AS m FROM orders), j AS (SELECT range AS j, range * (n - 1)::DOUBLE / (m - 1)::DOUBLE AS pos FROM c, range(m)) SELECT j AS idx, round(a.value + (pos - floor(pos)) * (b.value - a.value), 3) AS value FROM j JOIN x a ON a.idx = floor(pos) JOIN x b ON b.idx = ceil(pos)")
+def audio_lerp_whole(spark, d):
+    """The whole signal stretched by 5 / 2."""
+    x = _signal(spark, d)
+    n = x.count()
+    return audio.lerp(x, n, n * 5 // 2).withColumn("value", r("value", 3))
+
+
 @query("WITH x AS (SELECT o_orderkey AS idx, o_totalprice AS value FROM orders), c AS (SELECT count(*) AS n, count(*)::DOUBLE / 300 AS r FROM orders), j AS (SELECT range AS j FROM range(300)) SELECT j AS idx, round(avg(value), 3) AS value FROM j, c, x WHERE idx >= floor(j * r) AND idx < least(floor((j + 1) * r), n) GROUP BY 1")
 def audio_bucket_mean(spark, d):
     x = _signal(spark, d)
