@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import table
+from sievefold.llm.shared import Scratch
 
+#: Rounds grow with the logarithm of the longest path; no graph comes near this.
+ROUNDS = 200
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of an edge.
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): the smallest node reachable, for each node of an edge that isn't a root itself.
 
     ``edges`` has a and b of one orderable type. Each round replaces the edges
     by edges to the smallest neighbour, once from larger neighbours and once
-    from smaller ones, until nothing changes; rounds grow with the logarithm
-    of the longest path. Each round is written to the shared folder, so lineage stays
-    short, and neighbour minima are partial aggregates, so a node with very
-    many edges is never gathered in one task.
+    from smaller ones, until nothing changes. Neighbour minima are partial
+    aggregates; they and each round's edges are written to ``scratch``, so that lineage
+    stays short and edges meet minima in a join of two exchanges, where the
+    edges of a node with very many are dealt over tasks as a skewed key. Edges of a
+    node to itself are ignored, nulls must not occur, and no edges give no rows.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         linked = both.join(least, "a")
         if large:
             out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -32,12 +36,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
 
-    e = table(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = scratch.table(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
-        e = table(star(star(e, True), False), "edges")
+    for _ in range(ROUNDS):
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first())
-        if now == seen:
-            break
+        if now == seen or not now[0]:
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         seen = now
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        e = scratch.table(star(star(e, True), False), "edges")
+    raise RuntimeError(f"components have not settled after {ROUNDS} rounds")

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, let, text_key
+from sievefold.llm.shared import Scratch, keep_columns, let, row_keys
 
 
 @dataclass(frozen=True)
 class DecontamRules:
-    """Two masks of weight 8, and the score a shared stretch needs.
+    """Two masks of weight 8, the score a shared stretch needs, and what may be broadcast.
 
     A stretch scores 1 for an equal word and ``-penalty`` for another; the
     best stretch along an alignment counts. Items of fewer words than the score
@@ -32,6 +32,7 @@ class DecontamRules:
     min_score: int = 10
     penalty: int = 1
     broadcast_rows: int = 1_000_000
+    broadcast_words: int = 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -49,22 +50,22 @@ def _seeds(hashes: Column, rules: DecontamRules, which: int, stride: int) -> Col
 
 
 def seeds(words: DataFrame, rules: DecontamRules, stride: int) -> DataFrame:
-    """(id, key, seed, at) of each window under each mask. ``words`` has id, key and words."""
+    """(id, k1, k2, seed, at) of each window under each mask. ``words`` has id, k1, k2 and words."""
     # the outer forms keep the optimizer from testing each array's size before, which would build it twice
     arrays = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*[_seeds(h, rules, k, stride) for k in range(len(rules.masks))]))
-    each = words.select("id", "key", F.explode_outer(arrays).alias("list")).select("id", "key", F.posexplode_outer("list").alias("n", "seed"))
-    return each.select("id", "key", "seed", (F.col("n") * stride).alias("at")).filter(F.col("seed").isNotNull())
+    each = words.select("id", "k1", "k2", F.explode_outer(arrays).alias("list")).select("id", "k1", "k2", F.posexplode_outer("list").alias("n", "seed"))
+    return each.select("id", "k1", "k2", "seed", (F.col("n") * stride).alias("at")).filter(F.col("seed").isNotNull())
 
 
 def whole_seeds(words: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, key, seed, at) of each run of as many words as one of ``lengths`` says."""
+    """(id, k1, k2, seed, at) of each run of as many words as one of ``lengths`` says."""
 
     def runs(h: Column, n: int) -> Column:
         starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(F.lit(-n), *[F.get(h, i + k) for k in range(n)]))
 
     arrays = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*[runs(h, n) for n in lengths]))
-    each = words.select("id", "key", F.explode_outer(arrays).alias("list")).select("id", "key", F.posexplode_outer("list").alias("at", "seed"))
+    each = words.select("id", "k1", "k2", F.explode_outer(arrays).alias("list")).select("id", "k1", "k2", F.posexplode_outer("list").alias("at", "seed"))
     return each.filter(F.col("seed").isNotNull())
 
 
@@ -79,54 +80,73 @@ def best_stretch(doc: Column, item: Column, shift: Column, penalty: int) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step, lambda acc: acc["best"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rules: DecontamRules = DecontamRules()) -> DataFrame:
-    """(doc_id, key, item_id, score): document and item pairs that share a stretch of words.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rules: DecontamRules = DecontamRules(), scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, k1, k2, item_id, score): document and item pairs that share a stretch of words.
 
-    Items are told apart by their distinct word sequences while hashing, so
-    repeated items add no hits; the result names each item id. Documents hits
+    k1 and k2 tell documents apart by id and text. Items are told apart by
+    their distinct word sequences while hashing, so
+    repeated items add no hits; the result names each item id. Hits
     are found in one narrow pass against the seeds, which are broadcast only if
     counted to be at most ``broadcast_rows``; else both sides are shuffled on
-    the seed. Documents are shuffled once more to compare words, by (id, key),
-    so no key gathers more than its own copies. Items shorter than the shortest
+    the seed. Hits are written; the keys of the documents that have one are broadcast
+    under the same bound, and then only the words of these documents move, else
+    all texts are shuffled once. Items that were hit are broadcast only if they are counted to have
+    ``broadcast_words`` words at most. Items shorter than the shortest
     mask are hashed as a whole and met with all runs of their length in the documents,
     of which the first in a document is compared; without such items nothing is
     added. Null and empty texts and items share nothing; repeated rows give one pair;
     null ids are kept; an empty table on either side gives an empty result;
-    other columns are ignored.
+    other columns are ignored. The result reads tables in ``scratch``.
     """
-    doc_words = keep_columns(docs, {"id": id_col, "text": text_col}).select("id", text_key("id", "text").alias("key"), words_of(F.col("text")).alias("words"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    k1, k2 = row_keys("id", "text")
+    own = keep_columns(docs, {"id": id_col, "text": text_col}).withColumns({"k1": k1, "k2": k2})
+    doc_words = own.select("id", "k1", "k2", words_of(F.col("text")).alias("words"))
     items = keep_columns(benchmark, {"item": item_col, "text": item_text_col}).select("item", words_of(F.col("text")).alias("words")).distinct()
-    sequences = items.select("words", F.xxhash64("words").alias("id"), F.lit(0).cast("long").alias("key")).dropDuplicates(["words"]).filter(F.size("words") > 0)
-    known = seeds(sequences.select("id", "key", "words"), rules, 1).select("seed", F.col("id").alias("seq"), F.col("at").alias("item_at")).distinct()
-    small = known.count() <= rules.broadcast_rows
-    probes = seeds(doc_words, rules, rules.stride)
-    hits = probes.join(F.broadcast(known) if small else known.hint("shuffle_hash"), "seed")
-    aligned = hits.select("id", "key", "seq", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    nothing = F.lit(0).cast("long")
+    sequences = items.select("words", F.xxhash64("words").alias("id"), nothing.alias("k1"), nothing.alias("k2")).dropDuplicates(["words"]).filter(F.size("words") > 0)
+    known = seeds(sequences.select("id", "k1", "k2", "words"), rules, 1).select("seed", F.col("id").alias("seq"), F.col("at").alias("item_at")).distinct()
+
+    def met(probes: DataFrame, targets: DataFrame) -> DataFrame:
+        small = targets.count() <= rules.broadcast_rows
+        return probes.join(F.broadcast(targets) if small else targets.hint("shuffle_hash"), "seed")
+
+    hits = met(seeds(doc_words, rules, rules.stride), known)
+    aligned = hits.select("id", "k1", "k2", "seq", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     brief = sequences.filter(F.size("words") < min(map(len, rules.masks)))
-    lengths = sorted(r["n"] for r in brief.select(F.size("words").alias("n")).distinct().collect())
+    lengths = sorted(r["n"] for r in brief.select(F.size("words").alias("n")).distinct().collect())  # fewer than a mask has places
     if lengths:
         wholes = None
         for n in lengths:
             named = F.xxhash64(F.lit(-n), *[F.xxhash64(F.get("words", F.lit(k))) for k in range(n)])
             one = brief.filter(F.size("words") == n).select(named.alias("seed"), F.col("id").alias("seq"))
             wholes = one if wholes is None else wholes.unionAll(one)
-        few = wholes.count() <= rules.broadcast_rows
-        runs = whole_seeds(doc_words, lengths).join(F.broadcast(wholes) if few else wholes.hint("shuffle_hash"), "seed")
-        aligned = aligned.unionByName(runs.groupBy("id", "key", "seq").agg(F.min("at").alias("shift")))
-
-    item_words = sequences.select(F.col("id").alias("seq"), F.col("words").alias("item_words"))
-    with_item = aligned.join(F.broadcast(item_words) if small else item_words, "seq")
-    of_doc = keep_columns(docs, {"doc": id_col, "text": text_col}).withColumn("doc_key", text_key("doc", "text"))
-    both = with_item.join(of_doc, F.col("id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("doc_key")))
-    both = both.select("id", "key", "seq", "shift", words_of(F.col("text")).alias("words"), "item_words")
-    scored = both.select("id", "key", "seq", F.size("item_words").alias("n"), let(F.struct("words", "item_words"), lambda x: best_stretch(x["words"], x["item_words"], F.col("shift"), rules.penalty)).alias("score"))
-    best = scored.groupBy("id", "key", "seq").agg(F.max("score").alias("score"), F.first("n").alias("n")).filter(F.col("score") >= F.least(F.lit(rules.min_score), F.col("n")))
+        runs = met(whole_seeds(doc_words, lengths), wholes)
+        aligned = aligned.unionByName(runs.groupBy("id", "k1", "k2", "seq").agg(F.min("at").alias("shift")))
+    aligned = scratch.table(aligned, "aligned")
+
+    keys = aligned.select("k1", "k2").distinct()
+    few = keys.count() <= rules.broadcast_rows
+    hit_words = own.join(F.broadcast(keys) if few else keys, ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"))
+    hit_items = sequences.select(F.col("id").alias("seq"), F.col("words").alias("item_words")).join(aligned.select("seq").distinct(), "seq", "left_semi")
+    brought = hit_items.agg(F.coalesce(F.sum(F.size("item_words")), nothing)).first()[0] <= rules.broadcast_words
+    with_item = aligned.join(F.broadcast(hit_items) if brought else hit_items, "seq")
+    both = with_item.join(hit_words, ["k1", "k2"])
+    scored = both.select("id", "k1", "k2", "seq", F.size("item_words").alias("n"), let(F.struct("words", "item_words"), lambda x: best_stretch(x["words"], x["item_words"], F.col("shift"), rules.penalty)).alias("score"))
+    best = scored.groupBy("id", "k1", "k2", "seq").agg(F.max("score").alias("score"), F.first("n").alias("n")).filter(F.col("score") >= F.least(F.lit(rules.min_score), F.col("n")))
     named = best.join(items.select("item", F.xxhash64("words").alias("seq")), "seq")
-    return named.select(F.col("id").alias(id_col), "key", F.col("item").alias(item_col), "score")
+    return named.select(F.col("id").alias(id_col), "k1", "k2", F.col("item").alias(item_col), "score")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: DecontamRules = DecontamRules()) -> DataFrame:
-    """The documents that share no stretch with an item, with all their columns."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, rules=rules).select(F.col(f"`{id_col}`").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    mark = text_key(f"`{id_col}`", f"`{text_col}`")
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_key")), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: DecontamRules = DecontamRules(), scratch: Scratch | None = None) -> DataFrame:
+    """The documents that share no stretch with an item, with all their columns, whatever their names.
+
+    Null and empty texts stay; of rows equal in id and text all go or all stay; a null id is
+    no reason for either; with no documents or no items nothing goes. The keys of those
+    that go are written and broadcast if counted to be at most ``broadcast_rows``, else joined.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    bad = scratch.table(find_leaks(docs, benchmark, id_col, text_col, rules=rules, scratch=scratch).select(F.col("k1").alias("bad_1"), F.col("k2").alias("bad_2")).distinct(), "bad")
+    k1, k2 = row_keys(f"`{id_col}`", f"`{text_col}`")
+    few = bad.count() <= rules.broadcast_rows
+    return docs.join(F.broadcast(bad) if few else bad, (k1 == F.col("bad_1")) & (k2 == F.col("bad_2")), "left_anti")

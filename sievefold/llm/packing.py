@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, slices, table
+from sievefold.llm.shared import Scratch, keep_columns, slices
 
 
 @dataclass(frozen=True)
@@ -294,7 +294,7 @@ def slots(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> Slots:
     return Slots(*np.array(sorted(rows), np.int64).reshape(-1, 5).T)
 
 
-def pack(tokens: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
+def pack(tokens: DataFrame, rules: PackingRules = PackingRules(), scratch: Scratch | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece.
 
     ``tokens`` is a written table from ``tokenize``. A document longer than a
@@ -316,7 +316,8 @@ def pack(tokens: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
     buckets = int(max(16, -(-int(demand.sum()) // rules.rank_rows)))
 
     cut = F.substring(F.col("ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    small = table(classed.select("id", "start", "length", "n", "class", F.crc32(cut).alias("crc"), F.pmod(F.xxhash64("id", "start", "n"), F.lit(buckets)).alias("bucket")), "pieces")
+    scratch = scratch or Scratch(tokens.sparkSession)
+    small = scratch.table(classed.select("id", "start", "length", "n", "class", F.crc32(cut).alias("crc"), F.pmod(F.xxhash64("id", "start", "n"), F.lit(buckets)).alias("bucket")), "pieces")
     counts = small.groupBy("class", "bucket").count()
     before = counts.select("class", "bucket", (F.sum("count").over(Window.partitionBy("class").orderBy("bucket")) - F.col("count")).alias("before"))
     within = F.row_number().over(Window.partitionBy("class", "bucket").orderBy(F.desc("length"), "id", "start", "crc"))
@@ -334,15 +335,16 @@ def pack(tokens: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
     return placed.select("id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", gapless.alias("offset"))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: PackingRules = PackingRules(), path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: PackingRules = PackingRules(), path: str | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(tokens, pieces): the written token table and the plan of pieces.
 
     A null or empty text is the end id alone; repeated rows are packed each;
     null ids are kept; an empty table gives empty results; other columns are
     ignored.
     """
-    tokens = table(tokenize(docs, id_col, text_col, rules, path), "tokens")
-    return tokens, pack(tokens, rules)
+    scratch = scratch or Scratch(docs.sparkSession)
+    tokens = scratch.table(tokenize(docs, id_col, text_col, rules, path), "tokens")
+    return tokens, pack(tokens, rules, scratch)
 
 
 def sequences(tokens: DataFrame, pieces: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:

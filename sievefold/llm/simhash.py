@@ -12,9 +12,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sievefold.llm.components import components
-from sievefold.llm.shared import keep_columns, slices, table, text_key
+from sievefold.llm.shared import Scratch, hashable, keep_columns, row_keys, slices
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: For a byte, a 64-bit word whose eight lanes hold its bits, lowest lane first.
@@ -102,51 +103,63 @@ def _steps(segments: int, radius: int) -> list[int]:
     return sorted({sum(x << (8 * k) for k, x in enumerate(d)) for d in found if d >= (0,) * segments})
 
 
+class Forest:
+    """Edges that join the nodes of one task, none of which closes a circle."""
+
+    def __init__(self, nodes: int):
+        self.label = np.arange(nodes)
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def join(self, node: int, others: np.ndarray) -> None:
+        """Links a node with others, by one edge for each component that it reaches so."""
+        roots, first = np.unique(self.label[others], return_index=True)
+        for root, k in zip(roots.tolist(), first.tolist(), strict=True):
+            if root != self.label[node]:
+                self.label[self.label == root] = self.label[node]
+                self.left.append(node)
+                self.right.append(int(others[k]))
+
+
 def spanning(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest with the components of all links between a and b.
 
-    Exclusive-or and bit counts of all pairs, some rows at a time; over a wide
-    radius the nearer half first. A row's links are reduced to the nearest one
-    for each component that it joins.
+    Exclusive-or and bit counts of all pairs, some rows at a time. Each link is exact,
+    so none that the forest leaves out could join anything more.
     """
     nodes = np.concatenate([a, b])
-    label = np.arange(len(nodes))
+    found = Forest(len(nodes))
     rows = max(1, (1 << 19) // max(1, len(b)))
-    left, right = [], []
-    for reach in (radius,) if radius < 4 else (radius // 2, radius):
-        for at in range(0, len(a), rows):
-            apart = np.bitwise_count(a[at : at + rows, None] ^ b[None, :])
-            near = apart <= reach
-            for i in np.flatnonzero(near.any(1)).tolist():
-                mine = label[at + i]
-                others = np.flatnonzero(near[i])
-                others = others[np.argsort(apart[i, others], kind="stable")] + len(a)
-                roots, first = np.unique(label[others], return_index=True)
-                for root, k in zip(roots.tolist(), first.tolist(), strict=True):
-                    if root != mine:
-                        label[label == root] = mine
-                        left.append(at + i)
-                        right.append(int(others[k]))
-    return nodes[left], nodes[right]
-
-
-def links(distinct: DataFrame, rules: SimhashRules) -> DataFrame:
+    for at in range(0, len(a), rows):
+        near = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
+        for i in np.flatnonzero(near.any(1)).tolist():
+            found.join(at + i, np.flatnonzero(near[i]) + len(a))
+    return nodes[found.left], nodes[found.right]
+
+
+def links(distinct: DataFrame, rules: SimhashRules, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, a forest for each pair of blocks.
 
     ``distinct`` has fp, each once. Fingerprints with the same population
     counts are cut into blocks of about ``tile``; blocks meet only if their
     counts differ by the radius at most, and each such pair of blocks is
-    compared exactly in numpy. A block goes to a task once for each block it
-    meets, so a very full tile is spread over many tasks.
+    compared exactly in numpy. Pairs of block numbers are formed first and are
+    the key by which blocks are sent, so the pairs of a very full tile are
+    spread over as many tasks as there are.
     """
     key = sum((p.cast("long") * F.lit(1 << (8 * k)) for k, p in enumerate(_parts(F.col("fp"), rules.segments))), F.lit(0).cast("long"))
     keyed = distinct.select("fp", key.alias("key"))
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / rules.tile).cast("long").alias("blocks"))
-    blocks = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))).groupBy("key", "block").agg(F.collect_list("fp").alias("fps"))
-    blocks = table(blocks, "tiles")
-    left = blocks.select(F.col("key").alias("key_a"), F.col("block").alias("block_a"), F.col("fps").alias("a"), F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(rules.segments, rules.radius)])).alias("step"))
-    right = blocks.select(F.col("key").alias("key_b"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
-    met = left.join(right, (F.col("key_a") + F.col("step") == F.col("key_b")) & ((F.col("step") != 0) | (F.col("block_a") <= F.col("block_b"))))
+    sizes = scratch.table(keyed.groupBy("key").agg(F.ceil(F.count("*") / rules.tile).cast("long").alias("blocks")), "sizes")
+    numbered = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    blocks = scratch.table(numbered.repartition("key", "block").groupBy("key", "block").agg(F.collect_list("fp").alias("fps")), "tiles")
+    steps = F.array(*[F.lit(s).cast("long") for s in _steps(rules.segments, rules.radius)])
+    each = sizes.select(F.col("key").alias("key_a"), F.col("blocks").alias("n_a"), F.explode(steps).alias("step"))
+    near = each.join(sizes.select(F.col("key").alias("key_b"), F.col("blocks").alias("n_b")), F.col("key_a") + F.col("step") == F.col("key_b"))
+    for side in "ab":
+        near = near.withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{side}") - 1)))
+    pairs = near.filter((F.col("step") != 0) | (F.col("block_a") <= F.col("block_b"))).select("key_a", "block_a", "key_b", "block_b")
+    for side in "ab":
+        pairs = pairs.join(blocks.select(F.col("key").alias(f"key_{side}"), F.col("block").alias(f"block_{side}"), F.col("fps").alias(side)), [f"key_{side}", f"block_{side}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +172,10 @@ def links(distinct: DataFrame, rules: SimhashRules) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return met.select("a", "b").mapInArrow(run, "a long, b long").filter(F.col("a") != F.col("b"))
+    return pairs.select("a", "b").mapInArrow(run, "a long, b long").filter(F.col("a") != F.col("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimhashRules = SimhashRules()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimhashRules = SimhashRules(), scratch: Scratch | None = None) -> DataFrame:
     """(id, fingerprint in hex, component_id) of each row.
 
     Equal fingerprints are one node, so copies cost nothing further; links
@@ -170,32 +183,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable. Null and empty texts have fingerprint zero and are
     linked like any other. Null ids are never a component's id unless it has
     no other. Repeated rows get equal results; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. The result reads tables in ``scratch``.
     """
-    prints = table(fingerprints(docs, id_col, text_col, rules), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp"), rules))
+    scratch = scratch or Scratch(docs.sparkSession)
+    prints = scratch.table(fingerprints(docs, id_col, text_col, rules), "prints")
+    nodes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), rules, scratch), scratch)
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
+    ids = scratch.table(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    of_fp = scratch.table(named.join(ids, "root").select("fp", "component_id"), "of_fp")
     out = prints.join(of_fp, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @dataclass(frozen=True)
 class NearRules:
-    """Shingle length in words, and how candidates are found.
+    """Shingle length in words, how candidates are found, and how they are dealt out.
 
     A band joins ``rows`` minima of a set of shingles; two sets of Jaccard
     similarity s agree in one with probability s to the power ``rows``. There are so
     many bands that a pair at the asked similarity meets in none of them with
     probability ``miss`` at most, whatever the texts.
+
+    ``block`` bounds the texts, and ``block_shingles`` about bounds the shingles, of a
+    block; a family of more than ``family`` texts is compared bucket by bucket.
     """
 
     shingle: int = 5
-    rows: int = 5
-    miss: float = 1e-7
+    rows: int = 6
+    miss: float = 1e-6
     seed: int = 42
+    block: int = 512
+    block_shingles: int = 1 << 19
+    family: int = 8192
     batch_bytes: int = 4 << 20
 
     def bands(self, similarity: float) -> int:
@@ -231,7 +251,7 @@ class Bands:
 
 
 def _banded(inner: DataFrame, rules: NearRules, similarity: float) -> DataFrame:
-    """(id, key, node, n, bands): digest and size of each text's set of shingles, and its buckets."""
+    """(id, k1, k2, node, n, bands): digest and size of each text's set of shingles, and its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(rules, similarity)
@@ -239,80 +259,190 @@ def _banded(inner: DataFrame, rules: NearRules, similarity: float) -> DataFrame:
             sets = [shingle_set(t, rules) for t in part.column("text").to_pylist()]
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             found = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), nodes, pa.array([len(x) for x in sets], pa.int64()), found], names=["id", "key", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, ("id", "k1", "k2")), nodes, pa.array([len(x) for x in sets], pa.int64()), found], names=["id", "k1", "k2", "node", "n", "bands"])
 
-    return inner.select("id", "key", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, key long, node binary, n long, bands array<long>")
+    return inner.select("id", "k1", "k2", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, k1 long, k2 long, node binary, n long, bands array<long>")
 
 
-def verified(edges: DataFrame, docs: DataFrame, similarity: float, rules: NearRules) -> DataFrame:
-    """The edges (a, b) whose nodes' texts share enough distinct shingles (Jaccard).
-
-    ``docs`` has node and text, one text for each node.
-    """
+def _with_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """``texts`` with the sorted hashes of each text's shingles in place of the text."""
+    others = [f for f in texts.schema.fields if f.name != "text"]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", rules.batch_bytes):
             found = [shingle_set(t, rules).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(found, pa.binary())], names=[*(f.name for f in others), "shingles"])
+
+    return texts.mapInArrow(run, StructType([*others, StructField("shingles", BinaryType())]))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            keep = []
-            for k in range(part.num_rows):
-                x, y = (np.frombuffer(part.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    shingles = table(docs.mapInArrow(sets, "node binary, shingles binary"), "shingles")
-    x = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary")
+def common(sets: list[np.ndarray], rows: int, first: int) -> np.ndarray:
+    """How many hashes the first ``rows`` sets share with those from ``first`` on.
 
+    Products of 0/1 matrices over the hashes that two sets or more hold, some
+    columns at a time.
+    """
+    sizes = [len(x) for x in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[column] > 1)
+    shared = shared[np.argsort(column[shared], kind="stable")]
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    out = np.zeros((rows, len(sets) - first), np.float32)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        low, high = np.searchsorted(column, [at, at + width])
+        held = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
+        held[owner[low:high], column[low:high] - at] = 1
+        out += held[:rows] @ held[first:].T
+    return out
+
+
+def alike(a: list[np.ndarray], b: list[np.ndarray], similarity: float, inside: bool) -> tuple[list[int], list[int]]:
+    """Edges of a forest with the components of all links between a and b, and those inside a if asked.
+
+    A link has a Jaccard similarity of ``similarity`` at least; all pairs are compared. Numbers
+    of b follow those of a.
+    """
+    sets, first = [*a, *b], 0 if inside else len(a)
+    found = Forest(len(sets))
+    if not a or len(sets) - first < 1 or len(sets) < 2:
+        return [], []
+    sizes = np.array([len(x) for x in sets], np.float64)
+    both = common(sets, len(a), first)
+    near = both >= similarity * (sizes[: len(a), None] + sizes[None, first:] - both)
+    for i in np.flatnonzero(near.sum(1) > int(inside)).tolist():
+        found.join(i, np.flatnonzero(near[i]) + first)
+    return found.left, found.right
+
+
+def _linked(rows: DataFrame, rules: NearRules, similarity: float, inside: bool) -> DataFrame:
+    """Verified edges (a, b) of each tile: rows of (g, i, j, side, node, shingles).
+
+    A tile's rows are sorted together and streamed, so a task holds one tile. Texts
+    of side 0 are compared with those of side 1, and among themselves if ``inside``
+    or if there are none.
+    """
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = DEDUP, similarity: float = 0.8) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, ([], []), ([], [])
+
+        def edges() -> pa.RecordBatch:
+            left, right = alike(*sets, similarity, inside or not sets[1])
+            every = nodes[0] + nodes[1]
+            return pa.RecordBatch.from_arrays([pa.array([every[k] for k in x], pa.binary()) for x in (left, right)], names=["a", "b"])
+
+        for part in slices(batches, "shingles", rules.batch_bytes):
+            keys = list(zip(*(part.column(c).to_pylist() for c in ("g", "i", "j")), strict=True))
+            for key, side, node, found in zip(keys, part.column("side").to_pylist(), part.column("node").to_pylist(), part.column("shingles"), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield edges()
+                    now, nodes, sets = key, ([], []), ([], [])
+                nodes[side].append(node)
+                sets[side].append(np.frombuffer(found.as_py(), np.uint64))
+        if now is not None:
+            yield edges()
+
+    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.select("g", "i", "j", "side", "node", "shingles").mapInArrow(run, "a binary, b binary").filter(F.col("a") != F.col("b"))
+
+
+def candidates(nodes: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
+    """(g, code): groups of texts, such that any two that share a bucket share a group.
+
+    ``nodes`` has code and bands. Texts joined by buckets are a family and that is their
+    group; a family of more than ``rules.family`` has its buckets as groups.
+    """
+    each = nodes.select("code", F.explode("bands").alias("bucket"))
+    least = each.groupBy("bucket").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low < high").select("bucket", "low")
+    met = scratch.table(each.join(scratch.table(least, "buckets"), "bucket").select("bucket", "code", "low"), "met")
+    roots = components(met.filter("code != low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct(), scratch)
+    family = met.select("code").distinct().join(roots, F.col("code") == F.col("node"), "left").select("code", F.coalesce("root", "code").alias("family"))
+    family = scratch.table(family, "families")
+    sizes = scratch.table(family.groupBy("family").agg(F.count("*").alias("m")), "sizes")
+    sized = family.join(sizes, "family")
+    whole = sized.filter(F.col("m") <= rules.family).select(F.col("family").alias("g"), "code")
+    large = sized.filter(F.col("m") > rules.family).select("code").join(met, "code").select(F.col("bucket").alias("g"), "code")
+    return whole.unionAll(large)
+
+
+def _up_to(n: Column) -> Column:
+    """0, 1, ... n - 1; none for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def near_links(inner: DataFrame, nodes: DataFrame, similarity: float, rules: NearRules, scratch: Scratch) -> DataFrame:
+    """(node, root) of texts linked to others: components of all verified links in groups of candidates.
+
+    A group is cut into blocks. Each block is compared inside and with the group's first
+    block, all of it exactly; that is linear in the group. What verified links have
+    joined to the group's largest component by then needs no comparison among itself;
+    the texts outside are compared in blocks with one another and with all texts of the component.
+    """
+    members = scratch.table(candidates(nodes, rules, scratch).join(nodes.select("code", "node", "n"), "code").select("g", "node", "n"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / rules.block), F.ceil(F.sum("n") / rules.block_shingles)).cast("long")
+    sizes = scratch.table(members.groupBy("g").agg(blocks.alias("blocks")), "blocks")
+    placed = scratch.table(members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+    wanted = placed.select("node").distinct().join(nodes, "node").select("node", "least.k1", "least.k2")
+    # rows that are equal in id and text share their keys: one of them is as good as another
+    texts = inner.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
+    sets = scratch.table(_with_sets(texts, rules), "sets")
+
+    # a text is in the tile of its block, and one of the first block in the tiles of all others too
+    place = lambda i, side: F.struct(i.alias("i"), F.lit(side).alias("side"))
+    others = F.transform(_up_to(F.when(F.col("block") == 0, F.col("blocks") - 1).otherwise(F.lit(0).cast("long"))), lambda k: place(k + 1, 1))
+    tiles = F.concat(F.array(place(F.col("block"), 0)), others)
+    first = placed.select("g", "node", F.explode(tiles).alias("t")).select("g", F.col("t.i").alias("i"), F.lit(0).cast("long").alias("j"), F.col("t.side").alias("side"), "node")
+    held = scratch.table(_linked(first.join(sets, "node"), rules, similarity, True), "links")
+    roots = components(held, scratch)
+
+    # groups of several blocks that are not one component yet
+    many = placed.filter("blocks > 1").join(roots.withColumnRenamed("root", "label"), "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("label"))
+    labels = many.groupBy("g", "label").agg(F.count("*").alias("c"))
+    open_ = scratch.table(labels.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("g", F.col("top.label").alias("main")), "open")
+    if open_.isEmpty():
+        return roots
+    rest = scratch.table(many.join(open_, "g").select("g", "node", "n", (F.col("label") == F.col("main")).alias("joined")), "rest")
+    count = lambda test: F.greatest(F.ceil(F.count_if(test) / rules.block), F.ceil(F.sum(F.when(test, F.col("n")).otherwise(0)) / rules.block_shingles)).cast("long")
+    sizes = scratch.table(rest.groupBy("g").agg(count(~F.col("joined")).alias("out"), count(F.col("joined")).alias("in")), "rest_blocks")
+    cut = rest.join(sizes, "g").withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("in")).otherwise(F.col("out"))))
+    tile = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    k = F.col("k")
+    outside = F.concat(
+        F.transform(_up_to(F.col("out")), lambda o: F.when(o < k, tile(o, k, 1)).otherwise(tile(k, o, 0))),
+        F.transform(_up_to(F.col("in")), lambda m: tile(k, -1 - m, 0)),
+    )
+    inside = F.transform(_up_to(F.col("out")), lambda o: tile(o, -1 - k, 1))
+    second = cut.select("g", "node", F.explode(F.when(F.col("joined"), inside).otherwise(outside)).alias("t")).select("g", "t.i", "t.j", "t.side", "node")
+    more = scratch.table(_linked(second.join(sets, "node"), rules, similarity, False), "more_links")
+    return components(held.unionAll(more), scratch)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = DEDUP, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
     Texts with the same set of shingles are one node; two nodes are linked if the
     Jaccard similarity of their sets is at least ``similarity``, and a group is all
-    that links reach. Candidates share a bucket. Each is first compared with the
-    least node of its buckets; of the others in a bucket only those pairs are
-    passed over that verified links have joined by then. The smallest id of a group
-    stays (null ids only if there is no other), of equal ids the smallest text
-    hash, of equal rows one. Texts without a word are one group.
+    that links reach. Candidates share a bucket, and links are verified before any
+    groups are formed. The smallest id of a group stays (null ids only if there is
+    no other), of equal ids the smallest hash of id and text, and of rows equal in both the
+    one whose columns have the least hash. Null and empty texts, as all without a word, are
+    one group; an empty table gives an empty result; columns may have any names. The
+    result reads tables in ``scratch``.
     """
-    inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumn("key", text_key("id", "text"))
-    prints = table(_banded(inner, rules, similarity), "prints")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    nodes = table(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
-    bucket = Window.partitionBy("bucket")
-    each = prints.select("node", "n", "bands").dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("bucket"))
-    met = each.withColumns({"first": F.min(F.struct("node", "n")).over(bucket), "k": F.count("*").over(bucket)}).filter("k > 1")
-    members = table(met.select("bucket", "node", "n", "first"), "members")
-
-    def near(n: Column, m: Column) -> Column:
-        """Sizes that allow the similarity, with room for rounding."""
-        return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
-
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        edges = table(pairs.distinct(), name)
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        reps = nodes.join(ends, "node", "left_semi").select("node", F.col("least.id").alias("rep_id"), F.col("least.key").alias("rep_key"))
-        texts = inner.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text").dropDuplicates(["node"])
-        return table(verified(edges, texts, similarity, rules), f"{name}_held")
-
-    stars = members.filter((F.col("node") != F.col("first.node")) & near(F.col("n"), F.col("first.n"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    held = links_of(stars, "stars")
-    named = table(members.join(components(held).withColumnRenamed("root", "label"), "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "named")
-    mixed = table(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket"), "mixed")
-    open_ = named.join(mixed, "bucket")
-    left, right = open_.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label")]), open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
-    across = left.join(right, "bucket").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & near(F.col("n_a"), F.col("n_b")))
-    rest = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(stars.distinct(), ["a", "b"], "left_anti")
-    roots = components(held.unionAll(links_of(rest, "rest"))).withColumnRenamed("node", "of")
+    scratch = scratch or Scratch(docs.sparkSession)
+    k1, k2 = row_keys("id", "text")
+    inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumns({"k1": k1, "k2": k2})
+    prints = scratch.table(_banded(inner, rules, similarity), "prints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    nodes = prints.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = scratch.table(nodes.withColumn("code", F.xxhash64("node")), "nodes")
+    roots = near_links(inner, nodes, similarity, rules, scratch).withColumnRenamed("node", "of")
     best = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    stay = best.select(F.col("least.id").alias("stay_id"), F.col("least.key").alias("stay_key"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_key(f"`{id_col}`", f"`{text_col}`").alias("key"))
-    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    stay = best.select("least.k1", "least.k2")
+    own = row_keys(f"`{id_col}`", f"`{text_col}`")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own[0].alias("k1"), own[1].alias("k2"), F.xxhash64(*hashable(docs)).alias("rank"))
+    kept = keyed.join(stay, ["k1", "k2"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("rank"))
     return kept.withColumn("n", first).filter("n = 1").select("row.*")

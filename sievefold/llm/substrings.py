@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sievefold.llm.shared import keep_columns, remove, settle, slices, split_words, stored, table
+from sievefold.llm.shared import Scratch, keep_columns, row_keys, slices, split_words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -28,7 +29,7 @@ class SubstringRules:
     """
 
     window: int = 35
-    start: int = 18
+    start: int = 9
     batch_bytes: int = 4 << 20
 
     def levels(self) -> list[int]:
@@ -129,14 +130,18 @@ def _gathered(runs: DataFrame) -> DataFrame:
     return runs.groupBy("k1", "k2").agg(F.collect_set("run").alias("places"))
 
 
-def _repeated(places: DataFrame) -> DataFrame:
-    """The places (k1, k2, run) whose hash h occurs twice or more."""
-    # partial counts before the shuffle; the join splits a hash that very many places share
-    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+def _repeated(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """The places (k1, k2, run) whose hash h occurs twice or more.
+
+    Hashes are counted in part before the shuffle. The repeated ones are written, so that
+    places meet them in a join of two exchanges, where those of one very common
+    hash are dealt over tasks as a skewed key.
+    """
+    often = scratch.table(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     return places.join(often, "h", "left_semi").select("k1", "k2", "run")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SubstringRules = SubstringRules()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SubstringRules = SubstringRules(), scratch: Scratch | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text) of each document.
 
     A word goes if a window of ``window`` words over it starts anywhere else
@@ -150,17 +155,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of them; what isn't settled so is compared window by window, with one
     specimen of each settled group of the same sub-window. Both have 128 bits.
 
-    Texts are shuffled for each level after the first and for the result, by a
-    hash of id and text. Positions of one document are gathered, never those
-    of one hash; each level's places are written to the shared folder.
+    Texts are shuffled once, into buckets by a hash of id and text that all levels and the
+    result read; only places are shuffled after that. Positions of one document
+    are gathered, never those of one hash. Tables are in ``scratch``, which the result reads.
     Rows with equal id and text count as two texts and get equal
     results; null ids are kept apart from others; null and empty texts have
     no words; an empty table gives an empty result; other columns are ignored.
     """
     levels = rules.levels()
-    # 128 bits for the pair of id and text, null ids apart: never null, and longs whatever the id's type
-    apart = F.col("id").isNull()
-    inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", apart, "id")})
+    scratch = scratch or Scratch(docs.sparkSession)
+    k1, k2 = row_keys("id", "text")
+    inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumns({"k1": k1, "k2": k2})
     id_kind = inner.schema["id"].dataType.simpleString()
     window, size = rules.window, rules.batch_bytes
 
@@ -223,26 +228,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    spark, run = docs.sparkSession, "k1 long, k2 long, run long"
-    empty = F.array().cast("array<long>")
-    texts = inner.select("k1", "k2", "text")
-    kind = f"{run}, h long"
-    level = [stored(texts.mapInArrow(first, kind), "places")]
-    repeated = lambda: _gathered(_repeated(spark.read.schema(kind).parquet(level[-1])))
+    run, empty = "k1 long, k2 long, run long", F.array().cast("array<long>")
+    dealt = scratch.bucketed(inner, "texts", "k1", "k2")
+    texts = dealt.select("k1", "k2", "text")
+    kind = StructType.fromDDL(f"{run}, h long")
+    path = scratch.write(texts.mapInArrow(first, kind), "places")
     for before, length in zip(levels, levels[1:-1], strict=False):
-        level.append(stored(texts.join(repeated(), ["k1", "k2"]).mapInArrow(longer(length, before), kind), "places"))
-    spans = table(texts.join(repeated(), ["k1", "k2"]).mapInArrow(groups, f"{kind}, s1 long, s2 long"), "groups")
-    for path in level:  # only the groups are read from here on
-        remove(spark, path)
-    settle(spark)
-    counted = table(spans.groupBy("h", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "run")).alias("one")), "spans")
-    open_ = counted.filter("c = 1").select("h").distinct()
+        alive = _gathered(_repeated(scratch.read(path, kind), scratch))
+        path, old = scratch.write(texts.join(alive, ["k1", "k2"]).mapInArrow(longer(length, before), kind), "places"), path
+        scratch.drop(old)
+    alive = _gathered(_repeated(scratch.read(path, kind), scratch))
+    spans = scratch.table(texts.join(alive, ["k1", "k2"]).mapInArrow(groups, f"{run}, h long, s1 long, s2 long"), "groups")
+    scratch.drop(path)
+    counted = scratch.table(spans.groupBy("h", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "run")).alias("one")), "spans")
+    open_ = scratch.table(counted.filter("c = 1").select("h").distinct(), "open")
     tried = counted.join(open_, "h", "left_semi").groupBy("one.k1", "one.k2").agg(*[F.collect_set(F.when(test, F.col("one.run"))).alias(n) for n, test in (("once", F.col("c") == 1), ("often", F.col("c") > 1))])
-    windows = table(texts.join(tried, ["k1", "k2"]).mapInArrow(each, f"{run}, s1 long, s2 long, settled int"), "windows")
-    settle(spark)
-    often = windows.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("settled").alias("settled")).filter("n > 1 or settled = 1").select("s1", "s2")
+    windows = scratch.table(texts.join(tried, ["k1", "k2"]).mapInArrow(each, f"{run}, s1 long, s2 long, settled int"), "windows")
+    often = scratch.table(windows.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.max("settled").alias("settled")).filter("n > 1 or settled = 1").select("s1", "s2"), "often")
     some = windows.filter("settled = 0").join(often, ["s1", "s2"], "left_semi").select("k1", "k2", "run")
     whole = spans.join(counted.filter("c > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("k1", "k2", "run")
-    marked = inner.join(_gathered(some.unionAll(whole)), ["k1", "k2"], "left").select("id", "text", F.coalesce("places", empty).alias("places"))
+    marked = dealt.join(_gathered(some.unionAll(whole)), ["k1", "k2"], "left").select("id", "text", F.coalesce("places", empty).alias("places"))
     result = marked.mapInArrow(last, f"id {id_kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return result.withColumnRenamed("id", id_col)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sievefold.llm import chat, decontam, packing, pii, quality, secrets, simhash, substrings, tokens, warc
 from sievefold.llm.components import components
+from sievefold.llm.shared import Scratch
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, id string, `row` int, n_chars long"
@@ -152,7 +153,7 @@ def test_substrings(spark, docs, texts):
                 keep[i : i + 35] = [False] * 35
         kept = [x for x, k in zip(w, keep, strict=True) if k]
         want[doc, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()] += 1
-    for rules in (substrings.SubstringRules(), substrings.SubstringRules(start=8)):
+    for rules in (substrings.SubstringRules(), substrings.SubstringRules(start=18), substrings.SubstringRules(start=4)):
         got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs, rules=rules).drop("kept_text").collect())
         assert got == want
     assert substrings.remove_repeats(empty(spark)).count() == 0
@@ -238,9 +239,16 @@ def test_simhash(spark, docs, texts):
 
 
 def test_components(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 300), (5, 5)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys([*range(1, 41), 300], 0), 101: 100, 102: 100} | {k: v for k, v in got.items() if k == v}
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 300), (5, 5), (1000, 400)] + [(2000 + k, 1500) for k in range(60)]
+    edges += [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120)]
+    want = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
+    assert {r["node"]: r["root"] for r in got} == {k: v for k, v in want.items() if k != v} and len(got) == len({r["node"] for r in got})
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def test_one_of_each_group_stays(spark):
@@ -414,3 +422,72 @@ def test_chat_budget_holds_for_formatted_windows(spark):
         assert n <= w["tokens"] and w["tokens"] - n <= w["context_turns"] + w["new_turns"]
         assert w["over_budget"] or n <= 2048
     assert len([w for w in got if w["conv_id"] == 1]) >= 13 and any(w["over_budget"] for w in got if w["conv_id"] == 3)
+
+
+def family(rng, n, words, changes, fresh):
+    base, out = [f"v{rng.randrange(10**6)}" for _ in range(words)], []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.choice(changes)):
+            w[k] = f"x{next(fresh)}"
+        out.append(w)
+    return out
+
+
+def groups_of(texts):
+    """Number of the group of each text, by all pairs."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_large_groups_are_compared_in_blocks(spark):
+    """Small blocks and families, so that all ways of dealing a group out are taken; every way gives the brute-force groups."""
+    rng, fresh = random.Random(21), iter(range(10**6))
+    texts = [w for k in range(3) for w in family(rng, 50, 120, (1, 2, 3, 4, 5), fresh)] + family(rng, 30, 60, (6, 8), fresh)
+    want = sorted(set(groups_of(texts)))
+    frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate(texts)], SCHEMA)
+    assert 3 < len(want) < len(texts)
+    for rules in (simhash.NearRules(), simhash.NearRules(block=8), simhash.NearRules(block=8, family=20), simhash.NearRules(block_shingles=600, family=1)):
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame, rules=rules).collect()) == want
+
+
+def test_links_through_failing_candidates_are_kept(spark):
+    """A is near B and C in fingerprint only; B and C are near in fact."""
+    rng, fresh = random.Random(22), iter(range(10**6))
+    b, c = family(rng, 2, 300, (3,), fresh)
+    a = b[:190] + [f"z{k}" for k in range(110)]
+    assert groups_of([a, b, c]) == [0, 1, 1]
+    frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate([a, b, c])], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()) == [0, 1]
+
+
+def test_recall_of_candidates():
+    """Of random pairs at 0.80-0.85 all share a bucket."""
+    rng, rules = np.random.default_rng(23), simhash.DEDUP
+    bands = simhash.Bands(rules, 0.8)
+    assert len(bands.start) == rules.bands(0.8) and (1 - 0.8**rules.rows) ** rules.bands(0.8) <= rules.miss
+    for n in (40, 300, 3000):
+        for _ in range(60):
+            both, own = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n // 4, np.uint64)
+            cut = int(rng.integers(0, len(own) + 1))
+            x, y = (np.sort(np.r_[both, part]) for part in (own[:cut], own[cut:]))
+            assert n / (n + len(own)) >= 0.8 and (bands(x) == bands(y)).any()
+
+
+def test_near_duplicates_edge_cases(spark):
+    text = " ".join(f"k{i}" for i in range(40))
+    frame = spark.createDataFrame([(None, text, "a", 1, 2), (3, text, "a", 1, 2), (3, text, "b", 1, 2), (3, text, "a", 1, 2), (4, None, None, None, None), (5, "", "x", None, None), (6, " \n", None, None, None), (7, "w " * 20_000, None, None, None), (8, "w " * 19_000, None, None, None)], SCHEMA)
+    got = [tuple(r) for r in simhash.drop_near_duplicates(frame).collect()]
+    assert sorted(r[0] for r in got) == [3, 4, 7]
+    again = [tuple(r) for r in simhash.drop_near_duplicates(frame.repartition(3, "id")).collect()]
+    assert sorted(again, key=repr) == sorted(got, key=repr)
+    assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+    odd = frame.withColumnsRenamed({"id": "k1", "row": "node", "n_chars": "text.x"})
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns

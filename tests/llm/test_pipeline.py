@@ -24,13 +24,17 @@ def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
 
-def test_written_tables_can_be_dropped(spark, sf):
+def test_written_tables_can_be_dropped(spark):
     from sievefold.llm import shared
 
-    held = shared.table(spark.range(3), "held")
-    path = shared._WRITTEN[-1]
-    assert held.count() == 3
-    shared.drop_tables(spark)
+    scratch = shared.Scratch(spark)
+    held, other = scratch.table(spark.range(3), "held"), scratch.table(spark.range(5), "other")
+    dealt = scratch.bucketed(spark.range(4), "dealt", "id")
+    assert (held.count(), other.count(), dealt.count()) == (3, 5, 4)
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) and not shared._WRITTEN
+    where = jvm.org.apache.hadoop.fs.Path(scratch.path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mine = set(scratch._tables)
+    assert mine <= {t.name for t in spark.catalog.listTables()}
+    scratch.drop()
+    assert not files.exists(where) and not mine & {t.name for t in spark.catalog.listTables()}
