@@ -13,6 +13,60 @@ def with_stats(df: DataFrame, *stats: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*stats)))
 
 
+#: Up to so many values an exact percentile is one aggregate, which holds each distinct value once.
+HELD = 1_000_000
+
+
+def _rank(df: DataFrame, x: Column, k: int, n: int, bound: int) -> float:
+    """The k-th least (from 0) of n values that aren't null.
+
+    A histogram of equal bins over the range names the bin that holds the rank, and the range narrows
+    to that bin until it has ``bound`` values at most or is one value; each round is one narrow
+    aggregate of at most 4,096 rows.
+    """
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    bins = 4096
+    part = df.select(x.cast("double").alias("x")).filter(F.col("x").isNotNull())
+    while n > bound and low < high:
+        width = (high - low) / bins
+        place = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
+        rows = part.filter(F.col("x").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for r in sorted(rows):
+            if k < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            k -= r["n"]
+    if low == high:
+        return low
+    return part.filter(F.col("x").between(low, high)).agg(F.sort_array(F.collect_list("x"))[k]).first()[0]
+
+
+def percentiles(df: DataFrame, columns: Sequence[str | Column], ps: Sequence[float], held: int = HELD) -> list[list[float | None]]:
+    """Exact percentiles with linear interpolation, a list for each column; nulls are left out.
+
+    Of more than ``held`` values no task gathers the distinct ones: each rank is found by
+    narrowing. A column without values gives nulls.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    counts = df.agg(*[F.count(c) for c in cols]).first()
+    if max(counts, default=0) <= held:
+        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, map(float, ps)))) for c in cols]).first()
+        return [list(v) if v is not None else [None] * len(ps) for v in row]
+    out = []
+    for c, n in zip(cols, counts, strict=True):
+        one = []
+        for p in ps:
+            if not n:
+                one.append(None)
+                continue
+            at = p * (n - 1)
+            k = int(at)
+            low = _rank(df, c, k, n, held)
+            one.append(low if at == k else low + (at - k) * (_rank(df, c, k + 1, n, held) - low))
+        out.append(one)
+    return out
+
+
 def rescale(x: Column, low: Column, high: Column, to: tuple[float, float], constant: float) -> Column:
     """Min-max to ``to``; null and a constant column give ``constant``."""
     span = high - low
@@ -42,13 +96,11 @@ def standard_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_std")
 
 def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_robust") -> DataFrame:
     """median and interquartile range; zero counts as 1."""
-    stats = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    out = with_stats(df, *stats)
-    for c in columns:
-        q = F.col(f"_q_{c}")
-        spread = q[2] - q[0]
-        out = out.withColumn(c + suffix, (F.col(c) - q[1]) / F.when(spread == 0, 1.0).otherwise(spread))
-    return out.drop(*[f"_q_{c}" for c in columns])
+    out = {}
+    for c, (low, mid, high) in zip(columns, percentiles(df, columns, (0.25, 0.5, 0.75)), strict=True):
+        spread = 1.0 if mid is None or high == low else high - low
+        out[c + suffix] = (F.col(c) - F.lit(mid).cast("double")) / spread
+    return df.withColumns(out)
 
 
 def zscore(x: Column, mean: Column, std: Column, epsilon: float = 1e-8) -> Column:
@@ -68,9 +120,7 @@ def pcm16(x: Column) -> Column:
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """P10: exact medians."""
-    medians = df.agg(*[F.median(c).alias(f"_med_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(medians))
-    return out.withColumns({c: F.coalesce(c, f"_med_{c}") for c in columns}).drop(*[f"_med_{c}" for c in columns])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, (m,) in zip(columns, percentiles(df, columns, (0.5,)), strict=True)})
 
 
 def hann(i: Column, size: int) -> Column:

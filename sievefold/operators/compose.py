@@ -10,8 +10,9 @@ from pyspark.sql.types import NumericType
 
 from sievefold.operators.profile import display_value, non_null_count
 
-# Instruments by table position, words of the two moods, notes of each mood in Hz.
+# Instruments by table position and their waveforms, words of the two moods, notes of each mood in Hz.
 INSTRUMENTS = ("piano", "synth", "bass", "lead", "pad", "pluck", "bell", "drum")
+OSCILLATORS = {"piano": "triangle", "synth": "sawtooth", "bass": "square", "lead": "sine", "pad": "triangle", "pluck": "square", "bell": "sine", "drum": "noise"}
 RISK = ("debt", "overdue", "default", "late", "reject", "negative")
 POSITIVE = ("approve", "good", "high", "income", "positive", "active")
 SCALES = {
@@ -83,6 +84,12 @@ def part(df: DataFrame, table: str, position: int, keys: Sequence[str]) -> DataF
     return df.select(*keys, F.lit(table).alias("table_name"), F.lit(INSTRUMENTS[position % len(INSTRUMENTS)]).alias("instrument"), m.alias("mood"), F.element_at(scale, m).alias("scale"), tempo(n).alias("tempo"), volume(n).alias("volume"), notes.alias("melody"))
 
 
+def oscillator(instrument: Column) -> Column:
+    """the waveform of an instrument; unknown ones sound like the synth."""
+    known = F.create_map(*[F.lit(x) for pair in OSCILLATORS.items() for x in pair])
+    return F.coalesce(F.element_at(known, instrument), F.lit(OSCILLATORS["synth"]))
+
+
 def schedule(notes: DataFrame, instrument: Column, bpm: Column) -> DataFrame:
     """delay in ms of each note and loudness in dB."""
     return notes.withColumns({"delay": (2000 * instrument + 1000 * F.col("start_time")) / bpm, "db": -20 + 15 * F.col("volume")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import median_impute, robust_scale, standard_scale, with_stats
-from sievefold.operators.forest import fit_score, sample_matrix, score_rows
+from sievefold.operators.forest import Forest, fit_score, sample_matrix, score_rows
 from sievefold.operators.rowid import chunk_id
 
 EPSILON = 1e-8
@@ -117,6 +117,26 @@ def morphology(df: DataFrame, key: str, columns: Sequence[str], contamination: f
     return df.select(key, *columns, chunk_id(F.col(key), chunk).alias("chunk_id")).groupBy("chunk_id").applyInPandas(run, f"{key} {kind}, score double, vote int")
 
 
+def _features(df: DataFrame, key: str, columns: Sequence[str], chunk: int, of) -> DataFrame:
+    """(key, features): ``of`` maps one chunk's matrix to a row of features for each of its rows."""
+
+    def run(pdf):
+        return pdf[[key]].assign(features=list(of(pdf[list(columns)].to_numpy(float))))
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *columns, chunk_id(F.col(key), chunk).alias("chunk_id")).groupBy("chunk_id").applyInPandas(run, f"{key} {kind}, features array<double>")
+
+
+def morphology_rows(df: DataFrame, key: str, columns: Sequence[str], chunk: int = 300) -> DataFrame:
+    """V5, V6: the features of each row as an image, scaled by its chunk's range."""
+    return _features(df, key, columns, chunk, lambda x: morphology_features(x, x.min(), x.max()))
+
+
+def statistics_rows(df: DataFrame, key: str, columns: Sequence[str], chunk: int = 300) -> DataFrame:
+    """D12."""
+    return _features(df, key, columns, chunk, row_statistics)
+
+
 # neighbours and envelopes: the extended profile ---------------------------
 
 
@@ -284,11 +304,97 @@ REGISTRY = {"isolation_forest": fit_score, "zscore": zscore, "mahalanobis": maha
 EFFECTIVE4 = ("isolation_forest", "zscore", "mahalanobis", "morphological")
 
 
+@dataclass
+class ChunkScores:
+    """What scoring whole chunks by the four effective methods needs: statistics of all rows and a bounded sample's models."""
+
+    contamination: float
+    mean: np.ndarray
+    std: np.ndarray
+    inverse: np.ndarray
+    model: Forest | None
+    cut: float
+    features: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def fit(cls, df: DataFrame, key: str, columns: Sequence[str], contamination: float, sample: int = 10_000, trees: int = 50, seed: int = 42) -> ChunkScores:
+        """One aggregate of all rows and one sample of at most ``sample`` rows. Q4: models are trained and applied in standardized space."""
+        k = len(columns)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns], *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
+        mean, std = (np.array([v or 0.0 for v in row[at : at + k]], float) for at in (0, k))
+        cov = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[2 * k :], strict=True):
+            cov[i, j] = cov[j, i] = v or 0.0
+        x = (sample_matrix(df, key, columns, sample, seed) - mean) / np.where(std == 0, 1, std)
+        model = Forest.fit(x, trees, seed) if len(x) else None
+        cut = float(np.percentile(model.score(x), 100 * (1 - contamination))) if model else 0.0
+        f = morphology_features(x, float(x.min()), float(x.max())) if len(x) else np.zeros((1, 9))
+        return cls(contamination, mean, std, np.linalg.pinv(cov), model, cut, (f.mean(0), f.std(0)))
+
+    def __call__(self, x: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """(scores, votes) of each method; ``ends`` says where the chunks of the rows end."""
+        limit, d = normal_quantile(1 - self.contamination), x - self.mean
+        z = (np.abs(d) / (self.std + EPSILON)).max(1)
+        far = np.sqrt(np.maximum(((d @ self.inverse) * d).sum(1), 0))
+        scaled = d / np.where(self.std == 0, 1, self.std)
+        lone = self.model.score(scaled)
+        far_vote, odd = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            far_vote[a:b] = far[a:b] > np.percentile(far[a:b], 100 * (1 - self.contamination))
+            f = morphology_features(scaled[a:b], scaled[a:b].min(), scaled[a:b].max())
+            odd[a:b] = (np.abs(f - self.features[0]) / (self.features[1] + EPSILON)).max(1)
+        return {"isolation_forest": (lone, lone > self.cut), "zscore": (z, z > limit), "mahalanobis": (far, far_vote), "morphological": (odd, odd > limit)}
+
+
+def chunk_votes(df: DataFrame, key: str, columns: Sequence[str], methods: Sequence[str] = EFFECTIVE4, contamination: float = 0.05, chunk: int = 300) -> DataFrame:
+    """(key, a vote for each method, method_specific_scores) of the effective methods in one pass.
+
+    Rows are shuffled once, by chunk, and stream through a task chunk after chunk; all
+    scores of a row are taken together. ``key`` is a dense row id, and columns hold no nulls.
+    """
+    score = ChunkScores.fit(df, key, columns, contamination)
+    names = sorted(methods)
+
+    def out(ids: pa.Array, x: np.ndarray, chunks: np.ndarray) -> pa.RecordBatch:
+        ends = np.r_[np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, len(chunks)]
+        found = score(x, ends)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(np.asarray(found[m][1], np.int32)) for m in methods), *(pa.array(found[m][0]) for m in names)], names=[key, *methods, *(f"score_{m}" for m in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(cut: int | None) -> Iterator[pa.RecordBatch]:
+            """The rows held, but for the last chunk, which may go on in the next batch."""
+            nonlocal held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            chunks = rows.column("chunk_id").to_numpy()
+            n = len(chunks) if cut is None else int(np.searchsorted(chunks, cut))
+            if n:
+                part = rows.slice(0, n)
+                yield out(part.column(key).combine_chunks(), np.column_stack([part.column(c).to_numpy() for c in columns]), chunks[:n])
+            held = rows.slice(n).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                yield from whole(batch.column("chunk_id")[-1].as_py())
+        if held:
+            yield from whole(None)
+
+    kind = df.schema[key].dataType.simpleString()
+    dealt = df.select(key, *columns, chunk_id(F.col(key), chunk).alias("chunk_id")).repartition("chunk_id").sortWithinPartitions("chunk_id")
+    found = dealt.mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{m} int" for m in methods), *(f"score_{m} double" for m in names)]))
+    scores = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"score_{m}") for m in names]))
+    return found.select(key, *methods, scores.alias("method_specific_scores"))
+
+
 @dataclass(frozen=True)
 class ConsensusDetector:
     """Imputes, scales where a method wants it, votes and explains. ``key`` is a dense row id.
 
-    Q4: the forest is trained and applied in the same standardized space.
+    The four effective methods are scored in one pass by chunk. Others are fitted on samples
+    and scored each in a narrow pass; their votes meet in one shuffle on the key.
     """
 
     methods: tuple[str, ...] = EFFECTIVE4
@@ -298,17 +404,23 @@ class ConsensusDetector:
 
     def votes(self, df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
         raw = median_impute(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), columns)
+        effective, others = ([m for m in self.methods if (m in EFFECTIVE4) == own] for own in (True, False))
+        together = chunk_votes(raw, key, columns, effective, self.contamination) if effective else None
+        if not others:
+            return together
         scaled = standard_scale(raw, columns).select(key, *[F.col(f"{c}_std").alias(c) for c in columns])
         robust = robust_scale(raw, columns).select(key, *[F.col(f"{c}_robust").alias(c) for c in columns])
-        space = {"isolation_forest": scaled, "morphological": scaled, "ocsvm": scaled, "elliptic": scaled, "lof": robust, "knn": robust}
-        # long form and one grouped pass: methods meet in a single shuffle on the key
+        space = {"ocsvm": scaled, "elliptic": scaled, "lof": robust, "knn": robust}
         every = None
-        for m in self.methods:
-            one = REGISTRY[m](space.get(m, raw), key, columns, contamination=self.contamination).select(key, F.lit(m).alias("method"), "score", "vote")
+        for m in others:
+            one = REGISTRY[m](space[m], key, columns, contamination=self.contamination).select(key, F.lit(m).alias("method"), "score", "vote")
             every = one if every is None else every.unionByName(one)
-        wide = [F.max(F.when(F.col("method") == m, F.col("vote"))).alias(m) for m in self.methods]
-        scores = F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "score"))))
-        return every.groupBy(key).agg(*wide, scores.alias("method_specific_scores"))
+        wide = [F.max(F.when(F.col("method") == m, F.col("vote"))).alias(m) for m in others]
+        apart = every.groupBy(key).agg(*wide, F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "score")))).alias("own_scores"))
+        if not effective:
+            return apart.withColumnRenamed("own_scores", "method_specific_scores")
+        both = together.join(apart, key)
+        return both.select(key, *self.methods, F.map_concat("method_specific_scores", "own_scores").alias("method_specific_scores"))
 
     def transform(self, df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
         return consensus(self.votes(df, key, columns), self.methods, self.confidence_threshold, self.min_votes)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievefold.operators.ordered import ahead, from_parts, in_order, running_sum
+from sievefold.sources.store import Scratch
+
 
 def only_flagged(df: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
     """J1, P16. No hint: the optimizer broadcasts the flagged side only while it is small."""
@@ -58,11 +61,19 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def cover_counts(regions: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
+def cover_counts(regions: DataFrame, low: int = 0, high: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """For each covered index, how many [start, end) regions cover it.
 
-    Deltas are added up by index first, so no index gathers its regions.
+    A region is +1 where it starts and -1 where it ends. These are added up by index,
+    summed along the order of indexes, and each stretch between two of
+    them makes its rows once, however many regions cover it.
     """
     start, end = F.greatest("start", F.lit(low)), F.col("end") if high is None else F.least("end", F.lit(high))
-    kept = regions.select(start.alias("start"), end.alias("end")).filter("start < end")
-    return kept.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("idx")).groupBy("idx").agg(F.count("*").alias("k"))
+    kept = regions.select(start.cast("long").alias("start"), end.cast("long").alias("end")).filter("start < end")
+    each = kept.select(F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))))
+    ordered = in_order(each.groupBy("at").agg(F.sum("d").alias("d")), ["at"], scratch or Scratch(regions.sparkSession))
+    firsts = sorted((r["_part"], r["f"]) for r in ordered.groupBy("_part").agg(F.min("at").alias("f")).collect())
+    after = {part: (firsts[k + 1][1] if k + 1 < len(firsts) else None,) for k, (part, _) in enumerate(firsts)}
+    summed = from_parts(running_sum(ordered, F.col("d"), "k"), after, "_next long")
+    stretch = summed.withColumn("to", F.coalesce(F.lead("at").over(ahead()), F.col("_next"))).filter("k > 0")
+    return stretch.select(F.explode(F.sequence("at", F.col("to") - 1)).alias("idx"), "k")

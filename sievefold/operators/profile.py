@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from sievefold.functions.scaling import percentiles
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """P8."""
@@ -36,12 +38,18 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, above:
     return out.withColumn("is_continuous", F.col("n_unique") > above)
 
 
-def continuous_columns(df: DataFrame) -> list[str]:
+def continuous_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     """Numeric columns with more than two values, nulls not counted.
 
-    Two values of each are enough to know, so a bounded set is collected.
+    Least and greatest value are one aggregate; a column has more if any value lies
+    between, which is one more aggregate over all columns.
     """
-    return [r["column_name"] for r in distinct_counts(df).filter("is_continuous").collect()]
+    columns = list(columns or numeric_columns(df))
+    if not columns:
+        return []
+    ends = df.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")) for c in columns]).first()
+    between = [F.coalesce(F.max((F.col(c) > F.lit(e["low"])) & (F.col(c) < F.lit(e["high"]))), F.lit(False)) for c, e in zip(columns, ends, strict=True)]
+    return [c for c, more in zip(columns, df.agg(*between).first(), strict=True) if more]
 
 
 def skewness(x: str) -> Column:
@@ -66,8 +74,8 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
     """V2."""
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns}
-    return _unpivot(df, {c: {"q1": q[c][0], "q3": q[c][1], "lower": q[c][0] - factor * (q[c][1] - q[c][0]), "upper": q[c][1] + factor * (q[c][1] - q[c][0])} for c in columns})
+    rows = [(c, q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) if q1 is not None else (c, *[None] * 4) for c, (q1, q3) in zip(columns, percentiles(df, columns, (0.25, 0.75)), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, q1 double, q3 double, lower double, upper double")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,11 +90,17 @@ def covariance_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("cov")) for k, (a, b) in enumerate(pairs)])))
 
 
-def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Equal bins from least to greatest; the last is closed on the right."""
-    edges = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    place = F.when(F.col("_high") == F.col("_low"), 0).otherwise(F.least(F.floor((F.col(column) - F.col("_low")) / ((F.col("_high") - F.col("_low")) / bins)), F.lit(bins - 1)))
-    return df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, column: str, bins: int = 50, density: bool = False) -> DataFrame:
+    """Equal bins from least to greatest; the last is closed on the right.
+
+    With ``density`` also each bin's share of the rows over its width; null for a constant column.
+    """
+    edges = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count(column).alias("_n"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    place = F.when(F.col("_high") == F.col("_low"), 0).otherwise(F.least(F.floor((F.col(column) - F.col("_low")) / width), F.lit(bins - 1)))
+    out = [F.count("*").alias("n")] + ([F.first(F.try_divide(F.lit(1.0), F.col("_n") * width)).alias("_each")] if density else [])
+    got = df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(place.cast("int").alias("bin")).agg(*out)
+    return got.select("bin", "n", (F.col("n") * F.col("_each")).alias("density")) if density else got
 
 
 def drop_null_inf(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -58,11 +58,29 @@ def roll_up(frames: DataFrame) -> DataFrame:
     )
 
 
-def grouped_values(flagged: DataFrame) -> DataFrame:
-    """Flagged values and row ids of each column, in order. ``flagged``: column_name, row_id, value."""
-    return flagged.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("row_id", "value"))).alias("pairs")).select("column_name", F.transform("pairs", lambda p: p["row_id"]).alias("row_ids"), F.transform("pairs", lambda p: p["value"]).alias("vals"))
+def grouped_values(flagged: DataFrame, part: int | None = 100_000) -> DataFrame:
+    """Flagged values and row ids of each column, in order. ``flagged``: column_name, row_id, value.
+
+    A column's values are cut into stretches of ``part`` row ids, each a row with its number, so
+    no task gathers a whole column; a reader takes the stretches in order. None gives one row
+    a column, for columns with few flagged values.
+    """
+    cut = flagged.withColumn("part", F.floor(F.col("row_id") / part).cast("long") if part else F.lit(0).cast("long"))
+    held = cut.groupBy("column_name", "part").agg(F.sort_array(F.collect_list(F.struct("row_id", "value"))).alias("pairs"))
+    return held.select("column_name", "part", F.transform("pairs", lambda p: p["row_id"]).alias("row_ids"), F.transform("pairs", lambda p: p["value"]).alias("vals"))
 
 
 def audio_summary(tracks: DataFrame, rate: int) -> DataFrame:
     """K6: samples, seconds and flagged values of each column. ``tracks``: column_name, idx, is_flagged."""
     return tracks.groupBy("column_name").agg(F.count("*").alias("n_samples"), F.round(F.count("*") / rate, 4).alias("seconds"), F.count_if("is_flagged").alias("n_anomaly"))
+
+
+def throughput(rows: int, columns: int, seconds: float) -> dict[str, float | None]:
+    """Rows and columns a second; null for no time."""
+    return {"rows_per_s": rows / seconds if seconds else None, "columns_per_s": columns / seconds if seconds else None}
+
+
+def kpis(consensus: DataFrame) -> DataFrame:
+    """Rows, anomalies, their share, and the mean confidence among them, in one aggregate. Takes a consensus' result."""
+    hit = F.col("is_anomaly")
+    return consensus.agg(F.count("*").alias("total_rows"), F.count_if(hit).alias("anomalies"), F.round(100 * F.try_divide(F.count_if(hit), F.count("*")), 4).alias("anomaly_pct"), F.round(100 * F.avg(F.when(hit, F.col("confidence_score"))), 4).alias("confidence_pct"))

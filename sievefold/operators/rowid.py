@@ -2,44 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from sievefold.operators.ordered import from_parts, in_order
+from sievefold.sources.store import Scratch
 
-def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id") -> DataFrame:
+
+def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id", scratch: Scratch | None = None) -> DataFrame:
     """Dense ids from 0 in the order of the columns, without a one-task window.
 
-    Rows are range-partitioned and sorted, each partition's rows are counted,
-    and each partition numbers its rows from its offset. ``df`` should be a
-    written table, as it is read more than once; the sorted rows are persisted
-    to disk so that both passes see the same partitions.
+    Rows are range-partitioned, sorted and written with their place; each
+    range's rows are counted, and ids go on from the ranges before. Ties are put in the order
+    of the other columns.
     """
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).persist(StorageLevel.DISK_ONLY_2)
-    marked = ordered.withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["count"] for r in marked.groupBy("_part").count().collect()}  # one row for each partition
+    ordered = in_order(df, order_by, scratch or Scratch(df.sparkSession))
+    counts = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}  # one row for each range
     offsets, at = {}, 0
     for part in sorted(counts):
-        offsets[part] = at
+        offsets[part] = (at,)
         at += counts[part]
-
-    names = df.columns
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        following = None
-        for batch in batches:
-            if batch.num_rows:
-                following = offsets[batch.column("_part")[0].as_py()] if following is None else following
-                ids = pa.array(np.arange(following, following + batch.num_rows))
-                following += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], names=[*names, name])
-
-    return marked.mapInArrow(number, StructType([*df.schema.fields, StructField(name, LongType())]))
+    return from_parts(ordered, offsets, "_first long").select(*df.columns, (F.col("_first") + F.col("_place")).alias(name))
 
 
 def chunk_id(row_id: Column, size: int = 300) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievefold.functions.numbers import is_number, to_number
+from sievefold.functions.scaling import percentiles
 
 DISCARD_ABOVE = 0.7
 
@@ -125,8 +126,8 @@ class QuantileRules:
 
     def rules(self, df: DataFrame) -> list[Rule]:
         names = [f.name for f in df.schema.fields if f.dataType.typeName() in {"integer", "long", "double", "float", "short"}]
-        row = df.agg(*[F.percentile(f"`{c}`", F.array(F.lit(self.low), F.lit(self.high))).alias(c) for c in names]).first()
-        return [Rule(c, row[c][0], row[c][1], self.confidence) for c in names if row[c]]
+        bounds = percentiles(df, [F.col(f"`{c}`") for c in names], (self.low, self.high))
+        return [Rule(c, low, high, self.confidence) for c, (low, high) in zip(names, bounds, strict=True) if low is not None]
 
 
 def prompt(df: DataFrame, descriptions: DataFrame | None = None, n: int = 3) -> str:

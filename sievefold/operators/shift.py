@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievefold.functions.scaling import percentiles
+from sievefold.operators.ordered import ahead, behind, from_parts, in_order, running_sum
+from sievefold.sources.store import Scratch
+
 
 def _with(df: DataFrame, *stats) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*stats)))
@@ -17,10 +21,9 @@ def _union(found: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def percentile(scores: DataFrame, flagged: DataFrame) -> DataFrame:
     """With flagged rows max(p10 of theirs, p85 of all), else p90 of all."""
-    own = scores.join(flagged.select("row_id"), "row_id", "left_semi").agg(F.percentile("score", F.lit(0.1)).alias("p10"))
-    every = scores.agg(F.percentile("score", F.lit(0.85)).alias("p85"), F.percentile("score", F.lit(0.9)).alias("p90"))
-    limit = F.when(F.col("p10").isNull(), F.col("p90")).otherwise(F.greatest("p10", "p85"))
-    return scores.crossJoin(F.broadcast(every.crossJoin(own).select(limit.alias("cut")))).filter(F.col("score") >= F.col("cut")).select("row_id")
+    (p10,), (p85, p90) = percentiles(scores.join(flagged.select("row_id"), "row_id", "left_semi"), ["score"], (0.1,))[0], percentiles(scores, ["score"], (0.85, 0.9))[0]
+    cut = p90 if p10 is None else max(p10, p85)
+    return scores.filter(F.col("score") >= F.lit(cut)).select("row_id")
 
 
 def guided(scores: DataFrame, flagged: DataFrame, factor: float = 2.0) -> DataFrame:
@@ -31,8 +34,8 @@ def guided(scores: DataFrame, flagged: DataFrame, factor: float = 2.0) -> DataFr
 
 def energy(scores: DataFrame, flagged: DataFrame, threshold: float = 0.8) -> DataFrame:
     """D18."""
-    t = _with(scores, F.percentile("score", F.lit(threshold)).alias("p"))
-    return _union(t.filter(F.col("score") >= F.col("p")), flagged)
+    cut = percentiles(scores, ["score"], (threshold,))[0][0]
+    return _union(scores.filter(F.col("score") >= F.lit(cut)), flagged)
 
 
 def outlier(scores: DataFrame, flagged: DataFrame, z: float = 2.5) -> DataFrame:
@@ -49,54 +52,62 @@ def forest(scores: DataFrame, flagged: DataFrame, contamination: float = 0.1) ->
     return _union(t.filter("vote = 1"), flagged)
 
 
-def dbscan(scores: DataFrame, flagged: DataFrame, min_samples: int = 5, eps: float | None = None) -> DataFrame:
+def dbscan(scores: DataFrame, flagged: DataFrame, min_samples: int = 5, eps: float | None = None, scratch: Scratch | None = None) -> DataFrame:
     """In one dimension. (row_id, is_core, cluster, is_anomaly); cluster is null for noise.
 
     Scores are standardized and gathered by distinct value, so equal scores
-    are one row with a weight. Values are cut into cells two eps wide; a
-    value's neighbours lie in its own cell or the next, so counts come from a
-    window within pairs of cells and not from one window over all rows. Distinct
-    core values are chained over one ordered window of cells, which has one row
-    for each cell that holds a core.
+    are one row with a weight. A value's neighbours are the weight up to eps above it less
+    the weight below eps under it: two places of one running sum along the order of values
+    and of their two ends. Clusters are numbered along the order of values, with what the range
+    before ends in; a border takes the nearer core, the lower of two at equal distance.
+    All is sorting and sums, so work grows as n log n whatever the values.
     """
+    scratch = scratch or Scratch(scores.sparkSession)
     stats = scores.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s0"))
     raw = scores.join(flagged.select("row_id").distinct(), "row_id", "left_semi").agg(F.stddev_pop("score").alias("fs"))
     fixed = F.lit(eps) if eps is not None else F.when(F.col("fs").isNull(), 0.3).otherwise(F.greatest(F.lit(0.1), 0.5 * F.col("fs")))
     params = stats.crossJoin(raw).select("m", F.when(F.col("s0") == 0, 1.0).otherwise(F.col("s0")).alias("s"), fixed.cast("double").alias("eps"))
     x = ((F.col("score") - F.col("m")) / F.col("s") / F.col("eps")).alias("u")
     marks = flagged.select("row_id").distinct().withColumn("is_flagged", F.lit(1))
-    t = scores.crossJoin(F.broadcast(params)).select("row_id", x).join(marks, "row_id", "left").withColumn("is_flagged", F.coalesce("is_flagged", F.lit(0)))
-    values = t.groupBy("u").agg(F.count("*").alias("w"), F.sum("is_flagged").alias("f"))
-
-    # each value goes to its own pair of cells and, as a neighbour only, to those it can reach
-    cell = F.floor(F.col("u") / 2).cast("long")
-    copies = values.select("u", "w", "f", cell.alias("own"), F.explode(F.sequence(F.floor((F.col("u") - 1) / 2).cast("long"), F.floor((F.col("u") + 1) / 2).cast("long"))).alias("cell"))
-    near = F.expr("sum(w) OVER (PARTITION BY cell ORDER BY u RANGE BETWEEN 1.0D PRECEDING AND 1.0D FOLLOWING)")
-    counted = copies.withColumn("near", near).filter("cell = own").select("u", "w", "f", "own", "near")
-    core = counted.filter(F.col("near") >= min_samples)
-
-    # chain cores: within a cell by gaps, then cells by their first and last core
-    inside = Window.partitionBy("own").orderBy("u")
-    gaps = core.withColumn("gap", (F.col("u") - F.lag("u").over(inside) > 1).cast("int")).withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(inside))
-    runs = gaps.groupBy("own", "run").agg(F.min("u").alias("first"), F.max("u").alias("last"))
-    line = Window.orderBy("first")
-    chained = runs.withColumn("new", (F.col("first") - F.lag("last").over(line) > 1).cast("int")).withColumn("cluster", F.sum(F.coalesce("new", F.lit(0))).over(line))
-    named = gaps.join(chained.select("own", "run", "cluster"), ["own", "run"]).select("u", "cluster")
-
-    # borders: the nearest core within eps, the lower of two at equal distance
-    cores = named.select(F.col("u").alias("cu"), "cluster", F.explode(F.array(*[F.floor(F.col("u") / 2).cast("long") + k for k in (-1, 0, 1)])).alias("own"))
-    before = Window.partitionBy("own").orderBy("at", "kind")
-    points = counted.select("own", F.col("u").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("cu"), F.lit(None).cast("long").alias("cluster")).unionAll(cores.select("own", F.col("cu").alias("at"), F.lit(0).alias("kind"), "cu", "cluster"))
-    left = F.last(F.when(F.col("cu").isNotNull(), F.struct("cu", "cluster")), True).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(F.when(F.col("cu").isNotNull(), F.struct("cu", "cluster")), True).over(before.rowsBetween(0, Window.unboundedFollowing))
-    tied = points.withColumns({"l": left, "r": right}).filter("kind = 1")
-    dl, dr = F.coalesce(F.col("at") - F.col("l.cu"), F.lit(9.0)), F.coalesce(F.col("r.cu") - F.col("at"), F.lit(9.0))
-    label = F.when((dl <= 1) & (dl <= dr), F.col("l.cluster")).when(dr <= 1, F.col("r.cluster"))
-    labelled = tied.select(F.col("at").alias("u"), label.alias("cluster"))
-
-    every = counted.join(labelled, "u")
+    t = scratch.table(scores.crossJoin(F.broadcast(params)).select("row_id", x).join(marks, "row_id", "left").withColumn("is_flagged", F.coalesce("is_flagged", F.lit(0))), "scores")
+    values = scratch.table(t.groupBy("u").agg(F.count("*").alias("w"), F.sum("is_flagged").alias("f")), "values")
+
+    # at one place the lower ends come before the values and the upper ends after them
+    point = lambda at, kind, w: F.struct(at.alias("at"), F.lit(kind).alias("kind"), w.cast("long").alias("w"), F.col("u"))
+    u, none = F.col("u"), F.lit(0)
+    points = values.select(F.inline(F.array(point(u - 1, 0, none), point(u, 1, F.col("w")), point(u + 1, 2, none))))
+    summed = running_sum(in_order(points, ["at", "kind"], scratch), F.col("w"), "total").filter("kind <> 1")
+    near = summed.groupBy("u").agg(F.sum(F.when(F.col("kind") == 2, F.col("total")).otherwise(-F.col("total"))).alias("near"))
+    counted = in_order(values.join(near, "u").withColumn("core", F.when(F.col("near") >= min_samples, F.col("u"))), ["u"], scratch)
+
+    # a core more than 1 above the core before it starts a cluster
+    so_far = ahead().rowsBetween(Window.unboundedPreceding, -1)
+    new = (F.col("core") - F.last("core", True).over(so_far) > 1).cast("int")
+    gaps = scratch.table(counted.withColumn("new", F.coalesce(new, F.lit(0))), "gaps")
+    parts = sorted(tuple(r) for r in gaps.groupBy("_part").agg(F.min("core"), F.max("core"), F.sum("new")).collect())
+    left, number = {}, 0
+    last: tuple = (None, None)
+    for part, low, high, more in parts:
+        opens = int(low is not None and last[0] is not None and low - last[0] > 1)
+        left[part] = (number + opens, *last)
+        number += opens + (more or 0)
+        last = (high, number) if high is not None else last
+    right, following = {}, (None, None)
+    for part, low, _, _ in reversed(parts):
+        right[part] = following
+        following = (low, left[part][0]) if low is not None else following
+    known = {part: (*left[part], *right[part]) for part, *_ in parts}
+    inside = from_parts(gaps, known, "base long, lu double, lc long, ru double, rc long")
+    inside = inside.withColumn("own", F.when(F.col("core").isNotNull(), F.col("base") + F.sum("new").over(ahead().rowsBetween(Window.unboundedPreceding, 0))))
+    held = F.when(F.col("core").isNotNull(), F.struct(F.col("core").alias("u"), F.col("own").alias("c")))
+    before = F.coalesce(F.last(held, True).over(ahead().rowsBetween(Window.unboundedPreceding, 0)), F.when(F.col("lu").isNotNull(), F.struct(F.col("lu").alias("u"), F.col("lc").alias("c"))))
+    after = F.coalesce(F.last(held, True).over(behind().rowsBetween(Window.unboundedPreceding, 0)), F.when(F.col("ru").isNotNull(), F.struct(F.col("ru").alias("u"), F.col("rc").alias("c"))))
+    tied = inside.withColumns({"l": before, "r": after})
+    dl, dr = F.coalesce(F.col("u") - F.col("l.u"), F.lit(9.0)), F.coalesce(F.col("r.u") - F.col("u"), F.lit(9.0))
+    label = F.when((dl <= 1) & (dl <= dr), F.col("l.c")).when(dr <= 1, F.col("r.c"))
+    every = scratch.table(tied.select("u", "w", "f", F.col("core").isNotNull().alias("is_core"), label.alias("cluster")), "labelled")
     ratio = every.filter("cluster is not null").groupBy("cluster").agg((F.sum("f") / F.sum("w")).alias("ratio"))
-    judged = every.join(ratio, "cluster", "left").select("u", (F.col("near") >= min_samples).alias("is_core"), "cluster", (F.col("cluster").isNull() | (F.col("ratio") > 0.3)).alias("is_anomaly"))
+    judged = every.join(ratio, "cluster", "left").select("u", "is_core", "cluster", (F.col("cluster").isNull() | (F.col("ratio") > 0.3)).alias("is_anomaly"))
     return t.select("row_id", "u").join(judged, "u").select("row_id", "is_core", "cluster", "is_anomaly")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievefold.functions import numbers, scaling
 from sievefold.operators import audio, compose, detectors, forest, joins, profile, report, rowid, rules, shift, spectral, vision
 from sievefold.sources import generate, io
+from sievefold.sources.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -273,7 +274,7 @@ def overlap_rate(spark, d):
 @query("SELECT event_type AS column_name, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM events WHERE value > 150 GROUP BY 1")
 def grouped_flagged(spark, d):
     f = t(spark, d, "events").filter("value > 150").select(F.col("event_type").alias("column_name"), F.col("event_id").alias("row_id"), "value")
-    return report.grouped_values(f).select("column_name", F.array_join(F.transform("row_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return report.grouped_values(f, None).select("column_name", F.array_join(F.transform("row_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # joins and sets -----------------------------------------------------------
@@ -508,31 +509,48 @@ def _signals(spark, d):
     return e.select(F.lit("value").alias("column_name"), F.col("event_id").alias("idx"), "value").unionAll(e.select(F.lit("user_id"), "event_id", F.col("user_id").cast("double")))
 
 
+def _tracks(spark, d):
+    """Each column as a sound track in [-1, 1], a sample for each row."""
+    e = t(spark, d, "events")
+    n = e.count()
+    p = audio.audio_params(n, 100, 1.0, None, 100)
+    return joins.union_all([audio.track(e, "event_id", c, p).select(F.lit(c).alias("column_name"), "idx", "value") for c in ("value", "user_id")])
+
+
 @query()
 def spectral_shift(spark, d):
-    s = _signals(spark, d)
+    s = _tracks(spark, d)
     return spectral.filter_columns(s, s.withColumn("value", F.col("value") * 0.1), "tile").select("column_name", "idx", r("spectral").alias("spectral"))
 
 
 @query()
 def denoise_combined(spark, d):
-    s = _signals(spark, d)
+    s = _tracks(spark, d)
     return spectral.filter_columns(s, s.withColumn("value", F.col("value") * 0.1)).select("column_name", "idx", r("cleaned").alias("cleaned"), r("shift").alias("shift"))
 
 
-@query()
+FFT = """b AS (SELECT 'value' AS c, event_id, value AS v, event_id % 5 = 0 AS f FROM events UNION ALL SELECT 'user_id', event_id, user_id, event_id % 5 = 0 FROM events),
+x AS (SELECT c, f, row_number() OVER (PARTITION BY c, f ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY c, f) AS n, (v - avg(v) OVER (PARTITION BY c, f)) / stddev_pop(v) OVER (PARTITION BY c, f) AS v FROM b),
+h AS (SELECT min(n) // 2 AS top FROM x),
+w AS (SELECT c, f, k, sqrt(sum(v * cos(2 * pi() * ((i * k) % n) / n)) ** 2 + sum(v * sin(2 * pi() * ((i * k) % n) / n)) ** 2) AS m FROM x, (SELECT unnest(range(top + 1)) AS k FROM h) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {FFT}, g AS (SELECT f, k, avg(m) AS m FROM w GROUP BY 1, 2) SELECT a.k, round(abs(a.m - b.m), 4) AS difference, CASE WHEN a.k > 0 THEN round(a.m / b.m, 4) END AS ratio FROM g a JOIN g b ON a.k = b.k WHERE a.f AND NOT b.f")
 def fft_compare(spark, d):
+    """The mean of a standardized signal, bin 0, is rounding noise and has no ratio."""
     s = _signals(spark, d).withColumn("is_flagged", F.col("idx") % 5 == 0)
-    return spectral.compare_spectra(s).select("k", r("difference").alias("difference"), r("ratio").alias("ratio"))
+    return spectral.compare_spectra(s).select("k", r("difference").alias("difference"), F.when(F.col("k") > 0, r("ratio")).alias("ratio"))
 
 
-@query()
+@query(f"WITH {FFT} SELECT a.c AS column_name, a.k, round(abs(a.m - b.m), 4) AS difference FROM w a JOIN w b ON a.k = b.k AND a.c = b.c WHERE a.f AND NOT b.f ORDER BY abs(a.m - b.m) DESC, a.k LIMIT 5")
 def fft_top_diff(spark, d):
     s = _signals(spark, d).withColumn("is_flagged", F.col("idx") % 5 == 0)
     return spectral.top_differences(spectral.compare_spectra(s, True)).select("column_name", "k", r("difference").alias("difference"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, 261.63 + (value - a) / (b - a) * 3 * 261.63 AS hz FROM events, (SELECT min(value) AS a, max(value) AS b FROM events)),
+s AS (SELECT event_id, sin(2 * pi() * hz * (i / 200.0::DOUBLE)) * 0.1 * least(least(i, 19 - i) / 2.0::DOUBLE, 1.0) AS v FROM e, range(20) AS q(i))
+SELECT event_id, 20 AS n, round(max(v) / max(max(abs(v))) OVER (), 4) AS peak FROM s GROUP BY 1""")
 def synth_rows(spark, d):
     e = scaling.minmax(t(spark, d, "events"), "value", "x", (0.0, 1.0), 0.5).select("event_id", "x")
     return spectral.peak_normalize(spectral.synth_rows(e, "event_id", ["x"], 200)).select("event_id", F.size("samples").alias("n"), r(F.array_max("samples")).alias("peak"))
@@ -544,7 +562,7 @@ def cell_frequency(spark, d):
     return e.select("event_id", r(spectral.cell_frequency(1, F.col("x")), 3).alias("hz"))
 
 
-@query()
+@query("SELECT o_orderkey AS idx, round(trunc(32767 * greatest(least(-1 + 2 * (o_totalprice - a) / (b - a), 1), -1)) / 32767, 6) AS value FROM orders, (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)")
 def wav_round_trip(spark, d):
     x = scaling.minmax(_signal(spark, d), "value", "x").select(F.lit("o_totalprice").alias("column_name"), "idx", scaling.pcm16(F.col("x")).alias("pcm"))
     return io.from_wav(io.to_wav(x)).select("idx", r("value", 6).alias("value"))
@@ -663,10 +681,10 @@ def sample_seeded(spark, d):
     return rowid.seeded_sample(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
 
 
-@query()
+@query("SELECT * FROM (VALUES ('application_main', 500, 28, true), ('bureau', 350, 17, true), ('previous_application', 300, 22, true), ('credit_card_balance', 200, 23, true), ('installments_payments', 400, 8, true), ('POS_CASH_balance', 250, 8, true)) AS x(table_name, n_ids, n_columns, keyed)")
 def generated_tables(spark, d):
     made = generate.all_tables(spark)
-    return joins.union_all([df.agg(F.count("*").alias("n"), F.countDistinct(*generate.KEYS[n]).alias("n_keys")).withColumn("table_name", F.lit(n)) for n, df in made.items()])
+    return joins.union_all([df.agg(F.countDistinct("SK_ID_CURR").cast("int").alias("n_ids"), (F.count("*") == F.countDistinct(*generate.KEYS[n])).alias("keyed")).select(F.lit(n).alias("table_name"), "n_ids", F.lit(len(df.columns)).alias("n_columns"), "keyed") for n, df in made.items()])
 
 
 @query()
@@ -677,7 +695,10 @@ def multi_file_forest(spark, d):
     return forest.fit_score(scaled, "row_id", ["bal_std"], 0.05, trees=100).select("row_id", r(-F.col("score")).alias("score_samples"), "vote")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT a.vec_id, min(list_distance(a.v, b.v), 15) AS near FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY 1),
+c AS (SELECT quantile_cont(near[15], 0.95) AS cut FROM k)
+SELECT vec_id, round(near[14], 4) AS score, CAST(near[14] > cut AS INT) AS vote FROM k, c""")
 def knn_scores(spark, d):
     """All dimensions, neighbours among all rows."""
     e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
@@ -712,3 +733,285 @@ def mask_split(spark, d):
     e = t(spark, d, "events").select("event_id", "value")
     f = e.filter("value > 150").select("event_id")
     return joins.only_flagged(e, f, "event_id").select("event_id", F.lit("anomalous").alias("side")).unionAll(joins.without_flagged(e, f, "event_id").select("event_id", F.lit("normal").alias("side")))
+
+
+# whole rows of the operators above, and the statistics that they rest on ---
+
+
+@query("SELECT CASE WHEN l_quantity > 40 AND l_discount > 0.08 THEN 'fully_discarded' WHEN l_discount > 0.08 THEN 'fully_discarded' WHEN l_quantity > 40 THEN 'unsure' ELSE 'cleaned' END AS decision, count(*) AS n FROM lineitem GROUP BY 1")
+def rule_route_lines(spark, d):
+    return rules.summary(rules.route(t(spark, d, "lineitem"), [rules.Rule("l_quantity", None, 40, 0.5), rules.Rule("l_discount", None, 0.08, 0.9)]))
+
+
+@query(f"""WITH s AS (SELECT avg(value) AS mv, avg(user_id) AS mu, stddev_pop(value) AS sv, stddev_pop(user_id) AS su, var_samp(value) AS a, covar_samp(value, user_id) AS b, var_samp(user_id) AS c FROM events),
+x AS (SELECT event_id, greatest(abs(value - mv) / (sv + 1e-8), abs(user_id - mu) / (su + 1e-8)) AS z, sqrt(((value - mv) ** 2 * c - 2 * (value - mv) * (user_id - mu) * b + (user_id - mu) ** 2 * a) / (a * c - b * b)) AS dist FROM events, s)
+SELECT event_id, CAST(z > {Z95} AS INT) AS zscore, CAST(dist > quantile_cont(dist, 0.95) OVER (PARTITION BY event_id // 300) AS INT) AS mahalanobis, round(z, 4) AS z, round(dist, 4) AS dist FROM x""")
+def effective4_legs(spark, d):
+    """The two legs of the four-method pass that SQL can say; the others are forests and images."""
+    e = t(spark, d, "events").select("event_id", F.col("value").cast("double").alias("value"), F.col("user_id").cast("double").alias("user_id"))
+    v = detectors.chunk_votes(e, "event_id", ["value", "user_id"])
+    score = F.col("method_specific_scores")
+    return v.select("event_id", "zscore", "mahalanobis", r(score["zscore"]).alias("z"), r(score["mahalanobis"]).alias("dist"))
+
+
+PIXELS = ["value", "user_id * 9", *(f"event_id * {k} % 97" for k in (1, 5, 11, 17, 23, 31, 43))]
+
+
+def _nine(spark, d):
+    return t(spark, d, "events").select("event_id", *[F.expr(f"cast({x} as double)").alias(f"p{k}") for k, x in enumerate(PIXELS)])
+
+
+def _neighbours(k: int) -> list[int]:
+    return [y * 3 + x for y in range(3) for x in range(3) if abs(y - k // 3) < 2 and abs(x - k % 3) < 2]
+
+
+def _pick(how: str, of: str) -> str:
+    return ", ".join(f"{how}({', '.join(f'{of}{j}' for j in _neighbours(k))}) AS {{0}}{k}" for k in range(9))
+
+
+def _mean(x: str) -> str:
+    return "(" + " + ".join(x.format(k=k) for k in range(9)) + ") / 9.0::DOUBLE"
+
+
+PLAIN = ", ".join(f"CAST({x} AS DOUBLE) AS q{k}" for k, x in enumerate(PIXELS))
+ALL9 = ", ".join(f"q{k}" for k in range(9))
+
+
+@query(f"""WITH a AS (SELECT event_id, {PLAIN} FROM events), b AS (SELECT *, min(least({ALL9})) OVER w AS lo, max(greatest({ALL9})) OVER w AS hi FROM a WINDOW w AS (PARTITION BY event_id // 300)),
+i AS (SELECT event_id, {", ".join(f"CAST(floor(CASE WHEN hi = lo THEN 0 ELSE 255 * (q{k} - lo) / (hi - lo) END) AS BIGINT) AS p{k}" for k in range(9))} FROM b),
+e AS (SELECT *, {_pick("least", "p").format("e")}, {_pick("greatest", "p").format("d")} FROM i), o AS (SELECT *, {_pick("greatest", "e").format("o")}, {_pick("least", "d").format("c")} FROM e)
+SELECT event_id, round({_mean("o{k}")}, 4) AS opened, round({_mean("c{k}")}, 4) AS closed, round({_mean("(d{k} - e{k})")}, 4) AS gradient, {" + ".join(f"CAST(d{k} > e{k} AS BIGINT)" for k in range(9))} AS edges, round({_mean("(p{k} - o{k})")}, 4) AS above FROM o""")
+def morphology_image(spark, d):
+    """V5, V6: nine columns as images of three by three."""
+    f = detectors.morphology_rows(_nine(spark, d), "event_id", [f"p{k}" for k in range(9)])
+    at = {"opened": 0, "closed": 2, "gradient": 4, "above": 7}
+    return f.select("event_id", *[r(F.col("features")[k]).alias(c) for c, k in at.items()], F.col("features")[6].cast("long").alias("edges"))
+
+
+@query(f"""WITH a AS (SELECT event_id, [{", ".join(f"CAST({x} AS DOUBLE)" for x in PIXELS)}] AS v FROM events), b AS (SELECT event_id, v, list_avg(v) AS m, list_stddev_pop(v) AS s FROM a)
+SELECT event_id, round(m, 4) AS mean, round(s, 4) AS std, round(list_median(v), 4) AS median, round(list_sum([((x - m) / s) ** 3 for x in v]) / 9, 4) AS skew, round(list_sum([((x - m) / s) ** 4 for x in v]) / 9 - 3, 4) AS kurt, round(list_aggregate(v, 'quantile_cont', 0.25), 4) AS p25, round(list_aggregate(v, 'quantile_cont', 0.75), 4) AS p75,
+{" + ".join(f"CAST(v[{k + 2}] > v[{k + 1}] AS BIGINT)" for k in range(8))} AS ups, {" + ".join(f"CAST(v[{k + 2}] < v[{k + 1}] AS BIGINT)" for k in range(8))} AS downs FROM b""")
+def row_statistics(spark, d):
+    """D12, W8."""
+    names = ("mean", "std", "median", "skew", "kurt", "p25", "p75", "ups", "downs")
+    f = detectors.statistics_rows(_nine(spark, d), "event_id", [f"p{k}" for k in range(9)])
+    return f.select("event_id", *[(F.col("features")[k].cast("long") if c in ("ups", "downs") else r(F.col("features")[k])).alias(c) for k, c in enumerate(names)])
+
+
+@query("SELECT event_id AS row_id, round(greatest(value, CAST(user_id AS DOUBLE)), 4) AS score FROM events")
+def shift_row_scores(spark, d):
+    """A17."""
+    e = t(spark, d, "events")
+    both = e.select(F.col("event_id").alias("row_id"), F.col("value").alias("shift")).unionAll(e.select("event_id", F.col("user_id").cast("double")))
+    return shift.row_scores(both).withColumn("score", r("score"))
+
+
+FIVE = {
+    "percentile": "SELECT event_id AS row_id FROM events WHERE value >= (SELECT greatest(quantile_cont(value, 0.1) FILTER (value > 150), quantile_cont(value, 0.85)) FROM events)",
+    "flagged_guided": f"SELECT row_id FROM {FLAG} UNION SELECT event_id FROM events WHERE value >= (SELECT avg(value) + 2 * stddev_pop(value) FROM events)",
+    "energy_based": f"SELECT row_id FROM {FLAG} UNION SELECT event_id FROM events WHERE value >= (SELECT quantile_cont(value, 0.8) FROM events)",
+    "statistical_outlier": ZSHIFT,
+}
+
+
+@query("SELECT method, n_both, n_flagged, n_found, round(n_both / n_flagged, 6) AS rate FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS method, (SELECT count(*) FROM ({q}) WHERE row_id IN (SELECT row_id FROM {FLAG})) AS n_both, (SELECT count(*) FROM {FLAG}) AS n_flagged, (SELECT count(*) FROM ({q})) AS n_found" for m, q in FIVE.items()) + ")")
+def shift_compare_rates(spark, d):
+    """D21 for the methods whose rows SQL can say; shift_methods has all six."""
+    return shift.compare(*_shift(spark, d), methods=tuple(FIVE)).select("method", "n_both", "n_flagged", "n_found", r("rate", 6).alias("rate"))
+
+
+@query(f"SELECT event_id AS idx, round(-1 + 2 * (coalesce(value, q) - a) / (b - a), 4) AS value, CAST(trunc(32767 * (-1 + 2 * (coalesce(value, q) - a) / (b - a))) AS SMALLINT) AS pcm FROM {NULLS}, (SELECT median(value) AS q, min(value) AS a, max(value) AS b FROM {NULLS})")
+def audio_track(spark, d):
+    """Imputed, scaled, a sample for each row."""
+    e = events_null(spark, d)
+    return audio.track(e, "event_id", "value", audio.audio_params(e.count(), 100, 1.0, None, 100)).select("idx", r("value").alias("value"), "pcm")
+
+
+@query("SELECT CAST(least(floor((o_totalprice - a) / ((b - a) / 20)), 19) AS INT) AS bin, count(*) AS n, round(count(*) / (max(c) * (max(b) - max(a)) / 20), 12) AS density FROM orders, (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, count(*) AS c FROM orders) GROUP BY 1")
+def histogram20_density(spark, d):
+    return profile.histogram(t(spark, d, "orders"), "o_totalprice", 20, True).withColumn("density", r("density", 12))
+
+
+@query(f"SELECT count(*) AS total_rows, count(*) FILTER (n >= 2 AND confidence >= 0.6) AS anomalies, round(100.0 * count(*) FILTER (n >= 2 AND confidence >= 0.6) / count(*), 4) AS anomaly_pct, round(100 * avg(confidence) FILTER (n >= 2 AND confidence >= 0.6), 4) AS confidence_pct FROM {CONSENSUS_SQL}")
+def kpi_roll_up(spark, d):
+    return report.kpis(voted(spark, d))
+
+
+@query("SELECT count(*) / 4.0::DOUBLE AS rows_per_s, 1.5::DOUBLE AS columns_per_s FROM events")
+def throughput(spark, d):
+    """A26, of a run that took four seconds."""
+    e = t(spark, d, "events")
+    return spark.createDataFrame([report.throughput(e.count(), len(e.columns), 4.0)], "rows_per_s double, columns_per_s double")
+
+
+@query("SELECT 'events' AS table_name, 'event_id,user_id,value' AS numeric_columns, 'event_id,user_id' AS id_columns UNION ALL SELECT 'customer', 'c_custkey,c_nationkey,c_acctbal', 'c_custkey,c_nationkey' UNION ALL SELECT 'part', 'p_partkey,p_size,p_retailprice', 'p_partkey'")
+def table_columns(spark, d):
+    """P8, M5."""
+    named = {n: t(spark, d, n) for n in ("events", "customer", "part")}
+    return spark.createDataFrame([(n, ",".join(profile.numeric_columns(df)), ",".join(joins.id_columns(df.columns))) for n, df in named.items()], "table_name string, numeric_columns string, id_columns string")
+
+
+@query("SELECT column_name FROM (" + _each("SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n FROM {t}", [*LINE, "l_linenumber"]) + ") WHERE n > 2")
+def continuous_names(spark, d):
+    found = profile.continuous_columns(t(spark, d, "lineitem"), [*LINE, "l_linenumber"])
+    return spark.createDataFrame([(c,) for c in found], "column_name string")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def first_rows(spark, d):
+    """The limit is the operator."""
+    return io.first_rows(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
+
+
+@query("SELECT line FROM (VALUES ('Columns:'), ('- r_regionkey: int'), ('- r_name: string'), ('Descriptions:'), ('- r_name | where it is'), ('Rows:'), ('Answer with one JSON object: {\"column\": [lower or null, upper or null, confidence]}')) AS x(line)")
+def prompt_lines(spark, d):
+    """The text that asks for rules, without its rows."""
+    about = spark.createDataFrame([("r_name", "where it is")], "name string, about string")
+    text = rules.prompt(t(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name").filter("false"), about)
+    return spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, user_id, value FROM events")
+def json_round_trip(spark, d):
+    """rows as JSON with ISO times, and back."""
+    e = t(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("at"), "user_id", "value")
+    body = e.select(F.to_json(F.struct("event_id", "at", "user_id", "value")).alias("value"))
+    return io.parse_lines(body, "event_id BIGINT, at STRING, user_id BIGINT, value DOUBLE")
+
+
+# files: written to the shared folder and read back --------------------------
+
+
+def _folder(spark) -> str:
+    return Scratch(spark).new("files")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def csv_inferred(spark, d):
+    """S1, K10."""
+    path = _folder(spark)
+    io.write_csv(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
+    got = io.read_csv(spark, path)
+    return got.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT doc_id, translate(lang, 'e', 'é') AS lang FROM documents")
+def csv_encoded(spark, d):
+    """The encoding is found from the first bytes of a file."""
+    path = _folder(spark)
+    df = t(spark, d, "documents").select("doc_id", F.translate("lang", "e", "é").alias("lang"))
+    df.orderBy(~F.col("lang").contains("é")).coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    part = next(p for n, p in io.list_tables(spark, path).items() if n.startswith("part-"))
+    encoding = io.detect_encoding(io.head_bytes(spark, part))
+    return io.read_csv(spark, path, encoding=encoding).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+
+
+@query("SELECT l_quantity, l_tax FROM lineitem")
+def csv_projected(spark, d):
+    """Two numeric columns of a file with more."""
+    path = _folder(spark)
+    io.write_csv(t(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_tax", "l_returnflag"), path)
+    return io.read_csv(spark, path, ["l_quantity", "l_tax"])
+
+
+@query("SELECT 'nation' AS file, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def csv_folder(spark, d):
+    """Every table of a folder."""
+    path = _folder(spark)
+    for name in ("nation", "region"):
+        io.write_csv(t(spark, d, name), f"{path}/{name}.csv")
+    return joins.union_all([io.read_csv(spark, where).agg(F.count("*").alias("n")).select(F.lit(name).alias("file"), "n") for name, where in io.list_tables(spark, path).items()])
+
+
+@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def blank_separated(spark, d):
+    """S14."""
+    path = _folder(spark)
+    t(spark, d, "customer").select(F.concat_ws("   ", F.lit(""), "c_custkey", "c_nationkey", F.format_string("%.2f", "c_acctbal")).alias("value")).write.text(path)
+    got = io.read_blank_separated(spark, path, ["c_custkey", "c_nationkey", "c_acctbal"])
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query(f"SELECT event_id, CASE WHEN {CONF} > 0.7 THEN 'fully_discarded' WHEN {CONF} > 0 THEN 'unsure' ELSE 'cleaned' END AS decision FROM events")
+def three_way_files(spark, d):
+    """K1."""
+    path = _folder(spark)
+    rules.split_writes(rules.route(t(spark, d, "events").select("event_id", "user_id", "value"), RULES), path)
+    return spark.read.option("header", True).csv(path).select(F.col("event_id").cast("long").alias("event_id"), "decision")
+
+
+@query("SELECT event_id AS row_index, value AS confidence_score FROM events WHERE value > 150")
+def flagged_files(spark, d):
+    """K2, S8."""
+    path = _folder(spark)
+    io.write_flagged(t(spark, d, "events").filter("value > 150").select(F.col("event_id").alias("row_index"), F.col("value").alias("confidence_score")), path)
+    got = io.read_flagged(spark, path, "row_index BIGINT, confidence_score DOUBLE, timestamp STRING")
+    return got.filter(F.col("timestamp").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T")).select("row_index", "confidence_score")
+
+
+@query("SELECT 'energy_based' AS detection_method, count(*) AS total_samples, count(*) FILTER (value > 150 OR value >= q) AS total_anomalies, count(*) FILTER (value > 150) AS total_flagged, round(avg(value), 4) AS mean_shift FROM events, (SELECT quantile_cont(value, 0.8) AS q FROM events)")
+def analysis_file(spark, d):
+    """K4."""
+    path = _folder(spark)
+    scores, flagged = _shift(spark, d)
+    io.analysis_document(scores, shift.energy(scores, flagged), flagged, "energy_based").write.text(path)
+    j = lambda name: F.get_json_object("value", f"$.{name}")
+    return spark.read.text(path).select(j("detection_method").alias("detection_method"), *[j(c).cast("long").alias(c) for c in ("total_samples", "total_anomalies", "total_flagged")], r(j("processing_stats.mean_shift").cast("double")).alias("mean_shift"))
+
+
+@query("SELECT * FROM (VALUES ('value', 0.0::DOUBLE, 100.0::DOUBLE, 0.9::DOUBLE), ('user_id', 0.0, 10.0, 0.5)) AS x(column_name, lower, upper, confidence)")
+def rules_file(spark, d):
+    """K7, S7."""
+    path = _folder(spark) + "/rules.json"
+    io.write_rules(spark, RULES, path)
+    found = rules.parse_rules(io.read_text(spark, path), [x.column for x in RULES])
+    return spark.createDataFrame([(x.column, float(x.lower), float(x.upper), float(x.confidence)) for x in found], "column_name string, lower double, upper double, confidence double")
+
+
+@query("SELECT * FROM (SELECT 'Original rows: ' || count(*) AS line FROM events UNION ALL SELECT 'Removed rows: ' || count(*) FILTER (value > 150) FROM events UNION ALL SELECT 'Clean rows: ' || count(*) FILTER (value <= 150) FROM events UNION ALL SELECT event_id::VARCHAR FROM events WHERE value > 150 UNION ALL SELECT 'row ' || event_id FROM events WHERE value <= 150)")
+def clean_files(spark, d):
+    """K5: clean rows, removed ids and the counts of the summary, read back."""
+    path = _folder(spark)
+    e = t(spark, d, "events").select("event_id", "value")
+    gone = e.filter("value > 150").select(F.col("event_id").alias("row_id"))
+    io.write_clean(e.filter("value <= 150"), gone, e.count(), path)
+    summary = spark.read.text(f"{path}/summary.txt").filter(F.col("value").rlike("^(Original|Removed|Clean) rows: "))
+    kept = spark.read.option("header", True).csv(f"{path}/rows").select(F.concat(F.lit("row "), F.col("event_id")).alias("value"))
+    return joins.union_all([summary, spark.read.text(f"{path}/removed"), kept]).select(F.col("value").alias("line"))
+
+
+@query(_each("SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, min({c}) AS low, max({c}) AS high FROM {t}"))
+def statistics_file(spark, d):
+    """K8."""
+    path = _folder(spark)
+    io.write_csv(profile.column_profile(t(spark, d, "lineitem"), LINE), path)
+    return io.read_csv(spark, path).select("column_name", F.col("n").cast("long").alias("n"), r("mean").alias("mean"), "low", "high")
+
+
+@query("SELECT * FROM (VALUES ('application_main', 5, 6), ('bureau_balance', 5, 0), ('previous_application', 5, 0)) AS x(table_name, n, n_null)")
+def composer_tables(spark, d):
+    """S13."""
+    made = generate.composer_tables(spark)
+    return joins.union_all([df.agg(F.count("*").cast("int").alias("n"), F.sum(sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))).cast("int").alias("n_null")).select(F.lit(n).alias("table_name"), "n", "n_null") for n, df in made.items()])
+
+
+MOOD = "CASE WHEN a > b + 1 THEN 'chaotic' WHEN b > a + 1 THEN 'happy' WHEN contains(s, 'amount') OR contains(s, 'balance') THEN 'mysterious' ELSE 'peaceful' END"
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {MOOD} AS mood FROM (SELECT p_partkey, s, {" + ".join(f"CAST(contains(s, '{w}') AS INT)" for w in compose.RISK)} AS a, {" + ".join(f"CAST(contains(s, '{w}') AS INT)" for w in compose.POSITIVE)} AS b FROM (SELECT p_partkey, lower(concat_ws(' ', p_partkey, p_name, p_type, p_size)) AS s FROM part))),
+n AS (SELECT p_partkey, k, hz FROM (SELECT p_partkey, 0 AS k, {_hz("p_partkey")} AS hz FROM part UNION ALL SELECT p_partkey, 1, {_hz("ascii(p_name) + length(p_name)")} FROM part UNION ALL SELECT p_partkey, 2, {_hz("ascii(p_type) + length(p_type)")} FROM part UNION ALL SELECT p_partkey, 3, {_hz("p_size")} FROM part))
+SELECT n.p_partkey AS id, k AS position, mood, CASE mood {" ".join(f"WHEN '{m}' THEN {hz[0]}" for m, hz in compose.SCALES.items())} END::DOUBLE AS tonic, 60 AS tempo, 0.2::DOUBLE AS volume, 'sawtooth' AS oscillator, round(hz, 4) AS frequency FROM n JOIN m ON n.p_partkey = m.p_partkey""")
+def composition_notes(spark, d):
+    """Every note of the JSON documents, with its part's mood, scale, tempo and waveform."""
+    p = t(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    docs = compose.composition(compose.part(p, "part", 1, ["p_partkey"]), ["p_partkey"])
+    kind = "instruments ARRAY<STRUCT<table_name STRING, instrument STRING, mood STRING, scale ARRAY<DOUBLE>, tempo INT, volume DOUBLE, melody ARRAY<STRUCT<frequency DOUBLE, column_name STRING>>>>"
+    parts = docs.select(F.col("p_partkey").alias("id"), F.explode(F.from_json("document", kind)["instruments"]).alias("i"))
+    notes = parts.select("id", "i.*", F.posexplode("i.melody").alias("position", "note"))
+    return notes.select("id", "position", "mood", F.col("scale")[0].alias("tonic"), "tempo", r("volume").alias("volume"), compose.oscillator(F.col("instrument")).alias("oscillator"), r("note.frequency").alias("frequency"))
+
+
+@query("SELECT 'value' AS column_name, event_id, value FROM events UNION ALL SELECT 'user_id', event_id, CAST(user_id AS DOUBLE) FROM events")
+def film_values(spark, d):
+    """V9: each column's rows as they are; film_frames adds a forest's votes."""
+    return vision.film_frames(t(spark, d, "events"), "event_id", ["value", "user_id"]).select("column_name", "event_id", "value")

@@ -138,10 +138,38 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def write_rules(rules, path: str) -> None:
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file through Hadoop's file system, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def write_rules(spark: SparkSession, rules, path: str) -> None:
     """K7."""
-    with open(path, "w") as f:
-        json.dump({r.column: [r.lower, r.upper, r.confidence] for r in rules}, f, indent=2)
+    write_text(spark, json.dumps({r.column: [r.lower, r.upper, r.confidence] for r in rules}, indent=2), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole, such as a rules document."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def write_clean(clean: DataFrame, removed: DataFrame, total: int, path: str, method: str = "shift detection") -> None:
+    """K5: ``path/rows`` as CSV, ``path/summary.txt`` with counts and rate, and ``path/removed``, the removed row ids in order.
+
+    Ids are lines of as many files as partitions; only counts are in the summary.
+    """
+    write_csv(clean, f"{path}/rows")
+    removed.select(F.col("row_id").cast("string").alias("value"), "row_id").repartitionByRange("row_id").sortWithinPartitions("row_id").select("value").write.text(f"{path}/removed")
+    n = removed.count()
+    rate = 100 * n / total if total else 0.0
+    lines = ["Summary of rows removed", f"Detection method: {method}", f"Original rows: {total}", f"Removed rows: {n}", f"Clean rows: {total - n}", f"Removal rate: {rate:.2f}%"]
+    write_text(clean.sparkSession, "\n".join(lines) + "\n", f"{path}/summary.txt")
 
 
 def analysis_document(scores: DataFrame, found: DataFrame, flagged: DataFrame, method: str) -> DataFrame:
