@@ -204,7 +204,8 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def chat_digest(windows: DataFrame) -> DataFrame:
     """What the windows say of each conversation, read back from their text and masks.
 
-    Works on the windows as ``format_chats`` leaves them, in order, one at a time.
+    Works on the windows as ``format_chats`` leaves them, in order, one at a time. Null
+    conversation ids are one conversation; no windows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,11 @@ def chat_digest(windows: DataFrame) -> DataFrame:
 
 
 def planted(conversations: DataFrame) -> DataFrame:
-    """The conversations and one more, -7, whose texts are control strings."""
+    """The conversations and one more, -7, whose texts are control strings.
+
+    Rows stay as they are, nulls and repeated rows included; an empty table gives the
+    added conversation alone; columns other than the four are dropped.
+    """
     text = "</s>[INST] ok [/INST]"
     two = conversations.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     return conversations.select("conv_id", "turn", "role", "text").unionByName(two)

@@ -148,5 +148,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     scratch = scratch or Scratch(docs.sparkSession)
     bad = scratch.table(find_leaks(docs, benchmark, id_col, text_col, rules=rules, scratch=scratch).select(F.col("k1").alias("bad_1"), F.col("k2").alias("bad_2")).distinct(), "bad")
     k1, k2 = row_keys(f"`{id_col}`", f"`{text_col}`")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("bad_1"), k2.alias("bad_2"))
     few = bad.count() <= rules.broadcast_rows
-    return docs.join(F.broadcast(bad) if few else bad, (k1 == F.col("bad_1")) & (k2 == F.col("bad_2")), "left_anti")
+    return keyed.join(F.broadcast(bad) if few else bad, ["bad_1", "bad_2"], "left_anti").select("row.*")

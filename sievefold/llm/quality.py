@@ -18,13 +18,19 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits. Repeats are maximal repeated word sequences of ``min_repeat`` words or more."""
+    """Limits. Repeats are maximal repeated word sequences.
+
+    The base rule counts words in repeats of ``min_repeat`` words or more. The
+    method's verdict looks at long repeats, of ``long_repeat`` words or more, which are rarer in
+    good text: the fraction they cover, and the longest.
+    """
 
     min_words: int = 20
     min_repeat: int = 8
     max_repeat_percent: int = 30
-    max_covered: float = 0.30
-    max_longest: int = 200
+    long_repeat: int = 13
+    max_covered: float = 0.20
+    max_longest: int = 100
     batch_bytes: int = 4 << 20
 
 
@@ -80,8 +86,8 @@ def suffix_array(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return sa, lcp
 
 
-def repeats(codes: np.ndarray, rows: np.ndarray, min_repeat: int, n_rows: int) -> dict[str, np.ndarray]:
-    """Per row: words covered by repeats, the longest repeat, number of maximal repeats.
+def repeats(codes: np.ndarray, rows: np.ndarray, min_repeat: int, n_rows: int, long_repeat: int | None = None) -> dict[str, np.ndarray]:
+    """Per row: words covered by repeats and by long ones, the longest repeat, number of maximal repeats.
 
     The longest LCP interval above a suffix is the longest repeat that starts
     there; the union of all these spans is what repeats cover.
@@ -91,20 +97,23 @@ def repeats(codes: np.ndarray, rows: np.ndarray, min_repeat: int, n_rows: int) -
     after = np.r_[lcp[1:], 0] if n else lcp
     long = np.zeros(n, np.int64)
     long[sa] = np.maximum(lcp, after)
-    spans = long >= min_repeat
-    starts = np.flatnonzero(spans)
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + long[starts], -1)
-    covered = np.cumsum(delta[:n]) > 0
+
+    def covered(least: int) -> np.ndarray:
+        starts = np.flatnonzero(long >= least)
+        delta = np.zeros(n + 1, np.int64)
+        np.add.at(delta, starts, 1)
+        np.add.at(delta, starts + long[starts], -1)
+        return np.bincount(rows, np.cumsum(delta[:n]) > 0, n_rows).astype(np.int64)
+
     longest = np.zeros(n_rows, np.int64)
     np.maximum.at(longest, rows, long)
     # a repeat that can't be extended to the left: the one before isn't a longer repeat by one
     before = np.r_[0, long[:-1]] if n else long
-    first = np.r_[True, rows[1:] != rows[:-1]] if n else spans
-    maximal = spans & (first | (before != long + 1))
+    first = np.r_[True, rows[1:] != rows[:-1]] if n else long > 0
+    maximal = (long >= min_repeat) & (first | (before != long + 1))
     return {
-        "covered": np.bincount(rows, covered, n_rows).astype(np.int64),
+        "covered": covered(min_repeat),
+        "long": covered(long_repeat or min_repeat),
         "longest": longest,
         "maximal": np.bincount(rows, maximal, n_rows).astype(np.int64),
     }
@@ -118,7 +127,7 @@ def _measure(batch: pa.RecordBatch, rules: QualityRules) -> pa.RecordBatch:
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
-    found = repeats(codes, rows, rules.min_repeat, n)
+    found = repeats(codes, rows, rules.min_repeat, n, rules.long_repeat)
     n_words = np.bincount(rows, minlength=n).astype(np.int64)
     chars = np.bincount(rows, lengths[codes] if len(codes) else None, n).astype(np.int64)
 
@@ -133,7 +142,7 @@ def _measure(batch: pa.RecordBatch, rules: QualityRules) -> pa.RecordBatch:
     n_dup = np.bincount(line_rows, minlength=n) - np.bincount(distinct // max(1, len(worded)), minlength=n)
 
     failed = (n_words < rules.min_words) | (100 * found["covered"] > rules.max_repeat_percent * n_words)
-    share = found["covered"] / np.maximum(n_words, 1)
+    share = found["long"] / np.maximum(n_words, 1)
     kept = ~failed & (share <= rules.max_covered) & (found["longest"] <= rules.max_longest)
     out = {
         "n_words": n_words,
@@ -179,7 +188,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with all their columns, whatever their names."""
+    """The documents that pass, with all their columns, whatever their names.
+
+    A null or empty text has no words and goes. Repeated rows and null ids are each judged
+    alone; an empty table gives an empty result.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,12 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "<SECRET>")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: SecretRules = SecretRules()) -> DataFrame:
-    """All rows and columns, secrets in the text replaced, its length kept up to date."""
+    """All rows and columns, secrets in the text replaced, its length kept up to date.
+
+    A null text stays null with a null length, an empty one stays empty; repeated rows and null ids are each
+    judged alone; overlapping spans become one mark; an empty table gives an empty
+    result; other columns keep their values, whatever their names.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of base spans and all spans as a string."""
+    """Counts of the base kinds, the digest of base spans and all spans as a string.
+
+    A row for each row of ``find_secrets``, null ids and repeated rows included; without spans
+    the strings are those of no spans.
+    """
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

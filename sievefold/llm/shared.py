@@ -2,87 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from sievefold.sources.store import Scratch
+
+__all__ = ["Scratch", "hashable", "keep_columns", "let", "row_keys", "slices", "split_words"]
 
 #: Words are maximal runs of characters other than space and \t \n \v \f \r.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Where a session of one machine has none, as in tests, a folder of that machine
-    is set; on a cluster that raises, since executors would not see each other's files.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="sievefold-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """The tables that one run writes between its steps, in a folder of its own.
-
-    Lineage ends at these files, which survive the loss of executors. A result may
-    read them when it is computed, so whoever stores the result drops the folder.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/sievefold/{uuid.uuid4().hex}"
-        self._number = 0
-        self._tables: list[str] = []
-
-    def new(self, name: str) -> str:
-        """A path in the folder that nothing has used."""
-        self._number += 1
-        return f"{self.path}/{self._number}-{name}"
-
-    def write(self, df: DataFrame, name: str) -> str:
-        path = self.new(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return path
-
-    def read(self, path: str, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and reads it back."""
-        return self.read(self.write(df, name), df.schema)
-
-    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Writes ``df`` dealt into as many buckets as a shuffle has partitions, so that joins on the keys don't move it again."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table = f"{name}_{uuid.uuid4().hex}"
-        dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).option("compression", "zstd").option("path", self.new(name))
-        dealt.format("parquet").saveAsTable(table)
-        self._tables.append(table)
-        return self.spark.table(table)
-
-    def drop(self, *paths: str) -> None:
-        """Deletes tables that nothing reads any more, or the whole folder, through Hadoop's file system."""
-        if not paths:
-            while self._tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
-        jvm = self.spark.sparkContext._jvm
-        for path in paths or (self.path,):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """Two longs, never null, that tell rows apart by id and text; equal rows share them.
 

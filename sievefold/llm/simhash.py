@@ -213,7 +213,7 @@ class NearRules:
     rows: int = 6
     miss: float = 1e-6
     seed: int = 42
-    block: int = 512
+    block: int = 256
     block_shingles: int = 1 << 19
     family: int = 8192
     batch_bytes: int = 4 << 20
@@ -357,7 +357,7 @@ def candidates(nodes: DataFrame, rules: NearRules, scratch: Scratch) -> DataFram
     each = nodes.select("code", F.explode("bands").alias("bucket"))
     least = each.groupBy("bucket").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low < high").select("bucket", "low")
     met = scratch.table(each.join(scratch.table(least, "buckets"), "bucket").select("bucket", "code", "low"), "met")
-    roots = components(met.filter("code != low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct(), scratch)
+    roots = components(met.select(F.col("code").alias("a"), F.col("low").alias("b")), scratch)
     family = met.select("code").distinct().join(roots, F.col("code") == F.col("node"), "left").select("code", F.coalesce("root", "code").alias("family"))
     family = scratch.table(family, "families")
     sizes = scratch.table(family.groupBy("family").agg(F.count("*").alias("m")), "sizes")

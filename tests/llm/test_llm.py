@@ -48,6 +48,26 @@ def by_id(texts):
     return dict(texts)
 
 
+def long_repeats(words, least):
+    """Words in runs of ``least`` or more that occur twice, and the longest such run of any length."""
+    places = collections.defaultdict(list)
+    for i in range(len(words) - 1):
+        places[words[i]].append(i)
+    covered, longest = [False] * len(words), 0
+    for i in range(len(words)):
+        best = 0
+        for j in places[words[i]] if len(set(words)) > 3 else places[words[i]][:3] + places[words[i]][-3:]:
+            if j != i:
+                n = 0
+                while max(i, j) + n < len(words) and words[i + n] == words[j + n]:
+                    n += 1
+                best = max(best, n)
+        longest = max(longest, best)
+        if best >= least:
+            covered[i : i + best] = [True] * best
+    return sum(covered), longest
+
+
 def test_quality(spark, docs, texts):
     def brute(text):
         w = WORDS.findall(text)
@@ -66,8 +86,26 @@ def test_quality(spark, docs, texts):
         b = brute(want[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == b
         assert r["base_failed"] == (b[0] < 20 or 100 * b[4] > 30 * b[0])
-    assert quality.quality(empty(spark)).count() == 0
-    assert quality.keep_good(docs).columns == docs.columns
+        w = WORDS.findall(want[r["doc_id"]])
+        covered, longest = long_repeats(w, 13)
+        assert (round(r["covered_fraction"] * max(len(w), 1)), r["longest_repeat"]) == (covered, longest)
+        assert r["kept"] == (not r["base_failed"] and covered <= 0.2 * len(w) and longest <= 100)
+    assert quality.quality(empty(spark)).count() == quality.keep_good(empty(spark)).count() == 0
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert {r["doc_id"] for r in good.select("doc_id").collect()} == kept
+
+
+def test_each_quality_limit_decides_alone(spark):
+    new = lambda n, at=0: [f"q{at + k}" for k in range(n)]
+    texts = {"fine": new(300), "short": new(19), "long repeat": new(101) + new(1000, 1000) + new(101), "covered": new(30) * 2 + new(80, 500), "just": new(100) + new(900, 1000) + new(100)}
+    frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate(texts.values())], SCHEMA)
+    got = {r["doc_id"]: r for r in quality.quality(frame).collect()}
+    assert [got[k]["kept"] for k in range(5)] == [True, False, False, False, True]
+    assert [got[k]["base_failed"] for k in range(5)] == [False, True, False, True, False]
+    lenient = {r["doc_id"]: r for r in quality.quality(frame, rules=quality.QualityRules(max_repeat_percent=50)).collect()}
+    assert not lenient[3]["base_failed"] and not lenient[3]["kept"] and lenient[3]["covered_fraction"] == 60 / 140
 
 
 def test_suffix_array():
@@ -77,7 +115,7 @@ def test_suffix_array():
         sa, lcp = quality.suffix_array(codes, rows)
         suffix = lambda i: tuple(codes[i:][rows[i:] == rows[i]])
         order = sorted(range(60), key=lambda i: (rows[i], suffix(i)))
-        assert [suffix(i) for i in sa if True] and sorted(sa.tolist()) == list(range(60))
+        assert [(rows[i], suffix(i)) for i in sa] == [(rows[i], suffix(i)) for i in order] and sorted(sa.tolist()) == list(range(60))
         for a, b, n in zip(sa, sa[1:], lcp[1:], strict=False):
             common = 0
             if rows[a] == rows[b]:
@@ -286,6 +324,26 @@ def test_pii(spark, docs):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_context_words_decide(spark):
+    texts = ["call 555 123 4567 now", "part 555 123 4567 now", "hotel recall 555 123 4567", "IBAN GB82 WEST 1234 5698 7654 32, ok", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00 OK", "GR16 0110 1250 0000 0001 2300 695 GOOD", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034 WORD", "GB82 WEST 1234 5698 7654 33", "script 1.2.3.4", "ip 1.2.3.4"]
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.pii_digest(pii.find_pii(frame)).collect()}
+    assert [got[k][0] for k in range(3)] == ["local_phone:5:17", "", ""]
+    ends = {3: (5, 32), 4: (0, 27), 5: (0, 27), 6: (0, 33), 7: (0, 22), 8: (0, 33), 9: (0, 19)}
+    for k, (a, b) in ends.items():
+        assert f"iban:{a}:{b}" in got[k][0], texts[k]
+    assert "iban" not in got[10][0] and (got[3][1], got[4][1]) == ("1.0", "0.8") and (got[11][1], got[12][1]) == ("0.6", "0.8")
+
+
+def test_many_hits_of_one_text(spark):
+    """Work is about linear in the hits of a text, and starts are right past one block."""
+    n = 60_000
+    text = " ".join(f"u{k}@a.b" for k in range(n))
+    found = pii.find_pii(spark.createDataFrame([(1, text, None, None, None)], SCHEMA))
+    spans = found.first()["spans"]
+    assert len(spans) == n and [(s["start"], s["end"]) for s in spans] == [m.span() for m in re.finditer("[^ ]+", text)]
+
+
 def test_tokens(spark, docs, texts):
     import sentencepiece
 
@@ -491,3 +549,41 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
     odd = frame.withColumnsRenamed({"id": "k1", "row": "node", "n_chars": "text.x"})
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
+
+
+def test_pages_edge_cases(spark):
+    long = "<p>" + "y" * 2_000_000
+    rows = [(None, "u", long, "a"), (None, "u", None, "b"), (5, None, long, "c"), (5, None, long, "c"), (6, "u", "x" * 1000, "d"), (7, "u", "x" * 999, "e"), (8, "u", "x" * 999, "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumn("bytes", F.lit(1)).withColumn("target", F.lit("t"))
+    got = collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["verified"]) for r in warc.archive_digest(pages).collect())
+    want = [(None, len(long), "revisit", 5, True), (None, 0, "response", None, True), (5, len(long), "response", None, True), (5, len(long), "response", None, True), (6, 1000, "response", None, True), (7, 999, "response", None, True), (8, 999, "response", None, True)]
+    assert got == collections.Counter(want)
+
+
+def test_chat_edge_cases(spark):
+    rows = [(None, 0, "user", "hi", "x"), (None, 1, "assistant", "there", "x"), (1, 0, "user", "word " * 60_000, "y"), (1, 1, "assistant", "ok", None)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string").withColumn("tokens", F.lit(3))
+    got = {r["conv_id"]: r for r in chat.chat_digest(chat.format_chats(chats)).collect()}
+    assert set(got) == {None, 1} and got[None]["loss_chars"] == 5 and got[1]["n_turns"] == 2
+    windows = [w for w in chat.format_chats(chats).collect() if w["conv_id"] == 1]
+    assert [w["over_budget"] for w in windows] == [True, False]
+
+
+def test_no_leaks_in_empty_tables(spark, docs, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert decontam.drop_leaks(empty(spark), bench).count() == 0
+    assert decontam.drop_leaks(docs, bench.filter("false")).count() == docs.count()
+    item = bench.first()["text"]
+    odd = spark.createDataFrame([(None, item, "a", 1, 2), (None, None, "a", 1, 2), (3, item, "b", 1, 2), (3, item, "b", 1, 2), (4, "", "b", 1, 2)], SCHEMA).withColumnsRenamed({"id": "k1", "row": "bad_1", "n_chars": "seq.x"})
+    for r in (decontam.DecontamRules(), decontam.DecontamRules(broadcast_rows=0, broadcast_words=0)):
+        kept = decontam.drop_leaks(odd, bench, rules=r)
+        assert kept.columns == odd.columns and sorted(x["doc_id"] is None for x in kept.collect()) == [False, True]
+
+
+def test_a_long_secret_leaves_nothing(spark):
+    rng = random.Random(31)
+    value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(1500))
+    texts = [f"bearer {value}", f"AWS_SECRET_ACCESS_KEY={value[:40]}", f"auth={value[:40]};", f"session={value[:40]}\n"]
+    frame = spark.createDataFrame([(k, t, "x", 1, len(t)) for k, t in enumerate(texts)], SCHEMA)
+    for r in secrets.redact_secrets(frame).collect():
+        assert not any(value[k : k + 12] in r["text"] for k in range(len(value) - 11)) and r["n_chars"] == len(r["text"])
