@@ -83,7 +83,8 @@ def _novel(text: str, rules: SecretRules, novelty: Novelty) -> Iterator[tuple[in
         value = text[start:end]
         if len(value) < 16 or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
             return False
-        around = text[max(0, start - rules.around) : start] + text[end : end + rules.around]
+        # a secret that is written twice would make each copy look known
+        around = (text[max(0, start - rules.around) : start] + text[end : end + rules.around]).replace(value, "")
         return novelty.bits(around, value) >= rules.min_bits
 
     words = [w.span() for w in CONTEXT.finditer(text)]

@@ -583,7 +583,7 @@ def test_no_leaks_in_empty_tables(spark, docs, sf):
 def test_a_long_secret_leaves_nothing(spark):
     rng = random.Random(31)
     value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(1500))
-    texts = [f"bearer {value}", f"AWS_SECRET_ACCESS_KEY={value[:40]}", f"auth={value[:40]};", f"session={value[:40]}\n"]
+    texts = [f"bearer {value}", f"credential {value[:40]} again credential {value[:40]} x", f"AWS_SECRET_ACCESS_KEY={value[:40]}", f"auth={value[:40]};", f"session={value[:40]}\n"]
     frame = spark.createDataFrame([(k, t, "x", 1, len(t)) for k, t in enumerate(texts)], SCHEMA)
     for r in secrets.redact_secrets(frame).collect():
         assert not any(value[k : k + 12] in r["text"] for k in range(len(value) - 11)) and r["n_chars"] == len(r["text"])
