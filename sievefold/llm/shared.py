@@ -14,7 +14,6 @@ from sievefold.sources.store import Scratch
 __all__ = ["Scratch", "hashable", "keep_columns", "let", "row_keys", "slices", "split_words"]
 
 #: Words are maximal runs of characters other than space and \t \n \v \f \r.
-SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -49,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, "pa.Array"]:
     """(words of all texts, row number of each word), in order; null has none."""
-    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), SEPARATORS)
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # splits at the separators and nothing else
     rows, words = pc.list_parent_indices(parts), pc.list_flatten(parts)
     keep = pc.greater(pc.binary_length(words), 0)
     return words.filter(keep), rows.filter(keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,19 +73,28 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Texts:
-    """Words of a batch of texts as two independent 64-bit hashes each."""
+    """Words of a batch of texts, and two independent 64-bit hashes of each once they are asked for."""
 
     def __init__(self, texts: pa.Array):
-        words, rows = split_words(texts)
+        self.words, rows = split_words(texts)
         self.rows = rows.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.coded = words.dictionary_encode()
-        codes = self.coded.indices.to_numpy(zero_copy_only=False)
-        digest = xxhash.xxh3_128_digest
-        pairs = np.frombuffer(b"".join([digest(w) for w in self.coded.dictionary.cast(pa.binary()).to_pylist()]), "<u8").reshape(-1, 2)
-        self.one, self.two = pairs[codes, 0], pairs[codes, 1]
         self.counts = np.bincount(self.rows, minlength=len(texts))
         self.first = np.r_[0, np.cumsum(self.counts)]
 
+    @functools.cached_property
+    def pairs(self) -> np.ndarray:
+        coded, digest = self.words.dictionary_encode(), xxhash.xxh3_128_digest
+        each = np.frombuffer(b"".join([digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]), "<u8").reshape(-1, 2)
+        return each[coded.indices.to_numpy(zero_copy_only=False)]
+
+    @functools.cached_property
+    def one(self) -> np.ndarray:
+        return np.ascontiguousarray(self.pairs[:, 0])
+
+    @functools.cached_property
+    def two(self) -> np.ndarray:
+        return np.ascontiguousarray(self.pairs[:, 1])
+
     def starts(self, length: int) -> np.ndarray:
         """Positions where a window lies within its text."""
         at = np.arange(max(0, len(self.rows) - length + 1))
@@ -219,12 +229,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(delta, starts, 1)
             np.add.at(delta, starts + window, -1)
             kept = np.cumsum(delta[:-1]) == 0
-            words = held.coded.filter(pa.array(kept)).dictionary_decode().to_pylist()
             n_kept = np.bincount(held.rows, kept, part.num_rows).astype(np.int64)
-            ends = np.cumsum(n_kept).tolist()
-            joined = [" ".join(words[b - n : b]) for b, n in zip(ends, n_kept.tolist(), strict=True)]
+            ends = pa.array(np.r_[0, np.cumsum(n_kept)].astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(ends, held.words.filter(pa.array(kept))), " ")
+            shas = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined.to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(held.counts.astype(np.int64)), pa.array(held.counts.astype(np.int64) - n_kept), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined]), pa.array(joined)],
+                [part.column("id"), pa.array(held.counts.astype(np.int64)), pa.array(held.counts.astype(np.int64) - n_kept), shas, joined],
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
