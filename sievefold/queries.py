@@ -897,13 +897,11 @@ def csv_inferred(spark, d):
 
 @query("SELECT doc_id, translate(lang, 'e', 'é') AS lang FROM documents")
 def csv_encoded(spark, d):
-    """The encoding is found from the first bytes of a file."""
+    """The encoding is found from the first bytes of the files."""
     path = _folder(spark)
     df = t(spark, d, "documents").select("doc_id", F.translate("lang", "e", "é").alias("lang"))
-    df.orderBy(~F.col("lang").contains("é")).coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    part = next(p for n, p in io.list_tables(spark, path).items() if n.startswith("part-"))
-    encoding = io.detect_encoding(io.head_bytes(spark, part))
-    return io.read_csv(spark, path, encoding=encoding).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return io.read_csv(spark, path, encoding=io.folder_encoding(spark, path)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
 
 
 @query("SELECT l_quantity, l_tax FROM lineitem")

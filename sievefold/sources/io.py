@@ -40,6 +40,13 @@ def head_bytes(spark: SparkSession, path: str, n: int = 100_000) -> bytes:
         stream.close()
 
 
+def folder_encoding(spark: SparkSession, folder: str, files: int = 64) -> str:
+    """S2 for a table of several files: the first of its first ``files`` that isn't plain UTF-8 decides."""
+    parts = [p for name, p in list_tables(spark, folder, "").items() if not name.startswith(("_", "."))]
+    found = (detect_encoding(head_bytes(spark, p)) for p in parts[:files])
+    return next((e for e in found if e != "UTF-8"), "UTF-8")
+
+
 def null_nan(df: DataFrame) -> DataFrame:
     """NaN becomes null in floating-point columns."""
     return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))})
@@ -72,7 +79,7 @@ def list_tables(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[
     where = jvm.org.apache.hadoop.fs.Path(folder)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
     names = sorted(s.getPath().getName() for s in found)
-    return {n[: -len(suffix)]: f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(suffix)}
+    return {n.removesuffix(suffix): f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(suffix)}
 
 
 def read_flagged(spark: SparkSession, path: str, schema: str) -> DataFrame:
