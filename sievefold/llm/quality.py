@@ -28,7 +28,7 @@ class QualityRules:
     min_words: int = 20
     min_repeat: int = 8
     max_repeat_percent: int = 30
-    long_repeat: int = 13
+    long_repeat: int = 20
     max_covered: float = 0.20
     max_longest: int = 100
     batch_bytes: int = 4 << 20

@@ -87,7 +87,7 @@ def test_quality(spark, docs, texts):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == b
         assert r["base_failed"] == (b[0] < 20 or 100 * b[4] > 30 * b[0])
         w = WORDS.findall(want[r["doc_id"]])
-        covered, longest = long_repeats(w, 13)
+        covered, longest = long_repeats(w, 20)
         assert (round(r["covered_fraction"] * max(len(w), 1)), r["longest_repeat"]) == (covered, longest)
         assert r["kept"] == (not r["base_failed"] and covered <= 0.2 * len(w) and longest <= 100)
     assert quality.quality(empty(spark)).count() == quality.keep_good(empty(spark)).count() == 0
