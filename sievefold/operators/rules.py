@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -130,6 +131,37 @@ class QuantileRules:
         return [Rule(c, low, high, self.confidence) for c, (low, high) in zip(names, bounds, strict=True) if low is not None]
 
 
+@dataclass(frozen=True)
+class ModelRules:
+    """Asks a model server for rules, by POST to ``url``/generate; the reply's first object is read.
+
+    Only names, types, descriptions and a few rows leave the cluster, and only if a caller makes this provider.
+    """
+
+    url: str
+    model: str
+    temperature: float = 0.1
+    tokens: int = 2048
+    timeout: float = 300.0
+    descriptions: DataFrame | None = None
+
+    def ask(self, text: str) -> str:
+        body = {"model": self.model, "message": text, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.tokens}}
+        call = urllib.request.Request(f"{self.url.rstrip('/')}/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(call, timeout=self.timeout) as reply:
+            answer = json.loads(reply.read())
+        if "response" not in answer:
+            raise ValueError(f"the model server's reply has no response: {answer}")
+        return answer["response"]
+
+    def rules(self, df: DataFrame) -> list[Rule]:
+        answer = self.ask(prompt(df, self.descriptions))
+        start, end = answer.find("{"), answer.rfind("}") + 1
+        if start < 0 or not end:
+            raise ValueError("the model's answer holds no object")
+        return parse_rules(answer[start:end], df.columns)
+
+
 def prompt(df: DataFrame, descriptions: DataFrame | None = None, n: int = 3) -> str:
     """Text that asks for rules, from names, types, descriptions and a few rows."""
     lines = ["Columns:"] + [f"- {f.name}: {f.dataType.simpleString()}" for f in df.schema.fields]

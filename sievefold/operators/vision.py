@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +62,35 @@ def film_frames(df: DataFrame, row_id: str, columns: list[str], contamination: f
 def film_top(frames: DataFrame, k: int = 20) -> DataFrame:
     """Columns with the largest share of anomalies; a top-k report."""
     return frames.groupBy("column_name").agg(F.sum("anomaly").alias("n_anomaly"), F.count("*").alias("n"), (100 * F.avg("anomaly")).alias("anomaly_pct")).orderBy(F.desc("anomaly_pct"), "column_name").limit(k)
+
+
+def shrink(cells: DataFrame, side: int, most: int = 512) -> tuple[DataFrame, int]:
+    """Cells averaged into an image of at most ``most`` pixels a side; any anomaly in a pixel marks it. The new side is returned too."""
+    step = -(-side // most)
+    if step == 1:
+        return cells, side
+    at = lambda c: F.floor(F.col(c) / step).cast("int").alias(c)
+    return cells.groupBy(at("y"), at("x")).agg(F.avg("value").alias("value"), F.max("anomaly").alias("anomaly")), -(-side // step)
+
+
+def png_bytes(pixels: np.ndarray) -> bytes:
+    """An RGB image of 8 bits as a PNG file."""
+    h, w, _ = pixels.shape
+    rows = np.zeros((h, 1 + 3 * w), np.uint8)  # each row starts with its filter, none
+    rows[:, 1:] = pixels.reshape(h, 3 * w)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def film_png(coloured: DataFrame, by: str, side: int) -> DataFrame:
+    """K9: (by, png) of (by, y, x, r, g, b), one image for each value of ``by``; missing pixels are black.
+
+    An image is one task's work, so cells should come from ``shrink``.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pixels = np.zeros((side, side, 3), np.uint8)
+        pixels[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy()
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "png": [png_bytes(pixels)]})
+
+    return coloured.groupBy(by).applyInPandas(run, f"{by} {coloured.schema[by].dataType.simpleString()}, png binary")

@@ -1013,3 +1013,12 @@ def composition_notes(spark, d):
 def film_values(spark, d):
     """V9: each column's rows as they are; film_frames adds a forest's votes."""
     return vision.film_frames(t(spark, d, "events"), "event_id", ["value", "user_id"]).select("column_name", "event_id", "value")
+
+
+@query("SELECT 'o_totalprice' AS column_name, side AS width, side AS height, true AS is_png FROM (SELECT CASE WHEN s > 64 THEN (s + (s + 63) // 64 - 1) // ((s + 63) // 64) ELSE s END AS side FROM (SELECT side::INT AS s FROM " + SIDE + "))")
+def film_image(spark, d):
+    """K9: a column's film frame as a PNG file of at most 64 pixels a side; its size is read back from the file."""
+    cells, side = vision.shrink(*_grid(spark, d), 64)
+    made = vision.film_png(vision.colours(cells).withColumn("column_name", F.lit("o_totalprice")), "column_name", side)
+    number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+    return made.select("column_name", number(17).alias("width"), number(21).alias("height"), (F.hex(F.substring("png", 2, 3)) == "504E47").alias("is_png"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import http.server
+import json
+import threading
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -315,3 +320,48 @@ def test_flagged_records_explain_themselves(spark, sf):
     for r in got:
         assert r["data"].asDict() == rows[r["row_index"]].asDict() and r["chunk_id"] == r["row_index"] // 300
         assert set(r["anomaly_scores"]) == set(r["flagged_columns"]) and r["num_agreeing_methods"] >= 3
+
+
+def test_rules_from_a_model_server(spark):
+    seen = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"response": 'Rules: {"a": [0, 10, 0.9], "zz": [0, 1, 0.5]} done'} if len(seen) < 2 else {"response": "none"} if len(seen) < 3 else {}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        asks = rules.ModelRules(f"http://127.0.0.1:{server.server_port}/", "some-model")
+        df = spark.createDataFrame([(1.0,)], "a double")
+        found = asks.rules(df)
+        assert [(r.column, r.lower, r.upper, r.confidence) for r in found] == [("a", 0, 10, 0.9)]
+        assert seen[0][0] == "/generate" and seen[0][1]["options"] == {"temperature": 0.1, "num_predict": 2048} and "- a: double" in seen[0][1]["message"]
+        for _ in range(2):
+            with pytest.raises(ValueError):
+                asks.rules(df)
+    finally:
+        server.shutdown()
+
+
+def test_png_holds_the_pixels():
+    pixels = np.random.default_rng(1).integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    data = vision.png_bytes(pixels)
+    at = data.index(b"IDAT")
+    raw = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
+    assert (np.frombuffer(raw, np.uint8).reshape(5, 22)[:, 1:] == pixels.reshape(5, 21)).all()
+    assert int.from_bytes(data[at - 8 : at - 4], "big") == zlib.crc32(data[12 : at - 8])
+
+
+def test_shrunken_films_keep_anomalies(spark):
+    cells = spark.createDataFrame([(y, x, float(y), int((y, x) == (9, 9))) for y in range(10) for x in range(10)], "y int, x int, value double, anomaly int")
+    small, side = vision.shrink(cells, 10, 4)
+    got = {(r["y"], r["x"]): r for r in small.collect()}
+    assert side == 4 and len(got) == 16 and got[3, 3]["anomaly"] == 1 and got[0, 0]["value"] == 1.0 and sum(r["anomaly"] for r in got.values()) == 1
