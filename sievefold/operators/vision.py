@@ -8,7 +8,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +60,32 @@ def film_frames(df: DataFrame, row_id: str, columns: list[str], contamination: f
     return out
 
 
+def film_folder(spark: SparkSession, folder: str, contamination: float = 0.1) -> tuple[DataFrame | None, list[str]]:
+    """V9: (file, column_name, row_id, value, anomaly) of all numeric columns with more than two values of a folder's CSV tables.
+
+    Also the names of the files that gave nothing: those that can't be read as a table and those without such columns.
+    """
+    from sievefold.operators.joins import union_all
+    from sievefold.operators.profile import continuous_columns
+    from sievefold.operators.rowid import with_row_id
+    from sievefold.sources.io import list_tables, read_csv
+
+    frames, skipped = [], []
+    for name, path in list_tables(spark, folder).items():
+        try:
+            df = read_csv(spark, path)
+        except AnalysisException:
+            skipped.append(name)
+            continue
+        columns = continuous_columns(df)
+        if not columns:
+            skipped.append(name)
+            continue
+        numbered = with_row_id(df.select(*columns), columns)
+        frames.append(film_frames(numbered, "row_id", columns, contamination).withColumn("file", F.lit(name)))
+    return (union_all(frames) if frames else None), skipped
+
+
 def film_top(frames: DataFrame, k: int = 20) -> DataFrame:
     """Columns with the largest share of anomalies; a top-k report."""
     return frames.groupBy("column_name").agg(F.sum("anomaly").alias("n_anomaly"), F.count("*").alias("n"), (100 * F.avg("anomaly")).alias("anomaly_pct")).orderBy(F.desc("anomaly_pct"), "column_name").limit(k)

@@ -1022,3 +1022,15 @@ def film_image(spark, d):
     made = vision.film_png(vision.colours(cells).withColumn("column_name", F.lit("o_totalprice")), "column_name", side)
     number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
     return made.select("column_name", number(17).alias("width"), number(21).alias("height"), (F.hex(F.substring("png", 2, 3)) == "504E47").alias("is_png"))
+
+
+@query("SELECT 'customer' AS file, 'c_acctbal' AS column_name, count(*) AS n, round(sum(c_acctbal), 2) AS total, '' AS skipped FROM customer UNION ALL SELECT 'orders', 'o_totalprice', count(*), round(sum(o_totalprice), 2), '' FROM orders UNION ALL SELECT 'nation', NULL, 0, NULL, 'skipped'")
+def film_folder(spark, d):
+    """Every numeric column of the CSV tables of a folder; a table of text alone gives nothing."""
+    path = _folder(spark)
+    io.write_csv(t(spark, d, "customer").select("c_name", "c_acctbal"), f"{path}/customer.csv")
+    io.write_csv(t(spark, d, "orders").select("o_totalprice"), f"{path}/orders.csv")
+    io.write_csv(t(spark, d, "nation").select("n_name"), f"{path}/nation.csv")
+    frames, skipped = vision.film_folder(spark, path)
+    kept = frames.groupBy("file", "column_name").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total")).withColumn("skipped", F.lit(""))
+    return kept.unionByName(spark.createDataFrame([(x, None, 0, None, "skipped") for x in skipped], "file string, column_name string, n long, total double, skipped string"))
