@@ -71,8 +71,10 @@ class ChunkTokenizer:
         They are encoded as one text; a byte-level id stands for a known number
         of bytes, so the bytes of each chunk tell which ids are its own.
         """
-        ids = np.array(self.encode(["".join(chunks)])[0], np.uint32)
-        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        text = "".join(chunks)
+        ids = np.array(self.encode([text])[0], np.uint32)
+        sizes = map(len, chunks) if text.isascii() else (len(c.encode()) for c in chunks)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(chunks)))
         last = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "left") + 1
         return ids, np.diff(last, prepend=0)
 
@@ -80,8 +82,8 @@ class ChunkTokenizer:
         """Numbers of the chunks in ``ids``; the new ones are encoded."""
         index = self.index
         missing = [c for c in chunks if c not in index]
-        for at in range(0, len(missing), 2_000):
-            some = missing[at : at + 2_000]
+        for at in range(0, len(missing), 500):  # longer texts cost the library more for each chunk
+            some = missing[at : at + 500]
             if joined:
                 ids, counts = self.encode_joined(some)
             else:
