@@ -11,6 +11,7 @@ from sievefold.functions import numbers, scaling
 from sievefold.operators import audio, compose, detectors, forest, joins, profile, report, rowid, rules, shift, spectral, vision
 from sievefold.sources import generate, io
 from sievefold.sources.store import Scratch
+from sievefold.streaming import rules as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1034,3 +1035,22 @@ def film_folder(spark, d):
     frames, skipped = vision.film_folder(spark, path)
     kept = frames.groupBy("file", "column_name").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total")).withColumn("skipped", F.lit(""))
     return kept.unionByName(spark.createDataFrame([(x, None, 0, None, "skipped") for x in skipped], "file string, column_name string, n long, total double, skipped string"))
+
+
+# streams: over a table's file as it lies there ----------------------------
+
+
+@query(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS since, decision, count(*) AS n FROM (SELECT ts, CASE WHEN {CONF} > 0.7 THEN 'fully_discarded' WHEN {CONF} > 0 THEN 'unsure' ELSE 'cleaned' END AS decision FROM events) GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """Routing on a stream, and counts by hour."""
+    routed = streaming.route_stream(spark, d, t(spark, d, "events").schema, RULES, "events.parquet")
+    counts = streaming.run_to_table(streaming.windowed_decisions(routed, "ts"), Scratch(spark), "windows", "complete")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("since"), "decision", "n")
+
+
+@query(f"SELECT event_id, CAST(greatest(abs(value - 50.0) / (20.0 + 1e-8), abs(user_id - 5.0) / (3.0 + 1e-8)) > {Z95} AS INT) AS vote FROM events")
+def stream_votes(spark, d):
+    """Votes on a stream from statistics that a batch left."""
+    rows = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    votes = streaming.frozen_zscore(rows, {"value": (50.0, 20.0), "user_id": (5.0, 3.0)}).select("event_id", "vote")
+    return streaming.run_to_table(votes, Scratch(spark), "votes")

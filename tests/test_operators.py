@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import http.server
 import json
+import os
 import threading
 import zlib
 
@@ -18,7 +19,8 @@ from sievefold.functions import scaling
 from sievefold.operators import audio, detectors, forest, joins, rowid, rules, shift, spectral, vision
 from sievefold.plans.quality_run import QualityRun
 from sievefold.sources import generate, io
-from sievefold.streaming.rules import route_stream
+from sievefold.sources.store import Scratch
+from sievefold.streaming.rules import route_stream, run_to_table, windowed_decisions
 
 
 def test_row_identity_survives_bad_rows(spark):
@@ -365,3 +367,20 @@ def test_shrunken_films_keep_anomalies(spark):
     small, side = vision.shrink(cells, 10, 4)
     got = {(r["y"], r["x"]): r for r in small.collect()}
     assert side == 4 and len(got) == 16 and got[3, 3]["anomaly"] == 1 and got[0, 0]["value"] == 1.0 and sum(r["anomaly"] for r in got.values()) == 1
+
+
+def test_late_rows_beyond_the_watermark_do_not_count(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    # a batch is filtered by the watermark that the batch before the last one left
+    batches = [[(at(1), "a"), (at(1, 30), "a")], [(at(5), "a"), (at(1, 59), "b")], [(at(5, 1), "a")], [(at(1, 10), "late"), (at(5, 5), "a")], [(at(9), "end")], [(at(9), "end")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, decision string").coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"made{k}").glob("part-*"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema("ts timestamp, decision string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_table(windowed_decisions(stream, "ts"), Scratch(spark), "late").collect()
+    assert {(r["window"]["start"].hour, r["decision"], r["n"]) for r in got} == {(1, "a", 2), (1, "b", 1), (5, "a", 3)}
