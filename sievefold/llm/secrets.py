@@ -48,21 +48,25 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111
 
 @dataclass(frozen=True)
 class SecretRules:
-    """``min_bits`` of marginal compressed size for each character make a string novel."""
+    """``min_bits`` of marginal compressed size for each character make a string novel.
+
+    ``identifiers`` is the dictionary's text; a caller may add those of its own code base.
+    """
 
     reach: int = 64
     around: int = 256
     min_bits: float = 5.0
     level: int = 3
+    identifiers: str = IDENTIFIERS
     batch_bytes: int = 4 << 20
 
 
 class Novelty:
     """Marginal bytes of a string after its surroundings and a dictionary of identifiers."""
 
-    def __init__(self, level: int):
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.coder = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False)
+    def __init__(self, rules: SecretRules):
+        words = zstandard.ZstdCompressionDict(rules.identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.coder = zstandard.ZstdCompressor(level=rules.level, dict_data=words, write_content_size=False)
 
     def bits(self, around: str, candidate: str) -> float:
         """Bits for each character that the candidate adds to its surroundings."""
@@ -150,7 +154,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(rules.level)
+        novelty = Novelty(rules)
         for part in slices(batches, "text", rules.batch_bytes):
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in spans] for spans in _scanned(part, rules, novelty)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(rows, kind)], names=["id", "text", "spans"])
@@ -179,7 +183,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(rules.level)
+        novelty = Novelty(rules)
         for part in slices(batches, "text", rules.batch_bytes):
             texts, spans = part.column("text").to_pylist(), _scanned(part, rules, novelty)
             clean = [t if not s else redact(t, s) for t, s in zip(texts, spans, strict=True)]

@@ -587,3 +587,12 @@ def test_a_long_secret_leaves_nothing(spark):
     frame = spark.createDataFrame([(k, t, "x", 1, len(t)) for k, t in enumerate(texts)], SCHEMA)
     for r in secrets.redact_secrets(frame).collect():
         assert not any(value[k : k + 12] in r["text"] for k in range(len(value) - 11)) and r["n_chars"] == len(r["text"])
+
+
+def test_identifiers_of_a_code_base_are_known():
+    name = "Zr7QpLw9XkVb2TnMs4Hd"
+    text = f"session {name} ok"
+    rules = secrets.SecretRules()
+    assert (8, 28, "novel") in secrets.scan(text, rules, secrets.Novelty(rules))
+    known = secrets.SecretRules(identifiers=secrets.IDENTIFIERS + " " + name)
+    assert secrets.scan(text, known, secrets.Novelty(known)) == []
