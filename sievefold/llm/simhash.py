@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -206,7 +206,7 @@ class NearRules:
     probability ``miss`` at most, whatever the texts.
 
     ``block`` bounds the texts, and ``block_shingles`` about bounds the shingles, of a
-    block; a family of more than ``family`` texts is compared bucket by bucket.
+    block; a family of more than ``family`` texts is cut by the sketches of its texts first.
     """
 
     shingle: int = 5
@@ -226,13 +226,17 @@ class NearRules:
 DEDUP = NearRules()
 
 
+#: Bytes of a sketch, at most one for each order.
+SKETCH = 128
+
+
 def shingle_set(text: str | None, rules: NearRules) -> np.ndarray:
     """Distinct hashes of the shingles, ascending."""
     return np.unique(shingle_hashes(text or "", rules.shingle, rules.seed))
 
 
 class Bands:
-    """Bucket numbers of a set of hashes, one for each band; none for an empty set."""
+    """Minima of a set of hashes under many orders, its buckets, and a sketch; no buckets for an empty set."""
 
     def __init__(self, rules: NearRules, similarity: float):
         rng, shape = np.random.default_rng(rules.seed), (rules.bands(similarity), rules.rows)
@@ -240,28 +244,38 @@ class Bands:
         self.mix = rng.integers(0, 1 << 63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
         self.start = rng.integers(0, 1 << 63, shape[0], np.uint64)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(hashes):
-            return np.zeros(0, np.int64)
+    def minima(self, hashes: np.ndarray) -> np.ndarray:
         high = (hashes >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.order), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(high), 1024):
             np.minimum(least, np.multiply.outer(self.order, high[at : at + 1024]).min(1), out=least)
+        return least
+
+    def buckets(self, least: np.ndarray) -> np.ndarray:
+        """A number for each band."""
         return ((least.reshape(self.mix.shape) * self.mix).sum(1, dtype=np.uint64) + self.start).view(np.int64)
 
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """(buckets, sketch): a byte of each of some minima."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), b""
+        least = self.minima(hashes)
+        return self.buckets(least), least[:SKETCH].astype(np.uint8).tobytes()
+
 
 def _banded(inner: DataFrame, rules: NearRules, similarity: float) -> DataFrame:
-    """(id, k1, k2, node, n, bands): digest and size of each text's set of shingles, and its buckets."""
+    """(id, k1, k2, node, n, bands, sketch): digest and size of each text's set of shingles, its buckets and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(rules, similarity)
         for part in slices(batches, "text", rules.batch_bytes):
             sets = [shingle_set(t, rules) for t in part.column("text").to_pylist()]
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            found = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*map(part.column, ("id", "k1", "k2")), nodes, pa.array([len(x) for x in sets], pa.int64()), found], names=["id", "k1", "k2", "node", "n", "bands"])
+            found = [bands(x) for x in sets]
+            own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*map(part.column, ("id", "k1", "k2")), nodes, *own], names=["id", "k1", "k2", "node", "n", "bands", "sketch"])
 
-    return inner.select("id", "k1", "k2", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, k1 long, k2 long, node binary, n long, bands array<long>")
+    return inner.select("id", "k1", "k2", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, k1 long, k2 long, node binary, n long, bands array<long>, sketch binary")
 
 
 def _with_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
@@ -271,9 +285,9 @@ def _with_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", rules.batch_bytes):
             found = [shingle_set(t, rules).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(found, pa.binary())], names=[*(f.name for f in others), "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(found, pa.binary())], names=[*(f.name for f in others), "payload"])
 
-    return texts.mapInArrow(run, StructType([*others, StructField("shingles", BinaryType())]))
+    return texts.mapInArrow(run, StructType([*others, StructField("payload", BinaryType())]))
 
 
 def common(sets: list[np.ndarray], rows: int, first: int) -> np.ndarray:
@@ -298,26 +312,45 @@ def common(sets: list[np.ndarray], rows: int, first: int) -> np.ndarray:
     return out
 
 
-def alike(a: list[np.ndarray], b: list[np.ndarray], similarity: float, inside: bool) -> tuple[list[int], list[int]]:
-    """Edges of a forest with the components of all links between a and b, and those inside a if asked.
+#: Compares texts of one tile by what is known of them: (those of side 0, those of side 1, whether side 0 among
+#: itself too), giving the edges of a forest with the components of all links. Numbers of side 1 follow those of side 0.
+Compare = Callable[[list[bytes], list[bytes], bool], tuple[list[int], list[int]]]
 
-    A link has a Jaccard similarity of ``similarity`` at least; all pairs are compared. Numbers
-    of b follow those of a.
-    """
-    sets, first = [*a, *b], 0 if inside else len(a)
-    found = Forest(len(sets))
-    if not a or len(sets) - first < 1 or len(sets) < 2:
-        return [], []
-    sizes = np.array([len(x) for x in sets], np.float64)
-    both = common(sets, len(a), first)
-    near = both >= similarity * (sizes[: len(a), None] + sizes[None, first:] - both)
-    for i in np.flatnonzero(near.sum(1) > int(inside)).tolist():
+
+def _forest(near: np.ndarray, first: int, nodes: int) -> tuple[list[int], list[int]]:
+    """``near`` says which of the first texts, by rows, are linked to those from ``first`` on, by columns."""
+    found = Forest(nodes)
+    for i in np.flatnonzero(near.any(1)).tolist():
         found.join(i, np.flatnonzero(near[i]) + first)
     return found.left, found.right
 
 
-def _linked(rows: DataFrame, rules: NearRules, similarity: float, inside: bool) -> DataFrame:
-    """Verified edges (a, b) of each tile: rows of (g, i, j, side, node, shingles).
+def alike(similarity: float) -> Compare:
+    """Links of a Jaccard similarity of ``similarity`` at least, between sorted sets of hashes."""
+
+    def compare(a: list[bytes], b: list[bytes], inside: bool) -> tuple[list[int], list[int]]:
+        sets, first = [np.frombuffer(x, np.uint64) for x in (*a, *b)], 0 if inside else len(a)
+        sizes = np.array([len(x) for x in sets], np.float64)
+        both = common(sets, len(a), first)
+        return _forest(both >= similarity * (sizes[: len(a), None] + sizes[None, first:] - both), first, len(sets))
+
+    return compare
+
+
+def plausible(similarity: float) -> Compare:
+    """Pairs whose sketches agree as often as those of such a similarity do, less five standard deviations."""
+    least = SKETCH * similarity - 5 * math.sqrt(SKETCH * similarity * (1 - similarity))
+
+    def compare(a: list[bytes], b: list[bytes], inside: bool) -> tuple[list[int], list[int]]:
+        every, first = np.frombuffer(b"".join([*a, *b]), np.uint8).reshape(-1, SKETCH), 0 if inside else len(a)
+        near = [(every[at : min(at + 32, len(a)), None] == every[None, first:]).sum(2) >= least for at in range(0, len(a), 32)]
+        return _forest(np.concatenate(near), first, len(every))
+
+    return compare
+
+
+def _linked(rows: DataFrame, rules: NearRules, compare: Compare, inside: bool) -> DataFrame:
+    """Links (a, b) of each tile: rows of (g, i, j, side, node, payload).
 
     A tile's rows are sorted together and streamed, so a task holds one tile. Texts
     of side 0 are compared with those of side 1, and among themselves if ``inside``
@@ -325,34 +358,35 @@ def _linked(rows: DataFrame, rules: NearRules, similarity: float, inside: bool)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, ([], []), ([], [])
+        now, nodes, known = None, ([], []), ([], [])
 
         def edges() -> pa.RecordBatch:
-            left, right = alike(*sets, similarity, inside or not sets[1])
             every = nodes[0] + nodes[1]
+            left, right = compare(*known, inside or not known[1]) if known[0] and len(every) > 1 else ([], [])
             return pa.RecordBatch.from_arrays([pa.array([every[k] for k in x], pa.binary()) for x in (left, right)], names=["a", "b"])
 
-        for part in slices(batches, "shingles", rules.batch_bytes):
+        for part in slices(batches, "payload", rules.batch_bytes):
             keys = list(zip(*(part.column(c).to_pylist() for c in ("g", "i", "j")), strict=True))
-            for key, side, node, found in zip(keys, part.column("side").to_pylist(), part.column("node").to_pylist(), part.column("shingles"), strict=True):
+            for key, side, node, payload in zip(keys, *(part.column(c).to_pylist() for c in ("side", "node", "payload")), strict=True):
                 if key != now:
                     if now is not None:
                         yield edges()
-                    now, nodes, sets = key, ([], []), ([], [])
+                    now, nodes, known = key, ([], []), ([], [])
                 nodes[side].append(node)
-                sets[side].append(np.frombuffer(found.as_py(), np.uint64))
+                known[side].append(payload)
         if now is not None:
             yield edges()
 
     dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.select("g", "i", "j", "side", "node", "shingles").mapInArrow(run, "a binary, b binary").filter(F.col("a") != F.col("b"))
+    return dealt.select("g", "i", "j", "side", "node", "payload").mapInArrow(run, "a binary, b binary").filter(F.col("a") != F.col("b"))
 
 
-def candidates(nodes: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
-    """(g, code): groups of texts, such that any two that share a bucket share a group.
+def candidates(nodes: DataFrame, similarity: float, rules: NearRules, scratch: Scratch) -> DataFrame:
+    """(g, node, n): groups of texts, such that any two that share a bucket and can be alike share a group.
 
-    ``nodes`` has code and bands. Texts joined by buckets are a family and that is their
-    group; a family of more than ``rules.family`` has its buckets as groups.
+    ``nodes`` has code, node, n, bands and sketch. Texts joined by buckets are a family. One of more than
+    ``rules.family`` texts may only hang together by chance: the sketches of its
+    texts are compared in each bucket, and those joined by plausible pairs are a group.
     """
     each = nodes.select("code", F.explode("bands").alias("bucket"))
     least = each.groupBy("bucket").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low < high").select("bucket", "low")
@@ -362,9 +396,16 @@ def candidates(nodes: DataFrame, rules: NearRules, scratch: Scratch) -> DataFram
     family = scratch.table(family, "families")
     sizes = scratch.table(family.groupBy("family").agg(F.count("*").alias("m")), "sizes")
     sized = family.join(sizes, "family")
-    whole = sized.filter(F.col("m") <= rules.family).select(F.col("family").alias("g"), "code")
-    large = sized.filter(F.col("m") > rules.family).select("code").join(met, "code").select(F.col("bucket").alias("g"), "code")
-    return whole.unionAll(large)
+    own = nodes.select("code", "node", "n")
+    whole = sized.filter(F.col("m") <= rules.family).join(own, "code").select(F.col("family").alias("g"), "node", "n")
+    large = sizes.filter(F.col("m") > rules.family)
+    if large.isEmpty():
+        return whole
+    wide = scratch.table(sized.join(large.select("family"), "family", "left_semi").select("code").join(nodes.select("code", "node", F.col("sketch").alias("payload")), "code"), "wide")
+    members = wide.select("code", "node").join(met, "code").select(F.col("bucket").alias("g"), "node", F.lit(1).cast("long").alias("n"))
+    joined = block_links(members, wide.select("node", "payload"), plausible(similarity), rules, scratch)
+    named = joined.select("node", "root").unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
+    return whole.unionAll(named.join(own, "node").select(F.xxhash64("root").alias("g"), "node", "n"))
 
 
 def _up_to(n: Column) -> Column:
@@ -372,29 +413,25 @@ def _up_to(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
 
 
-def near_links(inner: DataFrame, nodes: DataFrame, similarity: float, rules: NearRules, scratch: Scratch) -> DataFrame:
-    """(node, root) of texts linked to others: components of all verified links in groups of candidates.
+def block_links(members: DataFrame, payloads: DataFrame, compare: Compare, rules: NearRules, scratch: Scratch) -> DataFrame:
+    """(node, root) of texts linked to others: components of all links in groups, those that aren't a root.
 
-    A group is cut into blocks. Each block is compared inside and with the group's first
-    block, all of it exactly; that is linear in the group. What verified links have
+    ``members`` has g, node and n, ``payloads`` node and payload, each node once. A group is cut into blocks. Each
+    block is compared inside and with the group's first block; that is linear in the group. What links have
     joined to the group's largest component by then needs no comparison among itself;
     the texts outside are compared in blocks with one another and with all texts of the component.
     """
-    members = scratch.table(candidates(nodes, rules, scratch).join(nodes.select("code", "node", "n"), "code").select("g", "node", "n"), "members")
+    members = scratch.table(members, "members")
     blocks = F.greatest(F.ceil(F.count("*") / rules.block), F.ceil(F.sum("n") / rules.block_shingles)).cast("long")
     sizes = scratch.table(members.groupBy("g").agg(blocks.alias("blocks")), "blocks")
     placed = scratch.table(members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
-    wanted = placed.select("node").distinct().join(nodes, "node").select("node", "least.k1", "least.k2")
-    # rows that are equal in id and text share their keys: one of them is as good as another
-    texts = inner.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
-    sets = scratch.table(_with_sets(texts, rules), "sets")
 
     # a text is in the tile of its block, and one of the first block in the tiles of all others too
     place = lambda i, side: F.struct(i.alias("i"), F.lit(side).alias("side"))
     others = F.transform(_up_to(F.when(F.col("block") == 0, F.col("blocks") - 1).otherwise(F.lit(0).cast("long"))), lambda k: place(k + 1, 1))
     tiles = F.concat(F.array(place(F.col("block"), 0)), others)
     first = placed.select("g", "node", F.explode(tiles).alias("t")).select("g", F.col("t.i").alias("i"), F.lit(0).cast("long").alias("j"), F.col("t.side").alias("side"), "node")
-    held = scratch.table(_linked(first.join(sets, "node"), rules, similarity, True), "links")
+    held = scratch.table(_linked(first.join(payloads, "node"), rules, compare, True), "links")
     roots = components(held, scratch)
 
     # groups of several blocks that are not one component yet
@@ -415,7 +452,7 @@ def near_links(inner: DataFrame, nodes: DataFrame, similarity: float, rules: Nea
     )
     inside = F.transform(_up_to(F.col("out")), lambda o: tile(o, -1 - k, 1))
     second = cut.select("g", "node", F.explode(F.when(F.col("joined"), inside).otherwise(outside)).alias("t")).select("g", "t.i", "t.j", "t.side", "node")
-    more = scratch.table(_linked(second.join(sets, "node"), rules, similarity, False), "more_links")
+    more = scratch.table(_linked(second.join(payloads, "node"), rules, compare, False), "more_links")
     return components(held.unionAll(more), scratch)
 
 
@@ -436,9 +473,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     inner = keep_columns(docs, {"id": id_col, "text": text_col}).withColumns({"k1": k1, "k2": k2})
     prints = scratch.table(_banded(inner, rules, similarity), "prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    nodes = prints.groupBy("node").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = prints.groupBy("node").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
     nodes = scratch.table(nodes.withColumn("code", F.xxhash64("node")), "nodes")
-    roots = near_links(inner, nodes, similarity, rules, scratch).withColumnRenamed("node", "of")
+    members = scratch.table(candidates(nodes, similarity, rules, scratch), "candidates")
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", "least.k1", "least.k2")
+    # rows that are equal in id and text share their keys: one of them is as good as another
+    texts = inner.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")
+    sets = scratch.table(_with_sets(texts, rules), "sets")
+    roots = block_links(members, sets, alike(similarity), rules, scratch).withColumnRenamed("node", "of")
     best = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     stay = best.select("least.k1", "least.k2")
     own = row_keys(f"`{id_col}`", f"`{text_col}`")

@@ -527,7 +527,7 @@ def test_links_through_failing_candidates_are_kept(spark):
 
 
 def test_recall_of_candidates():
-    """Of random pairs at 0.80-0.85 all share a bucket."""
+    """Of random pairs at 0.80 or more all share a bucket and have plausible sketches."""
     rng, rules = np.random.default_rng(23), simhash.DEDUP
     bands = simhash.Bands(rules, 0.8)
     assert len(bands.start) == rules.bands(0.8) and (1 - 0.8**rules.rows) ** rules.bands(0.8) <= rules.miss
@@ -536,7 +536,7 @@ def test_recall_of_candidates():
             both, own = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n // 4, np.uint64)
             cut = int(rng.integers(0, len(own) + 1))
             x, y = (np.sort(np.r_[both, part]) for part in (own[:cut], own[cut:]))
-            assert n / (n + len(own)) >= 0.8 and (bands(x) == bands(y)).any()
+            assert n / (n + len(own)) >= 0.8 and simhash.plausible(0.8)([bands(x)[1]], [bands(y)[1]], False) == ([0], [1]) and (bands(x)[0] == bands(y)[0]).any()
 
 
 def test_near_duplicates_edge_cases(spark):
