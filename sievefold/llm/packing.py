@@ -66,15 +66,15 @@ class ChunkTokenizer:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks, ids of each), for chunks that open with a blank.
+        """(ids of all chunks, ids of each), for chunks that open with a blank and hold no other.
 
         They are encoded as one text; a byte-level id stands for a known number
-        of bytes, so the bytes of each chunk tell which ids are its own.
+        of bytes, so the places of the blanks tell which ids are a chunk's own.
         """
         text = "".join(chunks)
         ids = np.array(self.encode([text])[0], np.uint32)
-        sizes = map(len, chunks) if text.isascii() else (len(c.encode()) for c in chunks)
-        ends = np.cumsum(np.fromiter(sizes, np.int64, len(chunks)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.r_[np.flatnonzero(raw == 0x20)[1:], len(raw)]
         last = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "left") + 1
         return ids, np.diff(last, prepend=0)
 
