@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import slices
+from sievefold.llm.shared import library_tokenizer, slices
 
 TURN, BODY, END_BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile(r"\\|</?s>|\[/?INST\]")
@@ -51,9 +51,7 @@ def turn_text(role: str, text: str) -> tuple[str, int, int]:
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+    return library_tokenizer(path)
 
 
 def token_counts(texts: list[str], path: str) -> list[int]:

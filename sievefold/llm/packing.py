@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import Scratch, keep_columns, slices
+from sievefold.llm.shared import Scratch, keep_columns, library_tokenizer, slices
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,7 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str, bound: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = library_tokenizer(path)
         self.bound = bound
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"

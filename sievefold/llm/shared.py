@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievefold.sources.store import Scratch
 
-__all__ = ["Scratch", "hashable", "keep_columns", "let", "row_keys", "slices", "split_words"]
+__all__ = ["Scratch", "hashable", "keep_columns", "let", "library_tokenizer", "row_keys", "slices", "split_words"]
 
 #: Words are maximal runs of characters other than space and \t \n \v \f \r.
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -62,6 +63,14 @@ def keep_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(inner) for inner, name in wanted.items()])
 
 
+def library_tokenizer(path: str):
+    """A tokenizer of the tokenizers library, kept to the task's own thread; tasks are what runs side by side."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, even where ``body`` uses it in a loop."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import collections
+import re
+import zlib
+
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from sievefold.llm import queries, secrets
 
-from sievefold.llm import queries
+WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
 def test_stages(spark, sf):
@@ -20,6 +29,79 @@ def test_stages(spark, sf):
     assert last.select("doc_id").distinct().count() == n
 
 
+def words(text):
+    return WORDS.findall(text or "")
+
+
+def near_groups(texts):
+    """Texts by group of near duplicates, all pairs compared: five lower-case words, 0.8."""
+    sets = []
+    for text in texts.values():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    out = {}
+    for doc, g in zip(texts, group, strict=True):
+        out.setdefault(g, []).append(doc)
+    return out
+
+
+def test_each_stage_gives_the_brute_force_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [[w for w in re.split(r"[\W_]+", r["text"].lower()) if w] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+
+    good = stages["quality_rules"](spark, docs, sf).persist()
+    kept = {r["doc_id"]: r["text"] for r in good.collect()}
+    for doc, r in rows.items():
+        w = words(r["text"])
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = [False] * len(w)
+        for i in range(len(w) - 7):
+            if seen[tuple(w[i : i + 8])] > 1:
+                hit[i : i + 8] = [True] * 8
+        if len(w) < 20 or 100 * sum(hit) > 30 * len(w):
+            assert doc not in kept
+        elif not any(n > 1 for n in collections.Counter(tuple(w[i : i + 20]) for i in range(len(w) - 19)).values()):
+            assert doc in kept  # no long repeat at all
+
+    single = stages["near_dedup"](spark, good, sf).persist()
+    left = {r["doc_id"]: r["text"] for r in single.collect()}
+    assert sorted(left) == sorted(min(g) for g in near_groups(kept).values()) and len(left) < len(kept)
+
+    clean = stages["decontaminate"](spark, single, sf).persist()
+    fine = {r["doc_id"]: r["text"] for r in clean.collect()}
+    runs = {tuple(i[k : k + 13]) for i in bench for k in range(len(i) - 12)}
+    for doc, text in left.items():
+        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+        shared = any(tuple(w[k : k + 13]) in runs for k in range(len(w) - 12))
+        few = not {tuple(w[k : k + 4]) for k in range(len(w) - 3)} & {tuple(i[k : k + 4]) for i in bench for k in range(len(i) - 3)}
+        assert (doc not in fine) if shared else (doc in fine or not few)
+
+    safe = stages["secret_scan"](spark, clean, sf).persist()
+    rules = secrets.SecretRules()
+    novelty = secrets.Novelty(rules)
+    for r in safe.collect():
+        assert r["text"] == secrets.redact(fine[r["doc_id"]], secrets.scan(fine[r["doc_id"]], rules, novelty)) and r["n_chars"] == len(r["text"])
+        assert r["lang"] == rows[r["doc_id"]]["lang"] and r["source"] == rows[r["doc_id"]]["source"]
+
+    pieces = stages["pack"](spark, safe, sf).collect()
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in safe.collect():
+        own = sorted((p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == r["doc_id"])
+        ids = [*tokens.encode(r["text"], add_special_tokens=False).ids, 1]
+        assert sum(n for _, n, _ in own) == len(ids)
+        for start, n, crc in own:
+            assert zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()) == crc
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
