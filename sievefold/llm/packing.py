@@ -31,15 +31,15 @@ class PackingRules:
     max_columns: int = 1200
     rank_rows: int = 200_000
     batch_bytes: int = 4 << 20
-    cache_chunks: int = 500_000
+    cache_words: int = 200_000
 
 
 class ChunkTokenizer:
-    """Token ids through the tokenizers library, each distinct chunk once.
+    """Token ids through the tokenizers library, each distinct word of a batch once.
 
-    A chunk is what lies between single blanks, with the blank before it.
+    A word is what lies between single blanks; it is encoded with the blank before it.
     Byte-level pre-tokenization always starts anew at a blank between two
-    characters that aren't white space, so ids of chunks join to ids of the text.
+    characters that aren't white space, so ids of words join to ids of the text.
     Texts with other white space beside a blank, or special strings, go whole.
     """
 
@@ -55,51 +55,56 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.ends = [0]
+        self.known = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks, ids of each), for chunks that open with a blank and hold no other.
+    def encode_words(self, words: pa.Array, some: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each with a blank before it; ids of each), for words that hold no blank.
 
-        They are encoded as one text; a byte-level id stands for a known number
-        of bytes, so the places of the blanks tell which ids are a chunk's own.
+        Some at a time are encoded as one text; a byte-level id stands for a known number
+        of bytes, so the places of the blanks tell which ids are a word's own. Longer
+        texts cost the library more for each word.
         """
-        text = "".join(chunks)
-        ids = np.array(self.encode([text])[0], np.uint32)
-        raw = np.frombuffer(text.encode(), np.uint8)
-        ends = np.r_[np.flatnonzero(raw == 0x20)[1:], len(raw)]
-        last = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "left") + 1
-        return ids, np.diff(last, prepend=0)
-
-    def places(self, chunks: list[str], joined: bool) -> np.ndarray:
-        """Numbers of the chunks in ``ids``; the new ones are encoded."""
-        index = self.index
-        missing = [c for c in chunks if c not in index]
-        for at in range(0, len(missing), 500):  # longer texts cost the library more for each chunk
-            some = missing[at : at + 500]
-            if joined:
-                ids, counts = self.encode_joined(some)
-            else:
-                each = self.encode(some)
-                ids, counts = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
-            self.ids[self.used : self.used + len(ids)] = ids
-            first = len(self.ends) - 1
-            index.update(zip(some, range(first, first + len(some)), strict=True))
-            self.ends.extend((np.cumsum(counts) + self.used).tolist())
-            self.used += len(ids)
-        return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        cuts = pa.array(np.r_[np.arange(0, len(words), some), len(words)].astype(np.int32))
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for joined in pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist() if len(words) else []:
+            text = " " + joined
+            own = np.array(self.encode([text])[0], np.uint32)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.r_[np.flatnonzero(raw == 0x20)[1:], len(raw)]
+            ids.append(own)
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.bytes[own]), ends, "left") + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def inner(self, words: pa.Array, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's start among them, how many) of distinct words that follow a blank.
+
+        Words used twice or more in a batch are remembered, up to ``bound``; most others never come again.
+        """
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        ids, counts = self.encode_words(fresh)
+        begin = np.cumsum(counts) - counts
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        held = at >= 0
+        starts[held], lengths[held] = self.starts[at[held]], self.lengths[at[held]]
+        starts[new], lengths[new] = begin + len(self.ids), counts
+        every = np.r_[self.ids, ids]
+        again = np.flatnonzero(uses[new] > 1)[: max(0, self.bound - len(self.known))]
+        if len(again):
+            kept = counts[again]
+            self.starts = np.r_[self.starts, np.cumsum(kept) - kept + len(self.ids)]
+            self.lengths = np.r_[self.lengths, kept]
+            self.ids = np.r_[self.ids, ids[_ranges(begin[again], kept)]]
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(again))])
+        return every, starts, lengths
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; ids of each text)."""
-        if len(self.index) > self.bound:
-            self.clear()
         n = len(texts)
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
@@ -107,25 +112,29 @@ class ChunkTokenizer:
         parents = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(parts).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        words = coded.dictionary.to_pylist()
-        first = np.r_[True, parents[1:] != parents[:-1]]
-        start_codes = np.unique(codes[first])
-        inner_codes = np.unique(codes[~first])
-        at_start, inside = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        at_start[start_codes] = self.places([words[k] for k in start_codes.tolist()], False)
-        inside[inner_codes] = self.places([" " + words[k] for k in inner_codes.tolist()], True)
-        place = np.where(first, at_start[codes], inside[codes])
-        ends = np.array(self.ends)
-        lengths = ends[place + 1] - ends[place]
-        ids, counts = self.ids[_ranges(ends[place], lengths)], np.bincount(parents, lengths, n).astype(np.int64)
+        first = np.r_[True, parents[1:] != parents[:-1]][: len(parents)]
+        # words at the start of a text have no blank before them
+        uses = np.bincount(codes[~first], minlength=len(coded.dictionary))
+        used = np.flatnonzero(uses)
+        inner_ids, at, size = self.inner(coded.dictionary.take(pa.array(used)), uses[used])
+        heads = np.unique(codes[first])
+        own = self.encode(coded.dictionary.take(pa.array(heads)).to_pylist())
+        own_sizes = np.array([len(x) for x in own], np.int64)
+        all_ids = np.r_[inner_ids, np.array([i for x in own for i in x], np.uint32)]
+        start, length = np.zeros((2, len(uses)), np.int64), np.zeros((2, len(uses)), np.int64)
+        start[0, used], length[0, used] = at, size
+        start[1, heads], length[1, heads] = np.cumsum(own_sizes) - own_sizes + len(inner_ids), own_sizes
+        side = first.astype(np.int64)
+        lengths = length[side, codes]
+        ids, counts = all_ids[_ranges(start[side, codes], lengths)], np.bincount(parents, lengths, n).astype(np.int64)
         rows = np.flatnonzero(odd)
         whole = self.encode(texts.take(pa.array(rows)).to_pylist()) if len(rows) else []
         at = np.cumsum(counts)
         extra, owner = [], []
-        for row, own in zip(rows.tolist(), whole, strict=True):
-            counts[row] = len(own)
-            extra += [*own, end_id]
-            owner += [at[row]] * (len(own) + 1)
+        for row, mine in zip(rows.tolist(), whole, strict=True):
+            counts[row] = len(mine)
+            extra += [*mine, end_id]
+            owner += [at[row]] * (len(mine) + 1)
         closing = np.flatnonzero(~odd)
         where = np.r_[np.array(owner, np.int64), at[closing]]
         values = np.r_[np.array(extra, np.uint32), np.full(len(closing), end_id, np.uint32)]
@@ -152,7 +161,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", rules.batch_bytes):
-            held = tokenizer(path or public_tokenizers.path(rules.tokenizer), rules.cache_chunks)
+            held = tokenizer(path or public_tokenizers.path(rules.tokenizer), rules.cache_words)
             ids, counts = held.texts(pc.fill_null(part.column("text"), ""), rules.end_id)
             ends = np.r_[0, np.cumsum(counts) * 4].astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
