@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from sievefold.functions.numbers import is_number, to_number
+from sievefold.functions.numbers import is_number, null_nan, to_number
 from sievefold.functions.scaling import percentiles
 
 DISCARD_ABOVE = 0.7
@@ -50,16 +51,25 @@ def json_in(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def non_numeric(rules: Sequence[Rule]) -> Column:
-    """Array of ``column='value'`` of the numeric rules' columns that hold other text."""
-    bad = [F.when(~is_number(F.col(f"`{r.column}`")), F.concat(F.lit(f"{r.column}='"), F.col(f"`{r.column}`").cast("string"), F.lit("'"))) for r in rules if r.numeric]
+def _bad(rules: Sequence[Rule], numeric: Collection[str]) -> list[tuple[Rule, Column]]:
+    """Whether a numeric rule's column holds other text; columns of a numeric type can't."""
+    return [(r, ~is_number(F.col(f"`{r.column}`"))) for r in rules if r.numeric and r.column not in numeric]
+
+
+def non_numeric(rules: Sequence[Rule], numeric: Collection[str] = ()) -> Column:
+    """Array of ``column='value'`` of the numeric rules' columns that hold other text.
+
+    ``numeric`` names columns of a numeric type, whose values need no reading.
+    """
+    bad = [F.when(test, F.concat(F.lit(f"{r.column}='"), F.col(f"`{r.column}`").cast("string"), F.lit("'"))) for r, test in _bad(rules, numeric)]
     return F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
 
 
-def _tests(rules: Sequence[Rule]) -> list[tuple[Column, str, float]]:
+def _tests(rules: Sequence[Rule], numeric: Collection[str] = ()) -> list[tuple[Column, str, float]]:
     tests = []
     for r in rules:
-        x = to_number(F.col(f"`{r.column}`"))
+        x = F.col(f"`{r.column}`")
+        x = null_nan(x.cast("double")) if r.column in numeric else to_number(x)
         if r.lower is not None:
             tests.append((x < r.lower, f"{r.column} < {r.lower}", r.confidence))
         if r.upper is not None:
@@ -67,26 +77,30 @@ def _tests(rules: Sequence[Rule]) -> list[tuple[Column, str, float]]:
     return tests
 
 
-def violations(rules: Sequence[Rule]) -> Column:
+def violations(rules: Sequence[Rule], numeric: Collection[str] = ()) -> Column:
     """Messages of violated bounds."""
-    hits = [F.when(test, F.lit(message)) for test, message, _ in _tests(rules)]
+    hits = [F.when(test, F.lit(message)) for test, message, _ in _tests(rules, numeric)]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
-def violated_confidence(rules: Sequence[Rule]) -> Column:
+def violated_confidence(rules: Sequence[Rule], numeric: Collection[str] = ()) -> Column:
     """The largest confidence of violated rules, 0 if none is."""
-    return F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(test, F.lit(c)) for test, _, c in _tests(rules)])
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(test, F.lit(c)) for test, _, c in _tests(rules, numeric)])
 
 
 def route(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds ``violations``, ``max_confidence`` and ``decision``.
 
-    Narrow, and so the same on a stream.
+    Narrow, and so the same on a stream. The decision rests on the tests themselves, so a
+    report of decisions builds no messages.
     """
     known = [r for r in rules if r.column in df.columns]
-    out = df.withColumns({"_bad": non_numeric(known), "violations": violations(known), "max_confidence": violated_confidence(known)})
-    decision = F.when((F.size("_bad") > 0) | (F.col("max_confidence") > DISCARD_ABOVE), "fully_discarded").when(F.size("violations") > 0, "unsure").otherwise("cleaned")
-    return out.withColumn("decision", decision).withColumn("violations", F.concat("_bad", "violations")).drop("_bad")
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    said = any_of([F.coalesce(test, F.lit(False)) for _, test in _bad(known, numeric)])
+    hit = any_of([F.coalesce(test, F.lit(False)) for test, _, _ in _tests(known, numeric)])
+    highest = violated_confidence(known, numeric)
+    decision = F.when(said | (highest > DISCARD_ABOVE), "fully_discarded").when(hit, "unsure").otherwise("cleaned")
+    return df.withColumns({"violations": F.concat(non_numeric(known, numeric), violations(known, numeric)), "max_confidence": highest, "decision": decision})
 
 
 def summary(routed: DataFrame) -> DataFrame:
@@ -179,4 +193,5 @@ def split_writes(routed: DataFrame, path: str) -> None:
 
 
 def any_of(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+    """False for no tests."""
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
