@@ -55,7 +55,40 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_secrets, op4_substrings, op5_warc, op6_packing, op7_simhash, op8_pii, op9_tokens, op10_decontam)}
 
+_RULES = decontam.DecontamRules()
+
+
+def _masked(words: str, at: str, mask: str) -> str:
+    """SQL for the words under a mask's ones, from place ``at``."""
+    return "concat_ws(' ', " + ", ".join(f"{words}[{at} + {k}]" for k, c in enumerate(mask) if c == "1") + ")"
+
+
+def _windows(table: str) -> str:
+    """SQL for (id, which mask, at, key) of each window of a table with id and ws."""
+    return " UNION ALL ".join(f"SELECT id, {m} AS m, i AS at, {_masked('ws', 'i', mask)} AS key FROM (SELECT id, ws, unnest(range(1, len(ws) - {len(mask)} + 2)) AS i FROM {table} WHERE len(ws) >= {len(mask)})" for m, mask in enumerate(_RULES.masks))
+
+
+def _split(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM k WHERE h IN (SELECT h FROM k GROUP BY h HAVING count(*) > 1)),
+        e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN s ON w.doc_id = s.doc_id""",
+    "op10_decontam": f"""
+        WITH d AS (SELECT doc_id AS id, {_split("text")} AS ws FROM documents), b AS (SELECT item_id AS id, {_split("text")} AS ws FROM benchmark),
+        dw AS ({_windows("d")}), bw AS ({_windows("b")}),
+        a AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, CAST(dw.at - bw.at AS BIGINT) AS shift FROM dw JOIN bw ON dw.m = bw.m AND dw.key = bw.key),
+        x AS (SELECT doc_id, item_id, shift, len(b.ws) AS n, unnest(range(1, len(b.ws) + 1)) AS i, d.ws AS dws, b.ws AS bws FROM a JOIN d ON a.doc_id = d.id JOIN b ON a.item_id = b.id),
+        p AS (SELECT doc_id, item_id, shift, n, i, sum(CASE WHEN i + shift >= 1 AND dws[i + shift] = bws[i] THEN 1 ELSE -{_RULES.penalty} END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS p FROM x),
+        q AS (SELECT doc_id, item_id, n, p - least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM p)
+        SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score FROM q GROUP BY doc_id, item_id, n HAVING max(score) >= least({_RULES.min_score}, n)""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS target FROM p)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import collections
 import re
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from sievefold.llm import queries, secrets
@@ -120,3 +123,15 @@ def test_written_tables_can_be_dropped(spark):
     assert mine <= {t.name for t in spark.catalog.listTables()}
     scratch.drop()
     assert not files.exists(where) and not mine & {t.name for t in spark.catalog.listTables()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, sf, name):
+    db = duckdb.connect()
+    for path in Path(sf).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(map(tuple, want.fetchall()), key=repr)
