@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievefold.llm import chat, decontam, packing, pii, quality, secrets, simhash, substrings, tokens, warc
+from sievefold.llm import chat, clusters, decontam, negatives, packing, pii, quality, secrets, simhash, substrings, tokens, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,20 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_secrets, op4_substrings, op5_warc, op6_packing, op7_simhash, op8_pii, op9_tokens, op10_decontam)}
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages")).drop("tried")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat, op3_secrets, op4_substrings, op5_warc, op6_packing, op7_simhash, op8_pii, op9_tokens, op10_decontam, op11_urls, op12_negatives, op13_clusters)}
 
 _RULES = decontam.DecontamRules()
 
@@ -72,7 +85,54 @@ def _split(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
+_RULES_SQL = ", ".join(f"('{r.host}', '{r.path}', '{r.action}')" for r in urls.HOST_RULES)
+
+
+def _pattern_cases(value) -> str:
+    """CASE branches over all patterns, allowing ones first; each pattern runs on every URL."""
+    ordered = sorted(urls.PATTERNS, key=lambda p: p.action != "allow")
+    return " ".join(f"WHEN regexp_matches(low, '{p.expression}') THEN '{value(p)}'" for p in ordered)
+
+
+_WHOLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_NUMBERS = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+
+
+def _round(n: int) -> str:
+    """SQL for a round: centroids c{n} from the vectors v and centroids c{n - 1}."""
+    return f"""
+        a{n} AS (SELECT id, e, k FROM (SELECT id, e, k, list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c) AS d FROM v, c{n - 1}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, k) = 1),
+        s{n} AS (SELECT k, i, floor(sum(x) / count(*)) AS m FROM (SELECT k, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY k, i),
+        m{n} AS (SELECT k, list(m ORDER BY i) AS m FROM s{n} GROUP BY k),
+        c{n} AS (SELECT c.k, coalesce(m, c) AS c FROM c{n - 1} AS c LEFT JOIN m{n} AS m ON c.k = m.k)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_urls": f"""
+        WITH r(host, path, action) AS (VALUES {_RULES_SQL}),
+        u AS (SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        f AS (SELECT p.page_id, r.host || r.path AS rule, r.action FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+              QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) = 1),
+        t AS (SELECT page_id, CASE {_pattern_cases(lambda p: p.action)} ELSE 'allow' END AS verdict, CASE {_pattern_cases(lambda p: p.line)} END AS pattern FROM p)
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, t.verdict) AS verdict, CASE WHEN f.rule IS NULL THEN t.pattern END AS pattern
+        FROM p JOIN t ON p.page_id = t.page_id LEFT JOIN f ON p.page_id = f.page_id""",
+    "op12_negatives": f"""
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_NUMBERS} AS e FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+        s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_clusters": f"""
+        WITH v AS (SELECT vec_id AS id, {_NUMBERS} AS e FROM embeddings WHERE len(embedding) = 64 AND {_WHOLE}),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || id)) - 1 AS k, e AS c FROM v QUALIFY k < 40),
+        {",".join(_round(n) for n in range(1, 7))},
+        d AS (SELECT id, a.k, CAST(list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c) AS BIGINT) AS distance,
+                     sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS h FROM a6 AS a JOIN c5 ON a.k = c5.k)
+        SELECT id AS vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM d""",
     "op4_substrings": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         k AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
