@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import median_impute, robust_scale, standard_scale, with_stats
 from sievefold.operators.forest import Forest, fit_score, sample_matrix, score_rows
+from sievefold.operators.neighbours import knn, lof
 from sievefold.operators.rowid import chunk_id
 
 EPSILON = 1e-8
@@ -137,96 +138,18 @@ def statistics_rows(df: DataFrame, key: str, columns: Sequence[str], chunk: int
     return _features(df, key, columns, chunk, row_statistics)
 
 
-# neighbours and envelopes: the extended profile ---------------------------
+# envelopes: the extended profile; neighbours are in neighbours.py ----------
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
 
 
-def _nearest(x: np.ndarray, train: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and numbers of the k nearest training rows, ascending; ``own`` leaves out a row itself."""
-    d, n = [], []
-    k = min(k, len(train) - own)
-    for at in range(0, len(x), 512):
-        part = _distances(x[at : at + 512], train)
-        if own:
-            part[np.arange(len(part)), at + np.arange(len(part))] = np.inf
-        near = np.argpartition(part, k - 1, axis=1)[:, :k]
-        values = np.take_along_axis(part, near, 1)
-        order = np.argsort(values, axis=1, kind="stable")
-        d.append(np.take_along_axis(values, order, 1))
-        n.append(np.take_along_axis(near, order, 1))
-    return np.concatenate(d), np.concatenate(n)
-
-
 def _fitted(df: DataFrame, key: str, columns: Sequence[str], train_scores: np.ndarray, score, contamination: float) -> DataFrame:
     cut = float(np.percentile(train_scores, 100 * (1 - contamination)))
     return score_rows(df, key, columns, score).withColumn("vote", (F.col("score") > cut).cast("int"))
 
 
-def knn(df: DataFrame, key: str, columns: Sequence[str], k: int = 15, contamination: float = 0.05, sample: int = 5_000, seed: int = 42) -> DataFrame:
-    """Distance to the k-th nearest row of a bounded sample."""
-    train = sample_matrix(df, key, columns, sample, seed)
-    return _fitted(df, key, columns, _nearest(train, train, k, True)[0][:, -1], lambda x: _nearest(x, train, k, False)[0][:, -1], contamination)
-
-
-def knn_all(df: DataFrame, key: str, columns: Sequence[str], k: int = 15, contamination: float = 0.05, block: int = 4096) -> DataFrame:
-    """As ``knn``, with the neighbours among all rows.
-
-    Rows are dealt into blocks of about ``block``; each block meets each block in a
-    task that holds the two, and a row's least distances of all its blocks are
-    merged. The score counts the row itself, as ``knn``'s does; the cut does not.
-    Pairs of blocks grow with the square of the rows, which an exact search without an index needs.
-    """
-    count = df.count()
-    parts = max(1, -(-count // block))
-    point = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = df.select(F.col(key).alias("key"), point.alias("x")).withColumn("block", F.pmod(F.xxhash64("key", "x"), F.lit(parts)))
-    number = F.row_number().over(Window.partitionBy("block").orderBy("key", "x"))
-    blocks = rows.withColumn("n", number).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("n", "key", "x"))).alias("rows"))
-    blocks = blocks.select("block", F.col("rows.key").alias("keys"), F.flatten("rows.x").alias("points"))
-    left = blocks.select(F.col("block").alias("a"), F.col("keys"), F.col("points").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("b"))
-    right = blocks.select(F.col("block").alias("b"), F.col("points").alias("y"))
-    width = len(columns)
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("x", "y"))
-                own = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                take, found = min(k, len(y) - own), []
-                for at in range(0, len(x) if take else 0, 512):
-                    part = _distances(x[at : at + 512], y)
-                    if own:
-                        part[np.arange(len(part)), at + np.arange(len(part))] = np.inf
-                    found += list(np.partition(part, take - 1, axis=1)[:, :take])
-                near = pa.array(found if take else [[]] * len(x), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(np.arange(len(x)) + (batch.column("a")[i].as_py() << 32)), near], names=["key", "row", "near"])
-
-    kind = df.schema[key].dataType.simpleString()
-    # a block a task, so that a task holds few pairs
-    met = left.join(right, "b").repartition(F.col("a"), F.col("b")).mapInArrow(run, f"key {kind}, row long, near array<double>")
-    least = met.groupBy("row", "key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, min(k, max(count - 1, 1))).alias("near"))
-    score = F.when(F.size("near") < k, F.element_at("near", -1)).otherwise(F.coalesce(F.get("near", F.lit(k - 2)), F.lit(0.0)))
-    each = least.select(F.col("key").alias(key), score.alias("score"), F.element_at("near", -1).alias("others"))
-    return with_stats(each, F.percentile("others", F.lit(1 - contamination)).alias("_cut")).select(key, "score", (F.col("score") > F.col("_cut")).cast("int").alias("vote"))
-
-
-def lof(df: DataFrame, key: str, columns: Sequence[str], k: int = 20, contamination: float = 0.05, sample: int = 5_000, seed: int = 42) -> DataFrame:
-    """Local outlier factor against a bounded sample."""
-    train = sample_matrix(df, key, columns, sample, seed)
-    d, near = _nearest(train, train, k, True)
-    radius = d[:, -1]
-    density = 1 / (np.maximum(radius[near], d).mean(1) + 1e-10)
-
-    def factor(d: np.ndarray, near: np.ndarray) -> np.ndarray:
-        own = 1 / (np.maximum(radius[near], d).mean(1) + 1e-10)
-        return density[near].mean(1) / own
-
-    return _fitted(df, key, columns, factor(d, near), lambda x: factor(*_nearest(x, train, k, False)), contamination)
-
-
 def robust_center(x: np.ndarray, seed: int = 42, starts: int = 20, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Least-determinant half by concentration steps: centre and inverse covariance."""
     rng = np.random.default_rng(seed)

@@ -703,7 +703,31 @@ SELECT vec_id, round(near[14], 4) AS score, CAST(near[14] > cut AS INT) AS vote
 def knn_scores(spark, d):
     """All dimensions, neighbours among all rows."""
     e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
-    return detectors.knn_all(e, "vec_id", [f"e{k}" for k in range(64)]).select("vec_id", r("score").alias("score"), "vote")
+    return detectors.knn(e, "vec_id", [f"e{k}" for k in range(64)]).select("vec_id", r("score").alias("score"), "vote")
+
+
+def _lof_sql(rows: str, key: str, k: int = 20) -> str:
+    """Rows (key, v): a list of doubles. Each row's density against its neighbours', over all rows."""
+    return f"""WITH e AS ({rows}),
+n AS (SELECT a.k AS k, b.k AS o, list_distance(a.v, b.v) AS d FROM e AS a JOIN e AS b ON a.k <> b.k QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY d, b.k) <= {k}),
+r AS (SELECT k, max(d) AS radius FROM n GROUP BY k),
+l AS (SELECT n.k, 1 / (avg(greatest(d, radius)) + 1e-10) AS density FROM n JOIN r ON n.o = r.k GROUP BY n.k),
+s AS (SELECT n.k, avg(o.density) / any_value(l.density) AS score FROM n JOIN l ON n.k = l.k JOIN l AS o ON n.o = o.k GROUP BY n.k)
+SELECT k AS {key}, round(score, 4) AS score, CAST(score > (SELECT quantile_cont(score, 0.95) FROM s) AS INT) AS vote FROM s"""
+
+
+@query(_lof_sql("SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings", "vec_id"))
+def lof_scores(spark, d):
+    """All dimensions, neighbours among all rows."""
+    e = t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
+    return detectors.lof(e, "vec_id", [f"e{k}" for k in range(64)]).select("vec_id", r("score").alias("score"), "vote")
+
+
+@query(_lof_sql("SELECT 'c' || c_custkey AS k, [CAST(c_acctbal AS DOUBLE), 100.0 * c_nationkey] AS v FROM customer", "row_id"))
+def lof_customers(spark, d):
+    """Text keys, two columns, so that bounds rule most blocks out."""
+    c = t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("row_id"), F.col("c_acctbal").cast("double").alias("bal"), (100.0 * F.col("c_nationkey")).alias("nation"))
+    return detectors.lof(c, "row_id", ["bal", "nation"]).select("row_id", r("score").alias("score"), "vote")
 
 
 @query("SELECT 'value' AS column_name, count(*) AS n_samples, round(count(*) / 100.0, 4)::DOUBLE AS seconds, count(*) FILTER (value > 150) AS n_anomaly FROM events UNION ALL SELECT 'user_id', count(*), round(count(*) / 100.0, 4)::DOUBLE, count(*) FILTER (value > 150) FROM events")

@@ -190,19 +190,6 @@ def test_whole_run(spark, sf):
     assert 0 < run.clean(df, scores, flagged).count() < 1000
 
 
-def test_neighbours_among_all_rows(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(700, 5))
-    frame = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "key long, a double, b double, c double, d double, e double")
-    apart = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)
-    cut = np.percentile(apart[:, 15], 95)
-    for block in (100, 4096):
-        got = {r["key"]: r for r in detectors.knn_all(frame, "key", list("abcde"), block=block).collect()}
-        assert len(got) == 700
-        for k in range(700):
-            assert abs(got[k]["score"] - apart[k, 14]) < 1e-6 and got[k]["vote"] == int(apart[k, 14] > cut)
-
-
 def test_knn_query_uses_all_dimensions(spark, sf):
     from sievefold import queries
 
