@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievefold.functions.scaling import median_impute, robust_scale, standard_scale, with_stats
-from sievefold.operators.forest import Forest, fit_score, sample_matrix, score_rows
+from sievefold.functions.scaling import median_impute, percentiles, robust_scale, standard_scale, with_stats
+from sievefold.operators.forest import Forest, fit_forests, fit_score, sample_matrix, score_rows
 from sievefold.operators.neighbours import knn, lof
 from sievefold.operators.rowid import chunk_id
+from sievefold.sources.store import Scratch
 
 EPSILON = 1e-8
 
@@ -101,11 +102,39 @@ def row_statistics(x: np.ndarray) -> np.ndarray:
     return np.column_stack([mean, std, np.median(x, 1), (z**3).mean(1), np.where(std == 0, 0, (z**4).mean(1) - 3), np.percentile(x, 25, 1), np.percentile(x, 75, 1), (steps > 0).sum(1), (steps < 0).sum(1)])
 
 
-def morphology(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, chunk: int = 300, sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """D3, Q6: features within a chunk's own range, against those of a sample. Columns should be standardized."""
-    x = sample_matrix(df, key, columns, sample, seed)
-    features = morphology_features(x, float(x.min()), float(x.max())) if len(x) else np.zeros((1, 9))
-    mean, std = features.mean(0), features.std(0)
+def feature_moments(df: DataFrame, columns: Sequence[str], low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations of the features of all rows as images of one range.
+
+    A task sends one row: its count, means and sums of squared differences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, spread = 0, 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                f = morphology_features(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]), low, high)
+                n, mean, spread = _joined((n, mean, spread), (len(f), f.mean(0), ((f - f.mean(0)) ** 2).sum(0)))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean]), pa.array([spread])], names=["n", "mean", "spread"])
+
+    n, mean, spread = 0, np.zeros(9), np.zeros(9)
+    parts = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "n long, mean array<double>, spread array<double>")
+    for r in parts.collect():  # a row for each task
+        n, mean, spread = _joined((n, mean if n else 0.0, spread if n else 0.0), (r["n"], np.array(r["mean"]), np.array(r["spread"])))
+    return mean, np.sqrt(spread / max(n, 1))
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Count, means and squared differences of two sets together."""
+    n, step = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + step * (b[0] / n), a[2] + b[2] + step**2 * (a[0] * b[0] / n)
+
+
+def morphology(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, chunk: int = 300) -> DataFrame:
+    """D3, Q6: features within a chunk's own range, against those of all rows within their range. Columns should be standardized."""
+    ends = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    low, high = (min(ends), max(ends)) if ends[0] is not None else (0.0, 0.0)
+    mean, std = feature_moments(df, columns, low, high)
     cut = normal_quantile(1 - contamination)
 
     def run(pdf):
@@ -229,34 +258,34 @@ EFFECTIVE4 = ("isolation_forest", "zscore", "mahalanobis", "morphological")
 
 @dataclass
 class ChunkScores:
-    """What scoring whole chunks by the four effective methods needs: statistics of all rows and a bounded sample's models."""
+    """What scoring whole chunks by the four effective methods needs, all from all rows."""
 
     contamination: float
     mean: np.ndarray
     std: np.ndarray
     inverse: np.ndarray
     model: Forest | None
-    cut: float
     features: tuple[np.ndarray, np.ndarray]
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str, columns: Sequence[str], contamination: float, sample: int = 10_000, trees: int = 50, seed: int = 42) -> ChunkScores:
-        """One aggregate of all rows and one sample of at most ``sample`` rows. Q4: models are trained and applied in standardized space."""
+    def fit(cls, df: DataFrame, key: str, columns: Sequence[str], contamination: float, trees: int = 50, seed: int = 42) -> ChunkScores:
+        """One aggregate, one shuffle of the trees' rows, one pass for the features. Q4: models are trained and applied in standardized space."""
         k = len(columns)
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns], *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
-        mean, std = (np.array([v or 0.0 for v in row[at : at + k]], float) for at in (0, k))
+        kinds = [f(c) for f in (F.avg, F.stddev_pop, F.min, F.max) for c in columns]
+        row = df.agg(*kinds, *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
+        mean, std, low, high = (np.array([v or 0.0 for v in row[at : at + k]], float) for at in range(0, 4 * k, k))
         cov = np.zeros((k, k))
-        for (i, j), v in zip(pairs, row[2 * k :], strict=True):
+        for (i, j), v in zip(pairs, row[4 * k :], strict=True):
             cov[i, j] = cov[j, i] = v or 0.0
-        x = (sample_matrix(df, key, columns, sample, seed) - mean) / np.where(std == 0, 1, std)
-        model = Forest.fit(x, trees, seed) if len(x) else None
-        cut = float(np.percentile(model.score(x), 100 * (1 - contamination))) if model else 0.0
-        f = morphology_features(x, float(x.min()), float(x.max())) if len(x) else np.zeros((1, 9))
-        return cls(contamination, mean, std, np.linalg.pinv(cov), model, cut, (f.mean(0), f.std(0)))
+        unit = np.where(std == 0, 1, std)
+        scaled = df.select(key, *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(columns, mean, unit, strict=True)])
+        model = fit_forests(scaled, key, {"all": columns}, trees, seed).get("all")
+        features = feature_moments(scaled, columns, float(((low - mean) / unit).min()), float(((high - mean) / unit).max()))
+        return cls(contamination, mean, std, np.linalg.pinv(cov), model, features)
 
     def __call__(self, x: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """(scores, votes) of each method; ``ends`` says where the chunks of the rows end."""
+        """(scores, votes) of each method; ``ends`` says where the chunks of the rows end. The forest's votes need all scores."""
         limit, d = normal_quantile(1 - self.contamination), x - self.mean
         z = (np.abs(d) / (self.std + EPSILON)).max(1)
         far = np.sqrt(np.maximum(((d @ self.inverse) * d).sum(1), 0))
@@ -267,15 +296,17 @@ class ChunkScores:
             far_vote[a:b] = far[a:b] > np.percentile(far[a:b], 100 * (1 - self.contamination))
             f = morphology_features(scaled[a:b], scaled[a:b].min(), scaled[a:b].max())
             odd[a:b] = (np.abs(f - self.features[0]) / (self.features[1] + EPSILON)).max(1)
-        return {"isolation_forest": (lone, lone > self.cut), "zscore": (z, z > limit), "mahalanobis": (far, far_vote), "morphological": (odd, odd > limit)}
+        return {"isolation_forest": (lone, np.zeros(len(x))), "zscore": (z, z > limit), "mahalanobis": (far, far_vote), "morphological": (odd, odd > limit)}
 
 
-def chunk_votes(df: DataFrame, key: str, columns: Sequence[str], methods: Sequence[str] = EFFECTIVE4, contamination: float = 0.05, chunk: int = 300) -> DataFrame:
+def chunk_votes(df: DataFrame, key: str, columns: Sequence[str], methods: Sequence[str] = EFFECTIVE4, contamination: float = 0.05, chunk: int = 300, scratch: Scratch | None = None) -> DataFrame:
     """(key, a vote for each method, method_specific_scores) of the effective methods in one pass.
 
     Rows are shuffled once, by chunk, and stream through a task chunk after chunk; all
-    scores of a row are taken together. ``key`` is a dense row id, and columns hold no nulls.
+    scores of a row are taken together. They are written, since the forest's limit is a quantile of all
+    rows' scores. ``key`` is a dense row id, and columns hold no nulls.
     """
+    scratch = scratch or Scratch(df.sparkSession)
     score = ChunkScores.fit(df, key, columns, contamination)
     names = sorted(methods)
 
@@ -308,6 +339,10 @@ def chunk_votes(df: DataFrame, key: str, columns: Sequence[str], methods: Sequen
     kind = df.schema[key].dataType.simpleString()
     dealt = df.select(key, *columns, chunk_id(F.col(key), chunk).alias("chunk_id")).repartition("chunk_id").sortWithinPartitions("chunk_id")
     found = dealt.mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{m} int" for m in methods), *(f"score_{m} double" for m in names)]))
+    found = scratch.table(found, "votes")
+    if "isolation_forest" in methods:
+        cut = percentiles(found, ["score_isolation_forest"], [1 - contamination])[0][0]
+        found = found.withColumn("isolation_forest", (F.col("score_isolation_forest") > F.lit(cut).cast("double")).cast("int"))
     scores = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"score_{m}") for m in names]))
     return found.select(key, *methods, scores.alias("method_specific_scores"))
 
@@ -316,8 +351,8 @@ def chunk_votes(df: DataFrame, key: str, columns: Sequence[str], methods: Sequen
 class ConsensusDetector:
     """Imputes, scales where a method wants it, votes and explains. ``key`` is a dense row id.
 
-    The four effective methods are scored in one pass by chunk. Others are fitted on samples
-    and scored each in a narrow pass; their votes meet in one shuffle on the key.
+    The four effective methods are scored in one pass by chunk. Others are scored each
+    on their own; their votes meet in one shuffle on the key.
     """
 
     methods: tuple[str, ...] = EFFECTIVE4

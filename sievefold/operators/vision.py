@@ -12,6 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievefold.functions.scaling import percentiles
+from sievefold.operators.forest import fit_forests, score_forests
+from sievefold.operators.profile import drop_null_inf
+from sievefold.sources.store import Scratch
+
 
 def grid_side(n: int) -> int:
     """V1."""
@@ -46,18 +51,21 @@ def close_flags(cells: DataFrame, side: int, column: str = "anomaly") -> DataFra
     return _cross(_cross(cells, column, side, F.max), column, side, F.min)
 
 
-def film_frames(df: DataFrame, row_id: str, columns: list[str], contamination: float = 0.1) -> DataFrame:
-    """V9: (column_name, row_id, value, anomaly) of each numeric column, each with its own forest."""
-    from sievefold.operators.forest import fit_score
-    from sievefold.operators.profile import drop_null_inf
+def film_frames(df: DataFrame, row_id: str, columns: list[str], contamination: float = 0.1, scratch: Scratch | None = None) -> DataFrame:
+    """(column_name, row_id, value, anomaly) of each numeric column, each with its own forest.
 
-    clean = drop_null_inf(df, columns)
-    out = None
-    for c in columns:
-        votes = fit_score(clean, row_id, [c], contamination, trees=100).select(row_id, F.col("vote").alias("anomaly"))
-        one = clean.select(row_id, F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")).join(votes, row_id)
-        out = one if out is None else out.unionByName(one)
-    return out
+    All columns are served together: one shuffle grows the trees, one narrow pass scores, one search finds the limits.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    clean = drop_null_inf(df, columns).select(row_id, *[F.col(c).cast("double").alias(c) for c in columns])
+    own = {c: [c] for c in columns}
+    forests = fit_forests(clean, row_id, own, trees=100)
+    if not forests:
+        return clean.select(F.col(row_id), F.lit("").alias("column_name"), F.lit(0.0).alias("value"), F.lit(0).alias("anomaly")).limit(0)
+    scored = scratch.table(score_forests(clean, row_id, own, forests, *columns), "film")
+    cuts = percentiles(scored, [f"score_{k}" for k in range(len(columns))], [1 - contamination])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), (F.col(f"score_{k}") > cuts[k][0]).cast("int").alias("anomaly")) for k, c in enumerate(columns)]
+    return scored.select(row_id, F.inline(F.array(*rows)))
 
 
 def film_folder(spark: SparkSession, folder: str, contamination: float = 0.1) -> tuple[DataFrame | None, list[str]]:

@@ -213,7 +213,61 @@ def consensus_vote(spark, d):
     return voted(spark, d).select("event_id", "num_agreeing_methods", F.concat_ws(",", "agreeing_methods").alias("agreeing"), "confidence_score", "is_anomaly")
 
 
-@query()
+def _forest_sql(source: str, width: int, trees: int, name: str = "all", tag: str = "", seed: int = 42, psi: int = 256) -> str:
+    """CTEs that grow a forest over rows (k as text, x0, x1, ...) and score all of them: n{tag}, the nodes, and f{tag} (k, score).
+
+    Level by level: nodes from rows, splits from nodes, rows in the children; then all rows walk down.
+    """
+    xs, numbers, top = [f"x{i}" for i in range(width)], forest.tree_numbers(trees, seed), forest.height_of(psi)
+    unit = lambda text, digits: f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649) - 2 * ({n} - 1) / CAST({n} AS DOUBLE) WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    node = f"'{seed}:{name}:' || tree || ':' || node"
+    choose = lambda of: "CASE f " + " ".join(f"WHEN {i} THEN {of.format(i=i)}" for i in range(width)) + " END"
+    out = [
+        f"z{tag} AS MATERIALIZED (SELECT count(*) AS n, least({psi}, count(*)) AS psi, CAST(ceil(log2(greatest(least({psi}, count(*)), 2))) AS INT) AS height FROM ({source}))",
+        f"t{tag}(tree, a, b) AS (VALUES {', '.join(f'({k}, {a}::BIGINT, {b}::BIGINT)' for k, (a, b) in enumerate(numbers))})",
+        f"h{tag} AS MATERIALIZED (SELECT *, {unit(f"'{seed}:' || k", 8)} % {forest.PRIME} AS h FROM ({source}))",
+        f"r{tag}0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, {', '.join(xs)} FROM h{tag}, t{tag} QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (a * h + b) % {forest.PRIME}, k) <= {psi})",
+        f"w{tag}0 AS (SELECT k, tree, 1::BIGINT AS node, {', '.join(xs)} FROM h{tag}, t{tag})",
+    ]
+    for level in range(top + 1):
+        ends = ", ".join(f"min({x}) AS lo{i}, max({x}) AS hi{i}" for i, x in enumerate(xs))
+        least = "least(" + ", ".join(f"CASE WHEN hi{i} > lo{i} THEN md5({node} || ':{i}') END" for i in range(width)) + ")" if width > 1 else f"CASE WHEN hi0 > lo0 THEN md5({node} || ':0') END"
+        f = "CASE best " + " ".join(f"WHEN md5({node} || ':{i}') THEN {i} END" if width == 1 else f"WHEN md5({node} || ':{i}') THEN {i}" for i in range(width)) + ("" if width == 1 else " END")
+        splits = f"n > 1 AND {level} < (SELECT height FROM z{tag})"
+        out.append(f"g{tag}{level} AS MATERIALIZED (SELECT *, CASE WHEN {splits} THEN {f} END AS f FROM (SELECT *, {least} AS best FROM (SELECT tree, node, count(*) AS n, {ends} FROM r{tag}{level} GROUP BY tree, node)))")
+        out.append(f"n{tag}{level} AS MATERIALIZED (SELECT tree, node, f, {choose('lo{i} + (hi{i} - lo{i}) * (' + unit(node, 13) + ' / 4503599627370496.0)')} AS threshold, n AS size, CASE WHEN f IS NULL THEN {level} + {path('n')} END AS depth FROM g{tag}{level})")
+        if level < top:
+            for rows, keep in (("r", ""), ("w", "k, ")):
+                out.append(f"{rows}{tag}{level + 1} AS MATERIALIZED (SELECT {keep}tree, 2 * node + CAST({choose('x{i}')} >= threshold AS INT) AS node, {', '.join(xs)} FROM {rows}{tag}{level} JOIN n{tag}{level} USING (tree, node) WHERE f IS NOT NULL)")
+    ended = " UNION ALL ".join(f"SELECT k, coalesce(depth, {level}) AS d FROM w{tag}{level} LEFT JOIN n{tag}{level} USING (tree, node) WHERE f IS NULL" for level in range(top + 1))
+    out.append(f"n{tag} AS ({' UNION ALL '.join(f'SELECT * FROM n{tag}{level}' for level in range(top + 1))})")
+    out.append(f"f{tag} AS MATERIALIZED (SELECT k, round(pow(2, -sum(d) / {trees} / (SELECT greatest({path('psi')}, 1e-12) FROM z{tag})), 9) AS score FROM ({ended}) GROUP BY k)")
+    return ", ".join(out)
+
+
+STANDARD = "SELECT CAST(event_id AS VARCHAR) AS k, (value - mv) / sv AS x0, (user_id - mu) / su AS x1 FROM events, (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su FROM events)"
+#: Four statistics of two standardized columns, against those of all rows.
+SHAPES = "[(x0 + x1) / 2, abs(x0 - x1) / 2, least(x0, x1), greatest(x0, x1)]"
+MORPH = f"""m AS (SELECT k, unnest({SHAPES}) AS v, unnest(range(4)) AS i FROM ({STANDARD})),
+o AS (SELECT k, max(abs(v - mean) / (std + 1e-8)) AS odd FROM m JOIN (SELECT i, avg(v) AS mean, stddev_pop(v) AS std FROM m GROUP BY i) AS s ON m.i = s.i GROUP BY k)"""
+
+
+@query(f"WITH {_forest_sql(STANDARD, 2, 50)} SELECT tree, node, f AS feature, round(threshold, 6) AS threshold, size, round(depth, 6) AS depth FROM n")
+def forest_trees(spark, d):
+    """The tree table; children that no row of the sample reached are not rows in SQL."""
+    scaled = scaling.standard_scale(t(spark, d, "events"), ["value", "user_id"])
+    made = forest.fit_trees(scaled, "event_id", {"all": ["value_std", "user_id_std"]}, trees=50)
+    return made.filter("size > 0").select("tree", "node", "feature", r("threshold", 6).alias("threshold"), "size", r("depth", 6).alias("depth"))
+
+
+@query(f"""WITH {_forest_sql(STANDARD, 2, 50)}, {MORPH},
+s AS (SELECT avg(value) AS mv, avg(user_id) AS mu, stddev_pop(value) AS sv, stddev_pop(user_id) AS su, var_samp(value) AS a, covar_samp(value, user_id) AS b, var_samp(user_id) AS c FROM events),
+x AS (SELECT event_id, greatest(abs(value - mv) / (sv + 1e-8), abs(user_id - mu) / (su + 1e-8)) AS z, sqrt(((value - mv) ** 2 * c - 2 * (value - mv) * (user_id - mu) * b + (user_id - mu) ** 2 * a) / (a * c - b * b)) AS dist FROM events, s),
+v AS (SELECT event_id, [CASE WHEN score > (SELECT quantile_cont(score, 0.95) FROM f) THEN 'isolation_forest' END, CASE WHEN z > {Z95} THEN 'zscore' END, CASE WHEN dist > quantile_cont(dist, 0.95) OVER (PARTITION BY event_id // 300) THEN 'mahalanobis' END, CASE WHEN odd > {Z95} THEN 'morphological' END] AS said
+      FROM x JOIN f ON f.k = CAST(event_id AS VARCHAR) JOIN o ON o.k = CAST(event_id AS VARCHAR)),
+a AS (SELECT event_id, list_filter(said, lambda m: m IS NOT NULL) AS agreeing FROM v)
+SELECT event_id, CAST(len(agreeing) AS INT) AS num_agreeing_methods, len(agreeing) / 4 AS confidence_score, array_to_string(agreeing, ',') AS agreeing FROM a WHERE len(agreeing) / 4 >= 0.6""")
 def effective4_flags(spark, d):
     found = detectors.ConsensusDetector().transform(t(spark, d, "events"), "event_id", ["value", "user_id"])
     return found.filter("is_anomaly").select("event_id", "num_agreeing_methods", "confidence_score", F.concat_ws(",", "agreeing_methods").alias("agreeing"))
@@ -429,7 +483,7 @@ def shift_methods(spark, d):
     return shift.compare(*_shift(spark, d)).select("method", "n_found", "n_flagged", r("rate").alias("rate"))
 
 
-@query()
+@query(f"WITH {_forest_sql('SELECT CAST(event_id AS VARCHAR) AS k, value AS x0 FROM events', 1, 100)} SELECT row_id FROM {FLAG} UNION SELECT CAST(k AS BIGINT) FROM f WHERE score > (SELECT quantile_cont(score, 0.9) FROM f)")
 def shift_iforest(spark, d):
     return shift.forest(*_shift(spark, d))
 
@@ -617,7 +671,16 @@ def film_summary(spark, d):
     return report.roll_up(per)
 
 
-@query()
+def _film_sql(column: str) -> str:
+    source = f"SELECT CAST(event_id AS VARCHAR) AS k, CAST({column} AS DOUBLE) AS x0 FROM events"
+    return _forest_sql(source, 1, 100, column, f"_{column}")
+
+
+def _film_votes(column: str) -> str:
+    return f"SELECT event_id, '{column}' AS column_name, CAST({column} AS DOUBLE) AS value, CAST(score > (SELECT quantile_cont(score, 0.9) FROM f_{column}) AS INT) AS anomaly FROM events JOIN f_{column} ON k = CAST(event_id AS VARCHAR)"
+
+
+@query(f"WITH {_film_sql('value')}, {_film_sql('user_id')} {_film_votes('value')} UNION ALL {_film_votes('user_id')}")
 def film_frames(spark, d):
     return vision.film_frames(t(spark, d, "events"), "event_id", ["value", "user_id"])
 
@@ -688,7 +751,10 @@ def generated_tables(spark, d):
     return joins.union_all([df.agg(F.countDistinct("SK_ID_CURR").cast("int").alias("n_ids"), (F.count("*") == F.countDistinct(*generate.KEYS[n])).alias("keyed")).select(F.lit(n).alias("table_name"), "n_ids", F.lit(len(df.columns)).alias("n_columns"), "keyed") for n, df in made.items()])
 
 
-@query()
+BALANCES = "SELECT 's' || s_suppkey AS k, s_acctbal AS bal FROM supplier UNION ALL SELECT 'c' || c_custkey, c_acctbal FROM customer"
+
+
+@query(f"WITH {_forest_sql(f'SELECT k, (bal - avg(bal) OVER ()) / stddev_pop(bal) OVER () AS x0 FROM ({BALANCES})', 1, 100)} SELECT k AS row_id, round(-score, 4) AS score_samples, CAST(score > (SELECT quantile_cont(score, 0.95) FROM f) AS INT) AS vote FROM f")
 def multi_file_forest(spark, d):
     s = t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("row_id"), F.col("s_acctbal").alias("bal"))
     c = t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("row_id"), F.col("c_acctbal").alias("bal"))
@@ -772,7 +838,7 @@ def rule_route_lines(spark, d):
 x AS (SELECT event_id, greatest(abs(value - mv) / (sv + 1e-8), abs(user_id - mu) / (su + 1e-8)) AS z, sqrt(((value - mv) ** 2 * c - 2 * (value - mv) * (user_id - mu) * b + (user_id - mu) ** 2 * a) / (a * c - b * b)) AS dist FROM events, s)
 SELECT event_id, CAST(z > {Z95} AS INT) AS zscore, CAST(dist > quantile_cont(dist, 0.95) OVER (PARTITION BY event_id // 300) AS INT) AS mahalanobis, round(z, 4) AS z, round(dist, 4) AS dist FROM x""")
 def effective4_legs(spark, d):
-    """The two legs of the four-method pass that SQL can say; the others are forests and images."""
+    """Two legs of the four-method pass with their scores."""
     e = t(spark, d, "events").select("event_id", F.col("value").cast("double").alias("value"), F.col("user_id").cast("double").alias("user_id"))
     v = detectors.chunk_votes(e, "event_id", ["value", "user_id"])
     score = F.col("method_specific_scores")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sievefold.functions.numbers import to_number
 from sievefold.functions import scaling
-from sievefold.operators import audio, detectors, forest, joins, rowid, rules, shift, spectral, vision
+from sievefold.operators import audio, detectors, joins, rowid, rules, shift, spectral, vision
 from sievefold.plans.quality_run import QualityRun
 from sievefold.sources import generate, io
 from sievefold.sources.store import Scratch
@@ -76,12 +76,6 @@ def test_planted_outlier_has_the_highest_score(spark, method):
     assert best["row_id"] == 123 and best["vote"] == 1
 
 
-def test_forest_scores_lie_between_0_and_1():
-    x = np.random.default_rng(0).normal(size=(300, 2))
-    s = forest.Forest.fit(x, 25).score(np.vstack([x, [[50, 50]]]))
-    assert (s > 0).all() and (s < 1).all() and s.argmax() == 300
-
-
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 255), min_size=9, max_size=9))
 def test_opening_is_below_and_closing_above(values):
