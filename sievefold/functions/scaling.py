@@ -123,6 +123,13 @@ def percentiles(df: DataFrame, columns: Sequence[str | Column], ps: Sequence[flo
     return [[between(c, r["n"], p) for p in ps] for c, r in enumerate(row)]
 
 
+def order_statistic(df: DataFrame, column: str, k: int, n: int, held: int = HELD) -> float:
+    """The k-th least (from 0) of the n values of a column, of which none is null or NaN."""
+    rank = _Rank(0, k, n)
+    _seek(df.select(F.col(column).cast("double").alias("c0")), [rank], held)
+    return rank.value
+
+
 def rescale(x: Column, low: Column, high: Column, to: tuple[float, float], constant: float) -> Column:
     """Min-max to ``to``; null and a constant column give ``constant``."""
     span = high - low

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import median_impute, percentiles, robust_scale, standard_scale, with_stats
-from sievefold.operators.forest import Forest, fit_forests, fit_score, sample_matrix, score_rows
+from sievefold.operators.envelopes import covariance, envelope, mahalanobis_score, one_class
+from sievefold.operators.forest import Forest, fit_forests, fit_score
 from sievefold.operators.neighbours import knn, lof
 from sievefold.operators.rowid import chunk_id
 from sievefold.sources.store import Scratch
@@ -33,25 +34,6 @@ def zscore(df: DataFrame, key: str, columns: Sequence[str], contamination: float
     return with_stats(df, *stats).select(key, score.alias("score"), (score > normal_quantile(1 - contamination)).cast("int").alias("vote"))
 
 
-def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Means and sample covariance in one aggregate of bounded width."""
-    k = len(columns)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(*[F.avg(c) for c in columns], *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
-    means = np.array([v if v is not None else 0.0 for v in row[:k]], float)
-    cov = np.zeros((k, k))
-    for (i, j), v in zip(pairs, row[k:], strict=True):
-        cov[i, j] = cov[j, i] = v or 0.0
-    return means, cov
-
-
-def mahalanobis_score(columns: Sequence[str], means: np.ndarray, inverse: np.ndarray) -> Column:
-    """A quadratic form as one expression."""
-    d = [F.col(c) - float(m) for c, m in zip(columns, means, strict=True)]
-    total = sum((float(inverse[i, j]) * d[i] * d[j] for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
-
-
 def mahalanobis(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, chunk: int = 300) -> DataFrame:
     """Distance on raw columns; a vote is above its chunk's quantile. ``key`` must be a dense row id."""
     means, cov = covariance(df, columns)
@@ -167,69 +149,6 @@ def statistics_rows(df: DataFrame, key: str, columns: Sequence[str], chunk: int
     return _features(df, key, columns, chunk, row_statistics)
 
 
-# envelopes: the extended profile; neighbours are in neighbours.py ----------
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
-
-
-def _fitted(df: DataFrame, key: str, columns: Sequence[str], train_scores: np.ndarray, score, contamination: float) -> DataFrame:
-    cut = float(np.percentile(train_scores, 100 * (1 - contamination)))
-    return score_rows(df, key, columns, score).withColumn("vote", (F.col("score") > cut).cast("int"))
-
-
-def robust_center(x: np.ndarray, seed: int = 42, starts: int = 20, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Least-determinant half by concentration steps: centre and inverse covariance."""
-    rng = np.random.default_rng(seed)
-    n, k = x.shape
-    h, best = (n + k + 1) // 2, (np.inf, None)
-    for _ in range(starts):
-        rows = rng.choice(n, min(n, k + 2), replace=False)
-        for _ in range(steps):
-            mean = x[rows].mean(0)
-            inverse = np.linalg.pinv(np.atleast_2d(np.cov(x[rows], rowvar=False)) + 1e-9 * np.eye(k))
-            d = ((x - mean) @ inverse * (x - mean)).sum(1)
-            new = np.argpartition(d, h - 1)[:h]
-            if set(new) == set(rows):
-                break
-            rows = new
-        cov = np.atleast_2d(np.cov(x[rows], rowvar=False)) + 1e-9 * np.eye(k)
-        size = np.linalg.slogdet(cov)[1]
-        if size < best[0]:
-            best = (size, (x[rows].mean(0), np.linalg.pinv(cov)))
-    return best[1]
-
-
-def envelope(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, sample: int = 5_000, seed: int = 42) -> DataFrame:
-    """Robust covariance distance with 0/1 votes."""
-    train = sample_matrix(df, key, columns, sample, seed)
-    mean, inverse = robust_center(train, seed)
-    score = lambda x: np.sqrt(np.maximum(((x - mean) @ inverse * (x - mean)).sum(1), 0))
-    return _fitted(df, key, columns, score(train), score, contamination)
-
-
-def one_class(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, sample: int = 1_000, seed: int = 42, rounds: int = 500) -> DataFrame:
-    """Kernel boundary, gamma 1 / columns, by projected gradient on a bounded sample."""
-    train = sample_matrix(df, key, columns, sample, seed)
-    gamma, n = 1 / len(columns), len(train)
-    kernel = np.exp(-gamma * _distances(train, train) ** 2)
-    top = 1 / (contamination * n)
-    alpha = np.full(n, 1 / n)
-    step = 1 / np.linalg.norm(kernel, 2)
-    for _ in range(rounds):
-        moved = alpha - step * kernel @ alpha
-        low, high = moved.min() - 1, moved.max()
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if np.clip(moved - mid, 0, top).sum() > 1 else (low, mid)
-        alpha = np.clip(moved - low, 0, top)
-    held = alpha > 1e-9
-    support, weight = train[held], alpha[held]
-    score = lambda x: -np.exp(-gamma * _distances(x, support) ** 2) @ weight
-    return _fitted(df, key, columns, score(train), score, contamination)
-
-
 # consensus ---------------------------------------------------------------
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import percentiles
-from sievefold.operators.rowid import seeded_sample
 from sievefold.sources.store import Scratch
 
 #: Rows are told apart by their hash modulo this prime, and ordered anew for each tree.
@@ -176,25 +175,6 @@ def score_forests(df: DataFrame, key: str, columns: Mapping[str, Sequence[str]],
     return out.select(F.col("key").alias(key), *[F.col("kept").getField(c).alias(c) for c in keep], *[f"score_{k}" for k in range(len(columns))])
 
 
-def sample_matrix(df: DataFrame, key: str, columns: Sequence[str], n: int, seed: int) -> np.ndarray:
-    """A training sample of at most n rows; n is the documented bound on what the driver holds."""
-    rows = seeded_sample(df.select(key, *columns), key, n, seed).select(*[F.col(c).cast("double") for c in columns]).toArrow()
-    return np.column_stack([c.to_numpy() for c in rows.columns]) if rows.num_rows else np.zeros((0, len(columns)))
-
-
-def score_rows(df: DataFrame, key: str, columns: Sequence[str], score, out: str = "score") -> DataFrame:
-    """(key, score): ``score`` maps a matrix to a vector, over Arrow batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.asarray(score(x), float))], names=[key, out])
-
-    inner = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-    return inner.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {out} double")
-
-
 def fit_score(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, trees: int = 50, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """(key, score, vote); a vote is above the quantile of all rows' scores.
 
