@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,10 @@ def lookup(tables: dict[str, tuple[DataFrame, Sequence[str]]], value: int) -> Da
     """
     out = None
     for name, (df, ids) in tables.items():
-        order = F.coalesce(*[F.when(F.col(c).cast("string") == str(value), F.lit(k)) for k, c in enumerate(ids)])
+        same = [F.col(c) == F.lit(str(value)).try_cast(df.schema[c].dataType) for c in ids]  # a literal of the column's type, so the scan is filtered
+        order = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
         body = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-        hit = df.withColumn("_match", order).filter(F.col("_match").isNotNull()).select(F.lit(name).alias("table_name"), "_match", body.alias("body"))
+        hit = df.filter(reduce(lambda a, b: a | b, same)).withColumn("_match", order).select(F.lit(name).alias("table_name"), "_match", body.alias("body"))
         best = hit.groupBy("table_name").agg(F.min(F.struct("_match", "body")).alias("m")).select("table_name", F.col("m._match").alias("matched_id"), F.col("m.body").alias("body"))
         out = best if out is None else out.unionByName(best)
     return out

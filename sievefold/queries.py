@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievefold.functions import numbers, scaling
-from sievefold.operators import audio, compose, detectors, forest, joins, profile, report, rowid, rules, shift, spectral, vision
-from sievefold.sources import generate, io
+from sievefold.operators import audio, compose, detectors, forest, idindex, joins, profile, report, rowid, rules, shift, spectral, vision
+from sievefold.sources import encodings, generate, io, lines
 from sievefold.sources.store import Scratch
 from sievefold.streaming import rules as streaming
 
@@ -1127,6 +1127,79 @@ def film_folder(spark, d):
     return kept.unionByName(spark.createDataFrame([(x, None, 0, None, "skipped") for x in skipped], "file string, column_name string, n long, total double, skipped string"))
 
 
+# files as they lie there ----------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_id, o_totalprice, o_orderkey FROM orders")
+def file_order(spark, d):
+    """Ids along five files that lie in the order of prices."""
+    path = lines.folder(spark)
+    lines.write_parts(t(spark, d, "orders").select("o_totalprice", "o_orderkey"), path, 5, "o_totalprice", "o_orderkey")
+    return lines.in_file_order(spark.read.schema("o_totalprice double, o_orderkey long").csv(path)).select("row_id", "o_totalprice", "o_orderkey")
+
+
+@query("""WITH s AS (SELECT avg(value) AS mv, avg(user_id) AS mu, var_samp(value) AS a, covar_samp(value, user_id) AS b, var_samp(user_id) AS c FROM events),
+x AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, sqrt(((value - mv) ** 2 * c - 2 * (value - mv) * (user_id - mu) * b + (user_id - mu) ** 2 * a) / (a * c - b * b)) AS dist FROM events, s)
+SELECT row_id, row_id // 300 AS chunk_id, CAST(dist > quantile_cont(dist, 0.95) OVER (PARTITION BY row_id // 300) AS INT) AS vote FROM x""")
+def file_chunk_votes(spark, d):
+    """Votes by chunks of 300 lines of a table of several files."""
+    path = lines.folder(spark)
+    lines.write_parts(t(spark, d, "events").select("event_id", "value", "user_id"), path, 7, "event_id")
+    rows = lines.in_file_order(spark.read.schema("event_id long, value double, user_id double").csv(path))
+    return detectors.mahalanobis(rows, "row_id", ["value", "user_id"]).select("row_id", "chunk_id", "vote")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (ORDER BY l_orderkey, l_linenumber) <= 20000")
+def trimmed_lines(spark, d):
+    """A table of several files cut in place after its first 20,000 lines; the limit is the operator."""
+    path = lines.folder(spark)
+    lines.write_parts(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path, 6, "l_orderkey", "l_linenumber")
+    lines.trim_file(spark, path, 20_000)
+    return spark.read.schema("l_orderkey long, l_linenumber int, l_quantity double").csv(path)
+
+
+#: A phrase for each encoding; documents take turns.
+PHRASES = (("UTF-8", "na\u00efve caf\u00e9"), ("windows-1252", "\u201cquoted\u201d \u2013 d\u00e9j\u00e0 vu"), ("Shift_JIS", "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u3067\u3059"), ("GB18030", "\u8fd9\u662f\u4e2d\u6587\u53e5\u5b50\u548c\u6570\u636e"), ("UTF-16LE", "plain \u0394\u03b5\u03bb\u03c4\u03b1"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(PHRASES)) + " END AS encoding, lang || ' ' || CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{p}'" for k, (_, p) in enumerate(PHRASES)) + " END AS phrase FROM documents")
+def encoded_files(spark, d):
+    """Files of five encodings, found from their bytes and read accordingly."""
+    docs, paths = t(spark, d, "documents"), []
+    for k, (encoding, phrase) in enumerate(PHRASES):
+        line = F.concat_ws(",", "doc_id", F.concat_ws(" ", "lang", F.lit(phrase))).alias("line")
+        paths.append(lines.folder(spark))
+        encodings.write_encoded(docs.filter(F.col("doc_id") % 5 == k).select(line), "line", paths[-1], encoding)
+    found = encodings.file_encodings(spark, *paths)
+    return encodings.decoded_lines(spark, found, *paths).select(F.from_csv("value", "doc_id LONG, phrase STRING").alias("r"), "encoding").select("r.doc_id", "encoding", "r.phrase")
+
+
+def _indexed(spark, d) -> idindex.IdIndex:
+    ids = {"customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["user_id"]}
+    return idindex.IdIndex(spark, {n: (f"{d}/{n}.parquet", c) for n, c in ids.items()})
+
+
+def _first_sql(table: str, *columns: str) -> str:
+    every = " UNION ALL ".join(f"SELECT {c} AS id, {k} AS k FROM {table}" for k, c in enumerate(columns))
+    return f"SELECT '{table}' AS table_name, id, min(k) AS k FROM ({every}) WHERE id IS NOT NULL GROUP BY id"
+
+
+INDEXED = " UNION ALL ".join([_first_sql("customer", "c_custkey"), _first_sql("supplier", "s_suppkey"), _first_sql("part", "p_partkey"), _first_sql("orders", "o_orderkey", "o_custkey"), _first_sql("lineitem", "l_orderkey", "l_partkey", "l_suppkey"), _first_sql("events", "user_id")])
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS id, table_name, k AS matched_id FROM ({INDEXED})")
+def id_index(spark, d):
+    """Every id of six tables and the column that its first row holds it in."""
+    return _indexed(spark, d).entries.select("id", "table_name", "matched_id")
+
+
+@query("SELECT 'customer' AS table_name, c_name AS label FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'supplier', s_name FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 'part', p_name FROM part WHERE p_partkey = 7")
+def id_index_lookup(spark, d):
+    """The rows of one entity, through the index; the tables in which its row is the only one."""
+    got = _indexed(spark, d).lookup(7).filter("table_name IN ('customer', 'supplier', 'part')")
+    return got.select("table_name", F.coalesce(*[F.get_json_object("body", f"$.{c}") for c in ("c_name", "s_name", "p_name")]).alias("label"))
+
+
 # streams: over a table's file as it lies there ----------------------------
 
 
