@@ -27,15 +27,16 @@ def _unpivot(df: DataFrame, stats: dict[str, dict[str, Column]], key: str = "col
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, above: int = 2) -> DataFrame:
     """Distinct values of each column, and whether there are more than ``above``.
 
-    Distinct counts of several columns expand rows; one grouped pass per column
-    is united instead, each with a partial aggregate.
+    One scan: each row becomes a pair for each column, and pairs are made distinct in two steps, of which
+    the first runs in the scan's tasks. Nulls are not values; -0.0 and 0.0 are one.
     """
-    columns = columns or numeric_columns(df)
-    out = None
-    for c in columns:
-        one = df.agg(F.countDistinct(c).alias("n_unique")).select(F.lit(c).alias("column_name"), "n_unique")
-        out = one if out is None else out.unionAll(one)
-    return out.withColumn("is_continuous", F.col("n_unique") > above)
+    columns = list(columns or numeric_columns(df))
+    floating = lambda c: df.schema[c].dataType.simpleString() in ("double", "float")
+    texts = [(F.col(c) + F.lit(0.0) if floating(c) else F.col(c)).cast("string") for c in columns]
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), x.alias("value")) for c, x in zip(columns, texts, strict=True)])))
+    found = pairs.distinct().groupBy("column_name").agg(F.count("value").alias("n_unique"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")  # an empty table has no pairs
+    return every.join(F.broadcast(found), "column_name", "left").select("column_name", F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique")).withColumn("is_continuous", F.col("n_unique") > above)
 
 
 def continuous_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievefold.functions import numbers, scaling
-from sievefold.operators import audio, compose, detectors, forest, idindex, joins, profile, report, rowid, rules, shift, spectral, vision
+from sievefold.operators import audio, compose, detectors, forest, idindex, joins, plots, profile, report, rowid, rules, shift, spectral, vision
 from sievefold.sources import encodings, generate, io, lines
 from sievefold.sources.store import Scratch
+from sievefold.streaming import consensus as stream_votes_by_chunk
 from sievefold.streaming import rules as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +333,14 @@ def grouped_flagged(spark, d):
     return report.grouped_values(f, None).select("column_name", F.array_join(F.transform("row_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("SELECT event_type AS column_name, event_id // 1000 AS part, array_to_string(list(event_id ORDER BY event_id), ',') AS ids, round(sum(value), 2) AS total FROM events WHERE value > 150 GROUP BY 1, 2")
+def grouped_stretches(spark, d):
+    """Flagged values and ids of each column in stretches of 1,000 row ids, so no row holds a whole column."""
+    f = t(spark, d, "events").filter("value > 150").select(F.col("event_type").alias("column_name"), F.col("event_id").alias("row_id"), "value")
+    total = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)
+    return report.grouped_values(f, 1000).select("column_name", "part", F.array_join(F.transform("row_ids", lambda x: x.cast("string")), ",").alias("ids"), r(total, 2).alias("total"))
+
+
 # joins and sets -----------------------------------------------------------
 
 
@@ -611,6 +620,23 @@ def synth_rows(spark, d):
     return spectral.peak_normalize(spectral.synth_rows(e, "event_id", ["x"], 200)).select("event_id", F.size("samples").alias("n"), r(F.array_max("samples")).alias("peak"))
 
 
+THREE_SOUNDS = """WITH s AS (SELECT min(c_acctbal) AS a0, max(c_acctbal) AS a1, min(c_nationkey) AS b0, max(c_nationkey) AS b1, min(c_custkey) AS c0, max(c_custkey) AS c1 FROM customer),
+h AS (SELECT c_custkey, 261.63 * (1 + 3 * (c_acctbal - a0) / (a1 - a0)) AS f0, 293.66 * (1 + 3 * (c_nationkey - b0) / CAST(b1 - b0 AS DOUBLE)) AS f1, 329.63 * (1 + 3 * (c_custkey - c0) / CAST(c1 - c0 AS DOUBLE)) AS f2 FROM customer, s),
+q AS (SELECT c_custkey, i, (sin(2 * pi() * f0 * t) + 0.3 * sign(sin(2 * pi() * f1 * t)) + 0.6 * (f2 * t - floor(f2 * t + 0.5))) * 0.1 / 3 * least(least(i, 4409 - i) / 441.0::DOUBLE, 1.0) AS v FROM (SELECT c_custkey, f0, f1, f2, i, i / 44100.0::DOUBLE AS t FROM h, range(4410) AS r(i)))
+SELECT c_custkey, CAST(count(*) AS INT) AS n, round(max(v) FILTER (i = 441), 5) AS early, round(max(v) FILTER (i = 2205), 5) AS middle, round(max(v) FILTER (i = 4400), 5) AS late, round(sum(abs(v)), 2) AS loudness FROM q GROUP BY 1"""
+
+
+@query(THREE_SOUNDS)
+def synth_three(spark, d):
+    """Sine, square and sawtooth of three columns at the true rate: samples and loudness."""
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"), F.col("c_custkey").alias("c"))
+    for name in "abc":
+        c = scaling.minmax(c, name, f"x{name}", (0.0, 1.0), 0.5)
+    made = spectral.synth_rows(c, "c_custkey", ["xa", "xb", "xc"])
+    at = lambda k: r(F.col("samples")[k], 5)
+    return made.select("c_custkey", F.size("samples").alias("n"), at(441).alias("early"), at(2205).alias("middle"), at(4400).alias("late"), r(F.aggregate("samples", F.lit(0.0), lambda a, v: a + F.abs(v)), 2).alias("loudness"))
+
+
 @query("SELECT event_id, round(293.66 + (value - a) / (b - a) * 3 * 293.66, 3) AS hz FROM events, (SELECT min(value) AS a, max(value) AS b FROM events)")
 def cell_frequency(spark, d):
     e = scaling.minmax(t(spark, d, "events"), "value", "x", (0.0, 1.0), 0.5)
@@ -685,6 +711,25 @@ def film_frames(spark, d):
     return vision.film_frames(t(spark, d, "events"), "event_id", ["value", "user_id"])
 
 
+# plots -----------------------------------------------------------------------
+
+BINS = "SELECT CAST(least(floor((l_quantity - x0) / (x1 - x0) * 256), 255) AS INT) AS bin_x, CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 256), 255) AS INT) AS bin_y, l_discount > 0.09 AS f FROM lineitem, (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem)"
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS level, bin_x >> {8 - k} AS bin_x, bin_y >> {8 - k} AS bin_y, count(*) AS n, count(*) FILTER (f) AS n_flagged FROM ({BINS}) GROUP BY 2, 3" for k in range(9)))
+def scatter_pyramid(spark, d):
+    """K9: counts in two-dimensional bins of every level from 1 to 256 bins a side."""
+    return plots.pyramid(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 8, F.col("l_discount") > 0.09)
+
+
+@query(f"SELECT DISTINCT bin_x // 64 AS tx, bin_y // 64 AS ty, 64 AS width, 64 AS height FROM ({BINS})")
+def scatter_tiles(spark, d):
+    """K9: the finest level as PNG pictures of 64 bins a side, their sizes read back from the files."""
+    made = plots.tiles(plots.pyramid(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 8), 8, 64)
+    number = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
+    return made.select("tx", "ty", number(17).alias("width"), number(21).alias("height"))
+
+
 # music --------------------------------------------------------------------
 
 CUST = ["c_custkey", "c_name", "c_nationkey"]
@@ -1217,3 +1262,15 @@ def stream_votes(spark, d):
     rows = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     votes = streaming.frozen_zscore(rows, {"value": (50.0, 20.0), "user_id": (5.0, 3.0)}).select("event_id", "vote")
     return streaming.run_to_table(votes, Scratch(spark), "votes")
+
+
+@query(SQL["effective4_flags"])
+def stream_consensus(spark, d):
+    """The consensus on a stream of files of rows in any order, from statistics that a batch left; flagged rows as they were appended."""
+    scratch, e = Scratch(spark), t(spark, d, "events").select("event_id", "value", "user_id")
+    stream_votes_by_chunk.Frozen.fit(e, "event_id", ["value", "user_id"]).save(spark, left := scratch.new("frozen"))
+    parts, found = scratch.write(e.repartition(6, F.col("event_id") % 6), "arriving"), scratch.new("flagged")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(parts)
+    stream_votes_by_chunk.run_consensus(stream, "event_id", ["value", "user_id"], stream_votes_by_chunk.Frozen.load(spark, left), found, scratch.new("progress"))
+    flagged = spark.read.schema("event_id long, num_agreeing_methods int, confidence_score double, agreeing_methods array<string>").json(found)
+    return flagged.select("event_id", "num_agreeing_methods", "confidence_score", F.concat_ws(",", "agreeing_methods").alias("agreeing"))

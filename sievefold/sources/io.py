@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from sievefold.sources.encodings import file_encodings
+
 ENCODINGS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
 
 
@@ -40,11 +42,13 @@ def head_bytes(spark: SparkSession, path: str, n: int = 100_000) -> bytes:
         stream.close()
 
 
-def folder_encoding(spark: SparkSession, folder: str, files: int = 64) -> str:
-    """S2 for a table of several files: the first of its first ``files`` that isn't plain UTF-8 decides."""
-    parts = [p for name, p in list_tables(spark, folder, "").items() if not name.startswith(("_", "."))]
-    found = (detect_encoding(head_bytes(spark, p)) for p in parts[:files])
-    return next((e for e in found if e != "UTF-8"), "UTF-8")
+def folder_encoding(spark: SparkSession, folder: str) -> str:
+    """S2 for a table of several files: the encoding of all its files that aren't plain UTF-8; different ones raise."""
+    found = sorted(r["encoding"] for r in file_encodings(spark, folder).select("encoding").distinct().collect())
+    others = [e for e in found if e != "UTF-8"]
+    if len(others) > 1:
+        raise ValueError(f"files of {folder} are in {' and '.join(others)}; read them with decoded_lines")
+    return others[0] if others else "UTF-8"
 
 
 def null_nan(df: DataFrame) -> DataFrame:
