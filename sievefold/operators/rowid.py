@@ -38,5 +38,5 @@ def limit_lines(df: DataFrame, row_id: str, lines: int = 20_000) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows without replacement, the same for the same keys; a sampling operator."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """N rows without replacement, the same for the same keys: those of least MD5 of seed and key; a sampling operator."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)

@@ -1,6 +1,7 @@
-"""Spectral operators: one column's signal is one group; numpy inside Arrow groups.
+"""Spectral operators: numpy inside Arrow groups.
 
-A whole-signal transform needs the signal of one column in one task; a column
+What looks at windows (``window_shifts``, ``shift_by_windows``) is keyed by column and window, so a group is a
+few thousand samples. A whole-signal transform needs the signal of one column in one task; there a column
 is the unit of memory and columns are dealt over tasks. With its name, its place and the
 sort, a task holds about 100 bytes a sample of both tracks: 10^8 samples are about 10 GB.
 """
@@ -130,6 +131,51 @@ def filter_signal(s: np.ndarray, z: np.ndarray, how: str = "truncate") -> tuple[
     return shift, cleaned, comprehensive_shift(s, cleaned)
 
 
+def aligned(signals: DataFrame, noise: DataFrame, how: str = "truncate") -> DataFrame:
+    """(column_name, idx, value, noise, n) of two tracks of each column, places from 0 without gaps; n is how many are left.
+
+    Both are cut to the shorter, or the noise is repeated over the signal. Columns without both tracks are left out.
+    """
+    last = noise.groupBy("column_name").agg((F.max("idx") + 1).alias("n_noise"))
+    own = signals.groupBy("column_name").agg((F.max("idx") + 1).alias("n_own")).join(last, "column_name")
+    sizes = own.select("column_name", "n_noise", F.col("n_own").alias("n") if how == "tile" else F.least("n_own", "n_noise").alias("n"))
+    placed = signals.select("column_name", "idx", "value").join(F.broadcast(sizes), "column_name").filter(F.col("idx") < F.col("n")).withColumn("at", F.col("idx") % F.col("n_noise"))
+    return placed.join(noise.select("column_name", F.col("idx").alias("at"), F.col("value").alias("noise")), ["column_name", "at"]).select("column_name", "idx", "value", "noise", "n")
+
+
+def _by_windows(pairs: DataFrame, span: int, out: str, of) -> DataFrame:
+    """(column_name, idx, out): ``of`` maps the two tracks of a stretch of ``span`` samples, and the column's length, to one of values."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pdf[["column_name", "idx"]].assign(**{out: of(pdf["value"].to_numpy(float), pdf["noise"].to_numpy(float), int(pdf["n"].iloc[0]))})
+
+    keyed = pairs.withColumn("stretch", F.floor(F.col("idx") / span))
+    return keyed.groupBy("column_name", "stretch").applyInPandas(run, f"column_name string, idx long, {out} double")
+
+
+def window_shifts(signals: DataFrame, noise: DataFrame, how: str = "truncate", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(column_name, idx, spectral) as ``spectral_shift`` gives it for the aligned tracks of each column.
+
+    Every size divides the largest, so a stretch of the largest holds whole windows of all sizes: tracks
+    meet in one join and are grouped once, by column and stretch. A column's length decides which sizes count.
+    """
+    span = max(sizes)
+    if any(span % n for n in sizes):
+        raise ValueError("every window size must divide the largest")
+
+    def of(s: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+        used = [window_shift(s, z, k) for k in sizes if n >= k]
+        return np.mean(used, axis=0) if used else np.zeros(len(s))
+
+    return _by_windows(aligned(signals, noise, how), span, "spectral", of)
+
+
+def shift_by_windows(signals: DataFrame, cleaned: DataFrame, size: int = 256) -> DataFrame:
+    """(column_name, idx, shift) as ``comprehensive_shift`` gives it, keyed by column and window."""
+    return _by_windows(aligned(signals, cleaned), size * 16, "shift", lambda s, c, n: 0.4 * np.abs(s - c) + 0.3 * np.abs(s**2 - c**2) + 0.3 * phase_shift(s, c, size))
+
+
 def filter_columns(signals: DataFrame, noise: DataFrame, how: str = "truncate") -> DataFrame:
     """(column_name, idx, spectral, cleaned, shift); columns without both tracks are skipped.
 

@@ -581,10 +581,22 @@ def _tracks(spark, d):
     return joins.union_all([audio.track(e, "event_id", c, p).select(F.lit(c).alias("column_name"), "idx", "value") for c in ("value", "user_id")])
 
 
-@query()
+def _windows_sql(size: int) -> str:
+    """Mean shift of each full window, its transform summed term by term; the noise is a tenth of the signal."""
+    turn = f"2 * pi() * ((idx % {size}) * k % {size}) / {size}"
+    return f"""d{size} AS (SELECT column_name, w, avg(0.2 * m) AS shift FROM (SELECT column_name, idx // {size} AS w, k, sqrt(sum(v * h * cos({turn})) ** 2 + sum(v * h * sin({turn})) ** 2) AS m
+FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * (idx % {size}) / {size - 1}) AS h FROM s), range({size // 2 + 1}) AS r(k), c WHERE idx < n // {size} * {size} GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+_TRACK = "SELECT '{c}' AS column_name, event_id AS idx, -1 + 2 * ({c} - a) / CAST(b - a AS DOUBLE) AS v FROM events, (SELECT min({c}) AS a, max({c}) AS b FROM events)"
+
+
+@query(f"""WITH s AS ({_each(_TRACK, ["value", "user_id"], "events")}), c AS (SELECT count(*) AS n FROM events), {", ".join(map(_windows_sql, spectral.SIZES))}
+SELECT s.column_name, s.idx, round(({" + ".join(f"coalesce(d{k}.shift, 0)" for k in spectral.SIZES)}) / greatest(1, {" + ".join(f"CAST(n >= {k} AS INT)" for k in spectral.SIZES)}), 4) AS spectral
+FROM s CROSS JOIN c {" ".join(f"LEFT JOIN d{k} ON d{k}.column_name = s.column_name AND d{k}.w = s.idx // {k}" for k in spectral.SIZES)}""")
 def spectral_shift(spark, d):
     s = _tracks(spark, d)
-    return spectral.filter_columns(s, s.withColumn("value", F.col("value") * 0.1), "tile").select("column_name", "idx", r("spectral").alias("spectral"))
+    return spectral.window_shifts(s, s.withColumn("value", F.col("value") * 0.1), "tile").select("column_name", "idx", r("spectral").alias("spectral"))
 
 
 @query()
@@ -785,7 +797,7 @@ def row_index(spark, d):
     return rowid.with_row_id(t(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_id")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_seeded(spark, d):
     return rowid.seeded_sample(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
 
@@ -857,7 +869,10 @@ def symphony_documents(spark, d):
     return compose.composition(c.unionByName(known), ["id"]).select("id", "total_tables", "composition_length")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, value > 150 AS f, 261.63 + (value - a) / (b - a) * 3 * 261.63 AS hz FROM events, (SELECT min(value) AS a, max(value) AS b FROM events)),
+k AS (SELECT event_id, hz, 'baseline' AS kind FROM e WHERE NOT f QUALIFY row_number() OVER (ORDER BY md5('42:' || event_id), event_id) <= 50 UNION ALL SELECT event_id, hz, 'anomalous' FROM e WHERE f),
+s AS (SELECT kind, event_id, max(sin(2 * pi() * hz * (i / 200.0::DOUBLE)) * 0.1 * least(least(i, 19 - i) / 2.0::DOUBLE, 1.0)) AS v FROM k, range(20) AS q(i) GROUP BY 1, 2)
+SELECT kind, count(*) AS n, round(max(v), 4) AS peak FROM s GROUP BY 1""")
 def baseline_and_anomalies(spark, d):
     e = scaling.minmax(t(spark, d, "events"), "value", "x", (0.0, 1.0), 0.5).select("event_id", "value", "x")
     calm, loud = spectral.baseline_and_anomalies(e, "event_id", ["x"], e.filter("value > 150"), rate=200)

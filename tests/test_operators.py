@@ -270,6 +270,25 @@ def test_spectral_shift_by_its_definition():
     assert np.allclose(spectral.window_shift(s, z, n), want)
 
 
+@pytest.mark.parametrize("how", ["truncate", "tile"])
+def test_windows_keyed_by_column_equal_whole_signals(spark, how):
+    """Two columns of different lengths, one shorter than some windows; tails, short noise and a column without noise."""
+    rng = np.random.default_rng(12)
+    tracks = {"a": (rng.normal(size=5000), rng.normal(size=4500)), "b": (rng.normal(size=900), rng.normal(size=300)), "c": (rng.normal(size=70), rng.normal(size=200)), "d": (rng.normal(size=50), np.zeros(0))}
+    table = lambda side: spark.createDataFrame([(c, k, float(v)) for c, pair in tracks.items() for k, v in enumerate(pair[side])], "column_name string, idx long, value double").repartition(3)
+    got = {(r["column_name"], r["idx"]): r["spectral"] for r in spectral.window_shifts(table(0), table(1), how, (64, 128, 1024)).collect()}
+    both = {(r["column_name"], r["idx"]): r["shift"] for r in spectral.shift_by_windows(table(0), table(1)).collect()}
+    for c in "abc":
+        s, z = spectral.align(*tracks[c], how)
+        want = spectral.spectral_shift(s, z, (64, 128, 1024))
+        assert np.allclose([got.pop((c, k)) for k in range(len(s))], want)
+        s, z = spectral.align(*tracks[c])
+        assert np.allclose([both.pop((c, k)) for k in range(len(s))], spectral.comprehensive_shift(s, z))
+    assert not got and not both
+    with pytest.raises(ValueError, match="divide"):
+        spectral.window_shifts(table(0), table(1), sizes=(100, 512))
+
+
 def test_denoising_brings_a_noisy_signal_nearer():
     rng = np.random.default_rng(9)
     clean, noise = np.sin(np.arange(4096) / 15), 0.2 * rng.normal(size=4096)
