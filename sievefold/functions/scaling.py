@@ -182,8 +182,10 @@ def pcm16(x: Column) -> Column:
 
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """P10: exact medians."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, (m,) in zip(columns, percentiles(df, columns, (0.5,)), strict=True)})
+    """P10: exact medians, sought only for columns that hold nulls."""
+    missing = df.agg(*[F.count_if(F.col(c).isNull()) for c in columns]).first() if columns else ()
+    holed = [c for c, n in zip(columns, missing, strict=True) if n]
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, (m,) in zip(holed, percentiles(df, holed, (0.5,)), strict=True)})
 
 
 def hann(i: Column, size: int) -> Column:

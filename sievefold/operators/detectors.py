@@ -192,14 +192,14 @@ class ChunkScores:
         k = len(columns)
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
         kinds = [f(c) for f in (F.avg, F.stddev_pop, F.min, F.max) for c in columns]
-        row = df.agg(*kinds, *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).first()
+        *row, n = df.agg(*kinds, *[F.covar_samp(columns[i], columns[j]) for i, j in pairs], F.count("*")).first()
         mean, std, low, high = (np.array([v or 0.0 for v in row[at : at + k]], float) for at in range(0, 4 * k, k))
         cov = np.zeros((k, k))
         for (i, j), v in zip(pairs, row[4 * k :], strict=True):
             cov[i, j] = cov[j, i] = v or 0.0
         unit = np.where(std == 0, 1, std)
         scaled = df.select(key, *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(columns, mean, unit, strict=True)])
-        model = fit_forests(scaled, key, {"all": columns}, trees, seed).get("all")
+        model = fit_forests(scaled, key, {"all": columns}, trees, seed, n=n).get("all")
         features = feature_moments(scaled, columns, float(((low - mean) / unit).min()), float(((high - mean) / unit).max()))
         return cls(contamination, mean, std, np.linalg.pinv(cov), model, features)
 

@@ -126,15 +126,28 @@ class Forest:
         return cls(feature, threshold, depth, psi)
 
     def _depths(self, x: np.ndarray) -> np.ndarray:
-        total, every = np.zeros(len(x)), np.arange(len(x))
-        for feature, threshold, depth in zip(self.feature, self.threshold, self.depth, strict=True):
-            node, inner = np.ones(len(x), int), every
-            while len(inner := inner[feature[node[inner]] >= 0]):
-                at = node[inner]
-                node[inner] = 2 * at + (x[inner, feature[at]] >= threshold[at])
+        """Summed over the trees. Rows go down to the last level; below a leaf all nodes have its depth, so no row is left behind."""
+        levels, n = height_of(self.psi), len(x)
+        columns, rows, total = np.ascontiguousarray(x.T).ravel(), np.arange(n), np.zeros(n)
+        for feature, threshold, depth in zip(*self._filled(), strict=True):
+            node = np.ones(n, np.intp)
+            for _ in range(levels):
+                node = 2 * node + (columns[feature[node] * n + rows] >= threshold[node])
             total += depth[node]
         return total
 
+    def _filled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, thresholds and depths of all trees, leaves' depths handed down to all below them."""
+        depth, first = self.depth.copy(), 1
+        leaf = self.feature < 0
+        while 2 * first < self.depth.shape[1]:
+            nodes = np.arange(first, 2 * first)
+            for child in (2 * nodes, 2 * nodes + 1):
+                depth[:, child] = np.where(leaf[:, nodes], depth[:, nodes], depth[:, child])
+                leaf[:, child] |= leaf[:, nodes]
+            first *= 2
+        return np.where(self.feature < 0, 0, self.feature), np.where(self.feature < 0, np.inf, self.threshold), depth
+
     def steps(self) -> tuple[np.ndarray, np.ndarray]:
         """Of a forest of one column: where its depth changes, and its depths between."""
         breaks = np.unique(self.threshold[self.feature >= 0])
@@ -146,9 +159,9 @@ class Forest:
         return np.round(2.0 ** (-total / len(self.feature) / max(float(average_path(self.psi)), 1e-12)), DIGITS)
 
 
-def fit_forests(df: DataFrame, key: str, forests: Mapping[str, Sequence[str]], trees: int = 100, seed: int = 42, psi: int = 256) -> dict[str, Forest]:
+def fit_forests(df: DataFrame, key: str, forests: Mapping[str, Sequence[str]], trees: int = 100, seed: int = 42, psi: int = 256, n: int | None = None) -> dict[str, Forest]:
     """The forests of ``fit_trees``, brought to the driver: trees * 511 rows for each at most. None of an empty table."""
-    n = df.count()
+    n = df.count() if n is None else n
     if not n:
         return {}
     rows: dict[str, list[tuple]] = {name: [] for name in forests}
