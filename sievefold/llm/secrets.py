@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,37 +43,64 @@ client_id client_secret user username email config settings environment variable
 localhost http https www com org net index html json yaml xml utf-8 application content type length date time version
 get set put post delete update insert select where order group limit offset value key name path file size data result
 getElementById addEventListener toString valueOf hasOwnProperty prototype constructor undefined instanceof typeof
+customer account users archive release notes final build machine number reset request response service server backup report
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxxxxxx aaaaaaaaaaaaaaaa
 """
 
+#: Parts of a name: a word of one case or with a capital, between other characters.
+PART = re.compile(r"(?<![A-Za-z])(?:[A-Z]?[a-z]{3,12}|[A-Z]{3,12})(?![a-z])|(?<=[a-z])(?:[A-Z][a-z]{2,12}|By|Id|Of|To|In|On|Is)(?![a-z])")
+#: Right after a sign of assignment, a blank and a quote.
+ASSIGNED = re.compile(r"[:=]\x20?[\"']?$")
+#: Bits of a character that is one of ten digits, 26 or 52 letters; of a letter in a word of prose.
+DIGIT, ONE_CASE, TWO_CASES, PROSE = 3.32, 4.7, 5.7, 2.3
+
 
 @dataclass(frozen=True)
 class SecretRules:
-    """``min_bits`` of marginal compressed size for each character make a string novel.
+    """A string is novel if it holds ``min_bits`` in all and ``min_rate`` for each character that can't be told from what is known.
 
     ``identifiers`` is the dictionary's text; a caller may add those of its own code base.
     """
 
     reach: int = 64
     around: int = 256
-    min_bits: float = 5.0
+    min_bits: float = 64.0
+    min_rate: float = 2.6
     level: int = 3
     identifiers: str = IDENTIFIERS
     batch_bytes: int = 4 << 20
 
 
+def most_bits(value: str) -> float:
+    """What a string can tell at most, by the kinds of its characters: letters in words tell less, marks between them nothing."""
+    words = sum(len(w) for w in PART.findall(value))
+    digits = sum(c.isdigit() for c in value)
+    letters = sum(c.isalpha() for c in value) - words
+    mixed = re.search("[a-z]", value) and re.search("[A-Z]", value)
+    return digits * DIGIT + words * PROSE + letters * (TWO_CASES if mixed else ONE_CASE)
+
+
 class Novelty:
     """Marginal bytes of a string after its surroundings and a dictionary of identifiers."""
 
     def __init__(self, rules: SecretRules):
         words = zstandard.ZstdCompressionDict(rules.identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.coder = zstandard.ZstdCompressor(level=rules.level, dict_data=words, write_content_size=False)
+        self.random: dict[int, int] = {}
+
+    def _more(self, before: bytes, value: bytes) -> int:
+        return len(self.coder.compress(before + value)) - len(self.coder.compress(before))
+
+    def _random(self, n: int) -> int:
+        """Marginal bytes of n characters that no dictionary holds."""
+        if n not in self.random:
+            noise = b"".join(base64.b64encode(hashlib.sha256(bytes([k % 256, k // 256])).digest()) for k in range(n // 44 + 1))
+            self.random[n] = max(1, self._more(b"", noise[:n]))
+        return self.random[n]
 
-    def bits(self, around: str, candidate: str) -> float:
-        """Bits for each character that the candidate adds to its surroundings."""
-        before = around.encode()
-        more = len(self.coder.compress(before + candidate.encode())) - len(self.coder.compress(before))
-        return 8 * more / len(candidate)
+    def share(self, around: str, candidate: str) -> float:
+        """The part of the candidate that is new: its marginal bytes as a share of those of a random string as long, 1 at most."""
+        return min(1.0, self._more(around.encode(), candidate.encode()) / self._random(len(candidate)))
 
 
 def _novel(text: str, rules: SecretRules, novelty: Novelty) -> Iterator[tuple[int, int]]:
@@ -85,11 +113,14 @@ def _novel(text: str, rules: SecretRules, novelty: Novelty) -> Iterator[tuple[in
 
     def novel(start: int, end: int) -> bool:
         value = text[start:end]
-        if len(value) < 16 or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        bits = most_bits(value)
+        if len(value) < 16 or bits < max(rules.min_bits, rules.min_rate * len(value)):
             return False
+        if value.isalpha() and (value.islower() or value[1:].islower() or value.isupper()) and not ASSIGNED.search(text[max(0, start - 3) : start]):
+            return False  # a long word of prose
         # a secret that is written twice would make each copy look known
         around = (text[max(0, start - rules.around) : start] + text[end : end + rules.around]).replace(value, "")
-        return novelty.bits(around, value) >= rules.min_bits
+        return bits * novelty.share(around, value) >= max(rules.min_bits, rules.min_rate * len(value))
 
     words = [w.span() for w in CONTEXT.finditer(text)]
     judged = held = -1
@@ -143,9 +174,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, text, spans) of each row: array of (start, end, kind), whole texts.
 
     Kinds ``assign``, ``access`` and ``hex`` are matches of patterns. ``novel``
-    are strings of 16 or more characters with letters and digits, at most
-    ``reach`` after a sensitive word, to which a zstandard compressor primed with
-    identifiers and the text around gives ``min_bits`` or more a character. One narrow
+    are strings of 16 or more characters, at most ``reach`` after a sensitive word, that tell ``min_bits`` in
+    all and ``min_rate`` a character: what the kinds of their characters can tell (in parts that look like words no more than
+    prose does), times the share that is new to a zstandard compressor primed with
+    identifiers and the text around, against a random string as long. Letters of one case alone count only right after
+    a sign of assignment. One narrow
     pass; null and empty texts have no spans; repeated rows and null ids are
     each judged alone; an empty table gives an empty result; other columns are
     ignored.
