@@ -326,7 +326,7 @@ def pack(tokens: DataFrame, rules: PackingRules = PackingRules(), scratch: Scrat
 
     cut = F.substring(F.col("ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
     scratch = scratch or Scratch(tokens.sparkSession)
-    small = scratch.table(classed.select("id", "start", "length", "n", "class", F.crc32(cut).alias("crc"), F.pmod(F.xxhash64("id", "start", "n"), F.lit(buckets)).alias("bucket")), "pieces")
+    small = scratch.table(classed.select("id", "start", "length", "n", "class", F.crc32(cut).alias("crc"), F.pmod(F.xxhash64("id", "start", "n", F.crc32(cut)), F.lit(buckets)).alias("bucket")), "pieces")
     counts = small.groupBy("class", "bucket").count()
     before = counts.select("class", "bucket", (F.sum("count").over(Window.partitionBy("class").orderBy("bucket")) - F.col("count")).alias("before"))
     within = F.row_number().over(Window.partitionBy("class", "bucket").orderBy(F.desc("length"), "id", "start", "crc"))
