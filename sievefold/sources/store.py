@@ -25,15 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: What was made and not dropped yet, by application.
+LEFT: dict[str, list[Scratch]] = {}
+
+
+def drop_all(spark: SparkSession) -> int:
+    """Drops the tables of all runs of this application, once their results are stored, and says of how many runs.
+
+    Operators that were given no ``Scratch`` made one of their own, which is found here.
+    """
+    left = list(LEFT.get(spark.sparkContext.applicationId, []))
+    for scratch in left:
+        scratch.drop()
+    return len(left)
+
+
 class Scratch:
     """The tables that one run writes between its steps, in a folder of its own.
 
     Lineage ends at these files, which survive the loss of executors. A result may
-    read them when it is computed, so whoever stores the result drops the folder.
+    read them when it is computed, so whoever stores the result drops the folder: its own, or with
+    ``drop_all`` those of all that was run in the session and not dropped yet.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        LEFT.setdefault(spark.sparkContext.applicationId, []).append(self)
         self.path = f"{shared_dir(spark)}/sievefold/{uuid.uuid4().hex}"
         self._number = 0
         self._tables: list[str] = []
@@ -69,6 +86,8 @@ class Scratch:
         if not paths:
             while self._tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+            left = LEFT.get(self.spark.sparkContext.applicationId, [])
+            left[:] = [s for s in left if s is not self]
         jvm = self.spark.sparkContext._jvm
         for path in paths or (self.path,):
             where = jvm.org.apache.hadoop.fs.Path(path)

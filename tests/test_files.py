@@ -174,3 +174,26 @@ def test_lookup_reads_one_bucket_and_one_file(spark, indexed):
     assert {r["table_name"] for r in indexed.find(7).collect()} == {"a", "b"}
     files = {r["file"] for r in indexed.entries.filter(F.col("table_name") == "b").collect()}
     assert len(files) > 1 and len({r["file"] for r in indexed.find(7).filter("table_name = 'b'").collect()}) == 1
+
+
+# tables between steps ----------------------------------------------------------
+
+
+def test_nothing_is_left_once_results_are_stored(spark, tmp_path):
+    """Operators that make their own folder and tables, of which the caller holds none."""
+    import os
+
+    from sievefold.operators import neighbours, rowid
+    from sievefold.sources.store import drop_all, shared_dir
+
+    drop_all(spark)
+    frame = spark.range(50).selectExpr("id", "id * 2.0 AS x")
+    rowid.with_row_id(frame, ["x"]).write.parquet(str(tmp_path / "a"))
+    neighbours.lof(frame, "id", ["x"], 3).write.parquet(str(tmp_path / "b"))
+    frame.write.parquet(str(tmp_path / "t"))
+    index = idindex.IdIndex(spark, {"t": (str(tmp_path / "t"), ["id"])})
+    assert index.lookup(7).count() == 1 and any("id_index" in t.name for t in spark.catalog.listTables())
+    folder = local(shared_dir(spark)) + "/sievefold"
+    assert os.listdir(folder) and drop_all(spark) >= 3
+    assert os.listdir(folder) == [] and not any("id_index" in t.name for t in spark.catalog.listTables())
+    assert drop_all(spark) == 0 and spark.read.parquet(str(tmp_path / "b")).count() == 50
