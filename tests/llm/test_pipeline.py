@@ -106,7 +106,7 @@ def test_each_stage_gives_the_brute_force_rows(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_written_tables_can_be_dropped(spark):
