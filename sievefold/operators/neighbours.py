@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import percentiles
 from sievefold.operators.ordered import in_order
+from sievefold.operators.rowid import with_row_id
 from sievefold.sources.store import Scratch
 
 #: Bounds are widened by this share, far above what doubles lose.
@@ -27,11 +28,12 @@ SLACK = 1e-9
 
 @dataclass(frozen=True)
 class NearestRules:
-    """Points of a block, pivots at most, and about how many points of blocks a task reads. None changes the result."""
+    """Points of a block, pivots at most, blocks that a task holds while others pass, and others that pass one such group. None changes the result."""
 
     block: int = 512
     pivots: int = 128
-    task_points: int = 1 << 17
+    held: int = 32
+    passing: int = 128
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -48,10 +50,10 @@ def gaps(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: n
     return np.maximum(np.maximum(low - other_high, other_low - high), 0).max(-1) * (1 - SLACK)
 
 
-def candidates(x: np.ndarray, y: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(x: np.ndarray, y: np.ndarray, k: int, own: bool, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, distance) with all pairs that may be among the k least of a row, distances exact to rounding.
 
-    The quick form of the squares errs by no more than ``slack``; what lies that close to the k-th is measured again.
+    A row looks no farther than its ``reach``; only one that has none yet seeks its k least here. The quick form of the squares errs by no more than ``slack``; what lies that close to the k-th is measured again.
     """
     found = []
     slack = 8e-16 * (x.shape[1] + 4) * (float((x * x).sum(1).max(initial=0)) + float((y * y).sum(1).max(initial=0)))
@@ -62,7 +64,10 @@ def candidates(x: np.ndarray, y: np.ndarray, k: int, own: bool) -> tuple[np.ndar
         take = min(k, len(y) - own)
         if take < 1:
             break
-        limit = np.partition(part, take - 1, axis=1)[:, take - 1]
+        far = reach[at : at + 256]
+        limit = np.where(far < 0, -1 - 4 * slack, np.minimum(far, 1e150) ** 2 * (1 + SLACK))
+        if len(free := np.flatnonzero(np.isinf(far))):
+            limit[free] = np.partition(part[free], take - 1, axis=1)[:, take - 1]
         rows, cols = np.nonzero(part <= np.where(np.isfinite(limit), limit, -1)[:, None] + 2 * slack)
         for i in range(0, len(rows), 1 << 16):
             a, b = rows[i : i + (1 << 16)] + at, cols[i : i + (1 << 16)]
@@ -83,7 +88,9 @@ class Found:
 
     def meet(self, points: np.ndarray, y: np.ndarray, keys: np.ndarray, first: np.ndarray, own: bool) -> None:
         """Meets the rows of y, of which row j stands for the keys from first[j] to first[j + 1], with some of the points."""
-        a, b, d = candidates(self.x[points], y, self.k, own)
+        a, b, d = candidates(self.x[points], y, self.k, own, self.reach[points])
+        if not len(a):
+            return
         times = first[b + 1] - first[b]
         at = np.repeat(first[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         point = np.r_[self.point, np.repeat(points[a], times)]
@@ -207,43 +214,47 @@ class Neighbours:
     def nearest(self) -> DataFrame:
         """(key, near): the k nearest other rows of each row as (distance, key), nearest first, equally near ones by key."""
         spark, k, width, pivots = self.df.sparkSession, self.k, self.width, self.pivots
-        n_pairs, n_blocks = self.pairs.count(), self.blocks.count()
-        chunks = max(1, -(-n_pairs // (64 * max(1, n_blocks))))  # about 64 blocks meet a block in one task
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_pairs + n_blocks) * self.rules.block // self.rules.task_points))
-        dealt = self.pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
+        # blocks that follow each other are held together, so a block that several of them need is sent once
+        places = with_row_id(self.blocks.select(F.col("b").alias("a")), ["a"], "place", self.scratch)
+        groups = self.scratch.table(places.select("a", F.floor(F.col("place") / self.rules.held).cast("long").alias("g")), "groups")
+        passing = self.pairs.join(groups, "a").groupBy("g", "b").agg(F.collect_list("a").alias("users"), F.min("gap").alias("gap"))
+        passing = self.scratch.table(passing, "passing")
+        n_passing, n_groups = passing.count(), max(1, -(-self.blocks.count() // self.rules.held))
+        chunks = max(1, -(-n_passing // (self.rules.passing * n_groups)))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_groups * chunks)
+        dealt = passing.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
         held = ["points", "keys", "low", "high"]
-        own = dealt.select("a", "chunk").distinct().join(self.blocks.withColumnRenamed("b", "a"), "a").select("a", "chunk", F.col("a").alias("b"), F.lit(-1.0).alias("gap"), *held)
-        others = dealt.join(self.blocks, "b").select("a", "chunk", "b", "gap", *held)
-        stream = own.unionAll(others).repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "gap")
+        alone = F.array().cast("array<bigint>").alias("users")
+        own = dealt.select("g", "chunk").distinct().join(groups.withColumnRenamed("a", "b"), "g").join(self.blocks, "b").select("g", "chunk", "b", alone, F.lit(-1.0).alias("gap"), *held)
+        others = dealt.join(self.blocks, "b").select("g", "chunk", "b", "users", "gap", *held)
+        stream = own.unionAll(others).repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "gap")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = found = block = from_pivots = kind = None
+            now, kind = None, pa.int64()
+            mine: dict[int, tuple[Block, Found, np.ndarray]] = {}
 
-            def out() -> pa.RecordBatch:
+            def out(block: Block, found: Found) -> pa.RecordBatch:
                 key, lists = pa.array(block.keys[block.first[:-1]], kind), np.r_[0, np.cumsum(np.bincount(found.point, minlength=len(found.x)))].astype(np.int32)
-                near = pa.StructArray.from_arrays([pa.array(found.distance), pa.array(found.key, kind)], names=["distance", "key"])
+                near = pa.StructArray.from_arrays([pa.array(found.distance), pa.array(found.key if len(found.key) else [], kind)], names=["distance", "key"])
                 return pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(lists), near)], names=["key", "near"])
 
             for batch in batches:
                 kind = batch.schema.field("keys").type.value_type.value_type
                 for i in range(batch.num_rows):
-                    this = batch.column("a")[i].as_py(), batch.column("chunk")[i].as_py()
-                    met = Block.read(batch, i, width)
+                    if now != (now := (batch.column("g")[i].as_py(), batch.column("chunk")[i].as_py())):
+                        yield from (out(block, found) for block, found, _ in mine.values())
+                        mine = {}
+                    number, met = batch.column("b")[i].as_py(), Block.read(batch, i, width)
                     if batch.column("gap")[i].as_py() < 0:
-                        if found is not None:
-                            yield out()
-                        now, block, found = this, met, Found(met.x, np.diff(met.first), k)
-                        from_pivots = apart(met.x, pivots)
+                        mine[number] = met, Found(met.x, np.diff(met.first), k), apart(met.x, pivots)
                         continue
-                    assert this == now
                     low, high = (batch.column(c)[i].values.to_numpy() for c in ("low", "high"))
-                    points = np.flatnonzero(gaps(from_pivots, from_pivots, low, high) <= found.reach)
-                    if same := batch.column("b")[i].as_py() == this[0]:
-                        points = np.arange(len(block.x))
-                    if len(points):
-                        found.meet(points, met.x, met.keys, met.first, same)
-            if found is not None:
-                yield out()
+                    for a in batch.column("users")[i].as_py():
+                        _, found, from_pivots = mine[a]
+                        near = np.ones(len(found.x), bool) if a == number else (gaps(from_pivots, from_pivots, low, high) <= found.reach)
+                        if len(points := np.flatnonzero(near)):
+                            found.meet(points, met.x, met.keys, met.first, a == number)
+            yield from (out(block, found) for block, found, _ in mine.values())
 
         near_type = f"array<struct<distance:double,key:{self.kind}>>"
         met = stream.mapInArrow(run, f"key {self.kind}, near {near_type}")
@@ -261,8 +272,8 @@ def nearest(df: DataFrame, key: str, columns: Sequence[str], k: int, rules: Near
 
     Exact, among all rows, in Euclidean distance; ``key`` is unique and columns hold no nulls or NaN. Rows at one point
     are one point with a few keys, so copies, however many, cost nothing and form no group. Each pair of
-    blocks that bounds don't rule out is compared once, nearest first, in a task that sends a block's neighbours once for
-    about 64 blocks it has met. An empty table gives an empty result. The result reads tables in ``scratch``.
+    blocks that bounds don't rule out is compared once, nearest first. A task holds ``held`` blocks while others pass, so where
+    nothing is ruled out each block is sent once for every ``held`` blocks; it sends neighbours once it has met them. An empty table gives an empty result. The result reads tables in ``scratch``.
     """
     return Neighbours(df, key, columns, k, rules, scratch).nearest()
 

@@ -29,7 +29,7 @@ def same(got, want):
     return len(got) == len(want) and all(g["key"] == w[1] and abs(g["distance"] - w[0]) < 1e-9 for g, w in zip(got, want, strict=True))
 
 
-RULES = [NearestRules(), NearestRules(block=16, pivots=9, task_points=64), NearestRules(block=1, pivots=3), NearestRules(block=50, pivots=1)]
+RULES = [NearestRules(), NearestRules(block=8, pivots=9, held=2, passing=3), NearestRules(block=1, pivots=3)]
 
 
 @pytest.mark.parametrize("rules", RULES)
