@@ -193,12 +193,12 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
 
 
 def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int, tolerance: float = 0.002) -> list[tuple[np.ndarray, int]]:
-    """Patterns (items of each size) and how often each is used; all demand is met exactly.
+    """Patterns (items of each size, sizes ascending) and how often each is used; all demand is met exactly.
 
     The linear program over patterns is solved by the revised simplex method;
     knapsack dynamic programming prices new columns, until the cost is within
-    ``tolerance`` of the lower bound that the prices give. Uses are rounded down and
-    what is left over is packed first-fit, longest first.
+    ``tolerance`` of the lower bound that the prices give. Uses are rounded down; what
+    is left over, less than a pattern for each column, is filled by bounded knapsacks, longest first.
     """
     m, at = len(sizes), {int(s): k for k, s in enumerate(sizes)}
     unit = np.eye(m, dtype=np.int64)
@@ -250,28 +250,37 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int
             if fits > 0:
                 plan.append((column.copy(), fits))
                 left -= column * fits
-    room: list[int] = []
-    filled: list[np.ndarray] = []
-    for k in np.argsort(-sizes).tolist():
-        size, need, at = int(sizes[k]), int(left[k]), 0
-        while need:
-            while at < len(room) and room[at] < size:
-                at += 1
-            if at == len(room):
-                full = np.zeros(m, np.int64)
-                full[k] = capacity // size
-                if whole := need // int(full[k]):
-                    plan.append((full, whole))
-                    need -= whole * int(full[k])
-                    if not need:
-                        break
-                room.append(capacity)
-                filled.append(np.zeros(m, np.int64))
-            take = min(need, room[at] // size)
-            filled[at][k] += take
-            room[at] -= take * size
-            need -= take
-    return plan + [(f, 1) for f in filled]
+    while left.any():
+        pattern = fullest(sizes, left, capacity)
+        uses = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        plan.append((pattern, uses))
+        left -= pattern * uses
+    return plan
+
+
+def fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest size left and, of what else is left, what fills a sequence most, large sizes before small ones.
+
+    Reachable sums are the bits of one integer; a size's items are taken in powers of two.
+    """
+    counts = np.zeros(len(sizes), np.int64)
+    first = int(np.flatnonzero(left)[-1])
+    counts[first], room = 1, capacity - int(sizes[first])
+    reach, steps = 1, []
+    for k in range(first, -1, -1):
+        size = int(sizes[k])
+        items, take = min(int(left[k] - counts[k]), room // size), 1
+        while items > 0:
+            take = min(take, items)
+            steps.append((k, take, reach))
+            reach |= (reach << (take * size)) & ((2 << room) - 1)
+            items, take = items - take, take * 2
+    at = reach.bit_length() - 1
+    for k, take, before in reversed(steps):
+        if not before >> at & 1:
+            counts[k] += take
+            at -= take * int(sizes[k])
+    return counts
 
 
 @dataclass(frozen=True)
