@@ -40,33 +40,32 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(hashes: Column, rules: DecontamRules, which: int, stride: int) -> Column:
-    """The hash of each window under one mask, by its start."""
-    mask = rules.masks[which]
-    last = F.size(hashes) - len(mask)
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    care = [k for k, c in enumerate(mask) if c == "1"]
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(which), *[F.get(hashes, i + k) for k in care]))
+def _windows(words: DataFrame, shapes: list[tuple[int, int, list[int]]], stride: int) -> DataFrame:
+    """(id, k1, k2, seed, at) of each window of each shape: a tag, its length, the places that count.
+
+    Words are hashed once a text; each place is then a row that carries the text's hashes along, so
+    that seeds are taken by generated code and not inside a lambda.
+    """
+    hashed = words.select("id", "k1", "k2", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    last = F.size("h") - min(length for _, length, _ in shapes)
+    # the outer forms keep the optimizer from testing each array's size before, which would build it twice
+    placed = hashed.select("id", "k1", "k2", "h", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride)))).alias("at"))
+
+    def seed(tag: int, length: int, places: list[int]) -> Column:
+        return F.when(F.col("at") + length <= F.size("h"), F.xxhash64(F.lit(tag), *[F.get("h", F.col("at") + k) for k in places]))
+
+    each = placed.select("id", "k1", "k2", "at", F.explode_outer(F.array(*[seed(*shape) for shape in shapes])).alias("seed"))
+    return each.filter(F.col("seed").isNotNull()).select("id", "k1", "k2", "seed", "at")
 
 
 def seeds(words: DataFrame, rules: DecontamRules, stride: int) -> DataFrame:
     """(id, k1, k2, seed, at) of each window under each mask. ``words`` has id, k1, k2 and words."""
-    # the outer forms keep the optimizer from testing each array's size before, which would build it twice
-    arrays = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*[_seeds(h, rules, k, stride) for k in range(len(rules.masks))]))
-    each = words.select("id", "k1", "k2", F.explode_outer(arrays).alias("list")).select("id", "k1", "k2", F.posexplode_outer("list").alias("n", "seed"))
-    return each.select("id", "k1", "k2", "seed", (F.col("n") * stride).alias("at")).filter(F.col("seed").isNotNull())
+    return _windows(words, [(which, len(mask), [k for k, c in enumerate(mask) if c == "1"]) for which, mask in enumerate(rules.masks)], stride)
 
 
 def whole_seeds(words: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, k1, k2, seed, at) of each run of as many words as one of ``lengths`` says."""
-
-    def runs(h: Column, n: int) -> Column:
-        starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(-n), *[F.get(h, i + k) for k in range(n)]))
-
-    arrays = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*[runs(h, n) for n in lengths]))
-    each = words.select("id", "k1", "k2", F.explode_outer(arrays).alias("list")).select("id", "k1", "k2", F.posexplode_outer("list").alias("at", "seed"))
-    return each.filter(F.col("seed").isNotNull())
+    return _windows(words, [(-n, n, list(range(n))) for n in lengths], 1)
 
 
 def best_stretch(doc: Column, item: Column, shift: Column, penalty: int) -> Column:
