@@ -471,6 +471,32 @@ def test_short_benchmark_items_are_found(spark):
     assert sorted(x["doc_id"] for x in decontam.drop_leaks(docs, bench).collect()) == [1, 4, 7, 8, 9]
 
 
+def test_recall_of_benchmark_stretches_with_replaced_words(spark):
+    """Stretches that score enough are found in nine of ten cases or more, whatever their length and rate of replaced words."""
+    rng, rules = np.random.default_rng(31), decontam.DecontamRules()
+    items, texts, cells = [], [], []
+    for n in (15, 30, 60):
+        for rate in (0.1, 0.2, 0.25, 0.3):
+            while sum(c == (n, rate) for c in cells) < 250:
+                words, same = [f"w{x}" for x in rng.integers(0, 50_000, n)], rng.random(n) >= rate
+                run = best = 0
+                for hit in same:
+                    run = run + 1 if hit else max(run - rules.penalty, 0)
+                    best = max(best, run)
+                if best >= rules.min_score:
+                    around = [f"w{x}" for x in rng.integers(0, 50_000, 60)]
+                    edited = [w if hit else f"other{x}" for w, hit, x in zip(words, same, rng.integers(0, 50_000, n), strict=True)]
+                    items.append((len(items), " ".join(words)))
+                    texts.append((len(texts), " ".join(around[:30] + edited + around[30:])))
+                    cells.append((n, rate))
+    clean = [(10_000 + k, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 100))) for k in range(500)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts + clean, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    assert all(doc == item for doc, item in found)
+    caught = collections.Counter(cells[doc] for doc, _ in found)
+    assert all(caught[c] >= 0.9 * n for c, n in collections.Counter(cells).items()), caught
+
+
 def test_chat_budget_holds_for_formatted_windows(spark):
     """Many short turns: their roles, marks and escapes count."""
     path = public_tokenizers.path("byte_bpe_50k.json")
