@@ -205,6 +205,8 @@ class NearRules:
     many bands that a pair at the asked similarity meets in none of them with
     probability ``miss`` at most, whatever the texts.
 
+    Texts whose fingerprints of the same shingles differ by ``radius`` bits at most are candidates too.
+
     ``block`` bounds the texts, and ``block_shingles`` about bounds the shingles, of a
     block; a family of more than ``family`` texts is cut by the sketches of its texts first.
     """
@@ -216,6 +218,7 @@ class NearRules:
     block: int = 256
     block_shingles: int = 1 << 19
     family: int = 8192
+    radius: int = 2
     batch_bytes: int = 4 << 20
 
     def bands(self, similarity: float) -> int:
@@ -264,18 +267,19 @@ class Bands:
 
 
 def _banded(inner: DataFrame, rules: NearRules, similarity: float) -> DataFrame:
-    """(id, k1, k2, node, n, bands, sketch): digest and size of each text's set of shingles, its buckets and sketch."""
+    """(id, k1, k2, node, n, fp, bands, sketch): digest and size of each text's set of shingles, its fingerprint, buckets and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(rules, similarity)
         for part in slices(batches, "text", rules.batch_bytes):
-            sets = [shingle_set(t, rules) for t in part.column("text").to_pylist()]
+            hashes = [shingle_hashes(t or "", rules.shingle, rules.seed) for t in part.column("text").to_pylist()]
+            prints, sets = pa.array(np.array(list(map(fingerprint, hashes)), np.uint64).view(np.int64)), list(map(np.unique, hashes))
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             found = [bands(x) for x in sets]
             own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*map(part.column, ("id", "k1", "k2")), nodes, *own], names=["id", "k1", "k2", "node", "n", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, ("id", "k1", "k2")), nodes, own[0], prints, *own[1:]], names=["id", "k1", "k2", "node", "n", "fp", "bands", "sketch"])
 
-    return inner.select("id", "k1", "k2", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, k1 long, k2 long, node binary, n long, bands array<long>, sketch binary")
+    return inner.select("id", "k1", "k2", "text").mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, k1 long, k2 long, node binary, n long, fp long, bands array<long>, sketch binary")
 
 
 def _with_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
@@ -408,6 +412,19 @@ def candidates(nodes: DataFrame, similarity: float, rules: NearRules, scratch: S
     return whole.unionAll(named.join(own, "node").select(F.xxhash64("root").alias("g"), "node", "n"))
 
 
+def by_fingerprint(prints: DataFrame, rules: NearRules, scratch: Scratch) -> DataFrame:
+    """(g, node, n): groups of texts that links between their SimHash fingerprints join, those of several texts.
+
+    ``prints`` has node, n and fp. Texts of one set of shingles may differ in their repeats, so a node may have several fingerprints.
+    """
+    each = scratch.table(prints.select("node", "n", "fp").distinct(), "fingerprints")
+    near = links(each.select("fp").distinct(), SimhashRules(shingle=rules.shingle, radius=rules.radius, seed=rules.seed), scratch)
+    roots = components(near, scratch).withColumnRenamed("node", "fp")
+    named = scratch.table(each.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node", "n").distinct(), "alike")
+    several = scratch.table(named.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").select("root"), "several")
+    return named.join(several, "root").select(F.xxhash64(F.lit("simhash"), "root").alias("g"), "node", "n")
+
+
 def _up_to(n: Column) -> Column:
     """0, 1, ... n - 1; none for 0."""
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
@@ -461,7 +478,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts with the same set of shingles are one node; two nodes are linked if the
     Jaccard similarity of their sets is at least ``similarity``, and a group is all
-    that links reach. Candidates share a bucket, and links are verified before any
+    that links reach. Candidates are joined by SimHash fingerprints, as in ``near_duplicates``, or, since at
+    such a similarity many pairs differ in more bits, share a bucket; links are verified before any
     groups are formed. The smallest id of a group stays (null ids only if there is
     no other), of equal ids the smallest hash of id and text, and of rows equal in both the
     one whose columns have the least hash. Null and empty texts, as all without a word, are
@@ -475,7 +493,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     nodes = prints.groupBy("node").agg(F.min(order).alias("least"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
     nodes = scratch.table(nodes.withColumn("code", F.xxhash64("node")), "nodes")
-    members = scratch.table(candidates(nodes, similarity, rules, scratch), "candidates")
+    members = by_fingerprint(prints, rules, scratch).unionAll(candidates(nodes, similarity, rules, scratch))
+    members = scratch.table(members, "candidates")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "least.k1", "least.k2")
     # rows that are equal in id and text share their keys: one of them is as good as another
     texts = inner.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text")

@@ -552,6 +552,25 @@ def test_links_through_failing_candidates_are_kept(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()) == [0, 1]
 
 
+def test_fingerprints_give_candidates(spark):
+    """Pairs that share no bucket, since the bands are made blind, but have near fingerprints; a pair of equal fingerprints that isn't alike stays."""
+    rng, fresh = random.Random(24), iter(range(10**6))
+    rules = simhash.NearRules(rows=64, miss=0.999999)
+    bands, pairs = simhash.Bands(rules, 0.8), []
+    prints = lambda w: simhash.fingerprint(simhash.shingle_hashes(" ".join(w), rules.shingle, rules.seed))
+    shared = lambda a, b: set(bands(simhash.shingle_set(" ".join(a), rules))[0]) & set(bands(simhash.shingle_set(" ".join(b), rules))[0])
+    while len(pairs) < 4:
+        a, b = family(rng, 2, 400, (3,), fresh)
+        if (prints(a) ^ prints(b)).bit_count() <= rules.radius and not shared(a, b):
+            pairs.append((a, b))
+    run = ["same"] * 300
+    unlike = [[f"a{k}" for k in range(100)] + run, run + [f"b{k}" for k in range(100)]]
+    assert prints(unlike[0]) == prints(unlike[1])
+    texts = [w for p in pairs for w in p] + unlike
+    frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame, rules=rules).collect()) == [0, 2, 4, 6, 8, 9]
+
+
 def test_recall_of_candidates():
     """Of random pairs at 0.80 or more all share a bucket and have plausible sketches."""
     rng, rules = np.random.default_rng(23), simhash.DEDUP
