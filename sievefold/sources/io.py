@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import wave
 from collections.abc import Sequence
 
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from sievefold.operators.rowid import with_row_id
 from sievefold.sources.encodings import file_encodings
+from sievefold.sources.store import Scratch
 
 ENCODINGS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
 
@@ -132,6 +135,48 @@ def to_wav(tracks: DataFrame, rate: int = 44_100) -> DataFrame:
     return tracks.groupBy("column_name").applyInPandas(run, "column_name string, wav binary")
 
 
+def to_wav_parts(tracks: DataFrame, rate: int = 44_100, span: int = 1 << 20, scratch: Scratch | None = None) -> DataFrame:
+    """K3: (column_name, part, wav) of (column_name, idx, pcm): the file that ``to_wav`` gives, cut into parts of ``span`` samples.
+
+    The first part has the header with the whole length; parts in order are the file. No task holds more than a part.
+    """
+    scratch = scratch or Scratch(tracks.sparkSession)
+    numbered = with_row_id(tracks.select("column_name", "idx", "pcm"), ["column_name", "idx"], "row", scratch)
+    sizes = F.broadcast(numbered.groupBy("column_name").agg(F.min("row").alias("start"), F.count("*").alias("n")))
+    both = numbered.join(sizes.withColumnRenamed("column_name", "own"), F.col("own").eqNullSafe(F.col("column_name")))
+    placed = both.select("column_name", "n", "pcm", (F.col("row") - F.col("start")).alias("at")).withColumn("part", F.floor(F.col("at") / span).cast("long"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, n = int(pdf["part"].iloc[0]), int(pdf["n"].iloc[0])
+        pcm = np.zeros(len(pdf), "<i2")
+        pcm[pdf["at"].to_numpy() - part * span] = pdf["pcm"].to_numpy()
+        head = wav_header(n, rate) if part == 0 else b""
+        return pd.DataFrame({"column_name": [pdf["column_name"].iloc[0]], "part": [part], "wav": [head + pcm.tobytes()]})
+
+    return placed.groupBy("column_name", "part").applyInPandas(run, "column_name string, part long, wav binary")
+
+
+def wav_header(n: int, rate: int = 44_100) -> bytes:
+    """What comes before the n samples of ``wav_bytes``."""
+    if 2 * n + 36 >= 1 << 32:
+        raise ValueError("a WAV file holds less than 4 GB")
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * n, b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", 2 * n)
+
+
+def from_wav_parts(parts: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """(column_name, idx, value) of files cut as ``to_wav_parts`` cuts them; each part is read on its own."""
+
+    def run(frames):
+        for pdf in frames:
+            for name, part, data in zip(pdf["column_name"], pdf["part"], pdf["wav"], strict=True):
+                x = np.frombuffer(data, "<i2", offset=0 if part else 44) / 32767.0
+                for at in range(0, len(x), 1 << 16):
+                    cut = x[at : at + (1 << 16)]
+                    yield pd.DataFrame({"column_name": name, "idx": part * span + at + np.arange(len(cut)), "value": cut})
+
+    return parts.select("column_name", "part", "wav").mapInPandas(run, "column_name string, idx long, value double")
+
+
 def from_wav(files: DataFrame) -> DataFrame:
     """(column_name, idx, value) of (column_name, wav)."""
 
