@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from sievefold.operators import spectral
+from sievefold.operators import spectral, vision
 from sievefold.sources import io
 
 
@@ -32,3 +32,23 @@ def test_wav_parts_are_the_file(spark):
     got = io.from_wav_parts(parts, span=64).toPandas()
     for c, v in pcm.items():
         assert np.allclose(got[got["column_name"] == c].sort_values("idx")["value"], v / 32767.0)
+
+
+def test_closing_by_tiles(spark):
+    """Any tile gives what whole-image neighbours give, holes in the image and its borders included."""
+    rng, side = np.random.default_rng(3), 23
+    cells = {(y, x): int(rng.random() < 0.15) for y in range(side) for x in range(side) if rng.random() < 0.9}
+    around = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+
+    def cross(of, how):
+        found = {}
+        for (y, x), v in of.items():
+            for dy, dx in around:
+                if 0 <= y + dy < side and 0 <= x + dx < side:
+                    found[y + dy, x + dx] = how(v, found.get((y + dy, x + dx), v))
+        return found
+
+    want = cross(cross(cells, max), min)
+    frame = spark.createDataFrame([(y, x, v) for (y, x), v in cells.items()], "y int, x int, anomaly int")
+    for tile in (1, 5, 512):
+        assert {(r["y"], r["x"]): r["anomaly"] for r in vision.close_flags(frame, side, tile=tile).collect()} == want
