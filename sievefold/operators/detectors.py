@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievefold.functions.scaling import median_impute, percentiles, robust_scale, standard_scale, with_stats
 from sievefold.operators.envelopes import covariance, envelope, mahalanobis_score, one_class
 from sievefold.operators.forest import Forest, fit_forests, fit_score
-from sievefold.operators.neighbours import knn, lof
+from sievefold.operators.neighbours import NearestRules, knn, lof, lof_and_knn
 from sievefold.operators.rowid import chunk_id
 from sievefold.sources.store import Scratch
 
@@ -288,9 +288,12 @@ class ConsensusDetector:
         scaled = standard_scale(raw, columns).select(key, *[F.col(f"{c}_std").alias(c) for c in columns])
         robust = robust_scale(raw, columns).select(key, *[F.col(f"{c}_robust").alias(c) for c in columns])
         space = {"ocsvm": scaled, "elliptic": scaled, "lof": robust, "knn": robust}
-        every = None
+        every, found = None, {}
+        if {"lof", "knn"} <= set(others) and len(columns) <= NearestRules.boxes:
+            found = dict(zip(("lof", "knn"), lof_and_knn(robust, key, columns, contamination=self.contamination), strict=True))
         for m in others:
-            one = REGISTRY[m](space[m], key, columns, contamination=self.contamination).select(key, F.lit(m).alias("method"), "score", "vote")
+            one = found[m] if m in found else REGISTRY[m](space[m], key, columns, contamination=self.contamination)
+            one = one.select(key, F.lit(m).alias("method"), "score", "vote")
             every = one if every is None else every.unionByName(one)
         wide = [F.max(F.when(F.col("method") == m, F.col("vote"))).alias(m) for m in others]
         apart = every.groupBy(key).agg(*wide, F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "score")))).alias("own_scores"))

@@ -97,3 +97,24 @@ def test_lof(spark):
     assert got[250]["vote"] == got[251]["vote"] == 1  # alone, and near a dense group
     assert neighbours.lof(frame.limit(0), "key", columns).count() == 0
     assert [r["score"] for r in neighbours.lof(frame.limit(1), "key", columns).collect()] == [1.0]
+
+
+def test_blocks_of_few_columns_meet_those_around_them(spark):
+    """Eight times the rows, and a block still meets about nine; with two pivots' rings it met most of all."""
+    for n in (1000, 8000):
+        frame, columns = table(spark, np.random.default_rng(7).random((n, 2)))
+        found = neighbours.Neighbours(frame, "key", columns, 5, NearestRules(block=16, pivots=2))
+        assert found.share_met() * found.blocks.count() < 15
+
+
+def test_scores_without_a_graph(spark):
+    """One search for both scores equals the graphs' scores, with points of more copies than neighbours and a few far away."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (150, 2)), np.full((40, 2), 3.0), rng.integers(0, 4, (60, 2)), [[1e3, 0], [0, -1e4]]])
+    frame, columns = table(spark, x)
+    boxes, wide = NearestRules(block=16), NearestRules(block=16, pivots=6, boxes=0)
+    lof, knn = ({r["key"]: r for r in f.collect()} for f in neighbours.lof_and_knn(frame, "key", columns, 20, 15, rules=boxes))
+    for got, want in ((lof, neighbours.lof(frame, "key", columns, rules=wide)), (knn, neighbours.knn(frame, "key", columns, rules=wide))):
+        want = {r["key"]: r for r in want.collect()}
+        assert len(got) == len(want) == len(x)
+        assert all(np.isclose(got[k]["score"], w["score"], rtol=1e-9) and got[k]["vote"] == w["vote"] for k, w in want.items())
