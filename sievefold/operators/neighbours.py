@@ -383,12 +383,14 @@ class Neighbours:
     def _met(self, blocks: DataFrame, more: Sequence[str], out: Callable[[Block, Found, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
         """What ``out`` makes of each held block, its neighbours and its row, once the blocks that may hold some have passed it."""
         width, pivots, k, boxed, apart_by = self.width, self.pivots, self.k, self.boxed, self.gaps
-        groups, dealt, _, parts = self._deal()
+        groups, dealt, chunks, parts = self._deal()
         held = ["points", "keys", "low", "high", *more]
         alone = F.array().cast("array<bigint>").alias("users")
         own = dealt.select("g", "chunk").distinct().join(groups.withColumnRenamed("a", "b"), "g").join(blocks, "b").select("g", "chunk", "b", alone, F.lit(-1.0).alias("gap"), *held)
         others = dealt.join(blocks, "b").select("g", "chunk", "b", "users", "gap", *held)
-        stream = own.unionAll(others).repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "gap")
+        # a task of its own for each group and chunk, so that no batch holds the blocks of several
+        task = F.pmod(F.col("g") * chunks + F.col("chunk"), F.lit(parts)).cast("int")
+        stream = own.unionAll(others).repartitionById(parts, task).sortWithinPartitions("g", "chunk", "gap")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = None

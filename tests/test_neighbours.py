@@ -118,3 +118,15 @@ def test_scores_without_a_graph(spark):
         want = {r["key"]: r for r in want.collect()}
         assert len(got) == len(want) == len(x)
         assert all(np.isclose(got[k]["score"], w["score"], rtol=1e-9) and got[k]["vote"] == w["vote"] for k, w in want.items())
+
+
+def test_a_task_holds_one_group(spark):
+    """However groups and chunks are numbered, no task gets the blocks of two, so batches don't grow with the input."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    frame, columns = table(spark, np.random.default_rng(4).random((400, 6)))
+    found = neighbours.Neighbours(frame, "key", columns, 3, NearestRules(block=8, pivots=3, held=2, passing=4))
+    made = found._met(found.blocks, (), lambda block, near, row: pa.RecordBatch.from_arrays([row.column("b")], names=["b"]), "b long")
+    tasks = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 20 and max(tasks) <= 2
