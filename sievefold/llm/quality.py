@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import WORD, keep_columns, slices, split_words
+from sievefold.llm.shared import WORD, bound_batches, keep_columns, slices, split_words, with_text
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -47,27 +47,30 @@ def suffix_array(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = rows.astype(np.int64) * (int(codes.max()) + 1) + codes
-    order = np.argsort(key, kind="stable")
-    head = np.r_[True, key[order][1:] != key[order][:-1]]
-    start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    head = np.r_[True, key[1:] != key[:-1]]
+    del key
+    start = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[order] = start
     levels = [rank]
-    pairs = np.flatnonzero(~head)  # places in the suffix array that share a word with the place before
+    pairs = np.flatnonzero(~head).astype(np.int32)  # places in the suffix array that share a word with the place before
     size = np.bincount(start, minlength=n)
-    place = np.flatnonzero(size[start] > 1)  # places still shared
+    place = np.flatnonzero(size[start] > 1).astype(np.int32)  # places still shared
+    del size, start
     active = order[place]
-    end = np.searchsorted(rows, rows, "right")
-    sa, step = order.copy(), 1
+    end = np.searchsorted(rows, rows, "right").astype(np.int32)
+    sa, step = order, 1
     while len(active):
         last = levels[-1]
-        beyond = active + step
-        second = np.where(beyond < end[active], last[np.minimum(beyond, n - 1)] + 1, 0)
+        beyond = active + np.int32(step)
+        second = np.where(beyond < end[active], last[np.minimum(beyond, np.int32(n - 1))] + np.int32(1), np.int32(0))
         first = last[active]
         by = np.lexsort((second, first))
         active, first, second = active[by], first[by], second[by]
         head = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        start = np.maximum.accumulate(np.where(head, place, 0))
+        start = np.maximum.accumulate(np.where(head, place, np.int32(0)))
         sa[place] = active
         rank = last.copy()
         rank[active] = start
@@ -193,11 +196,12 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     A null or empty text has no words and goes. Repeated rows and null ids are each judged
     alone; an empty table gives an empty result.
     """
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    inner = bound_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", rules.batch_bytes):
+        for part in slices(with_text(batches, place), "text", rules.batch_bytes):
             yield part.select(["row"]).filter(_measure(part.select(["text"]), rules).column("kept"))
 
-    kept = inner.mapInArrow(run, inner.select("row").schema)
+    kept = inner.mapInArrow(run, inner.schema)
     return kept.select("row.*")

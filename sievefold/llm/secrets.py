@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievefold.llm.shared import keep_columns, slices
+from sievefold.llm.shared import bound_batches, keep_columns, slices, with_text
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE = KINDS[:3]
@@ -213,18 +213,22 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
     judged alone; overlapping spans become one mark; an empty table gives an empty
     result; other columns keep their values, whatever their names.
     """
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    inner = bound_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(rules)
-        for part in slices(batches, "text", rules.batch_bytes):
-            texts, spans = part.column("text").to_pylist(), _scanned(part, rules, novelty)
+        for part in slices(with_text(batches, place), "text", rules.batch_bytes):
+            texts, spans, row = part.column("text").to_pylist(), _scanned(part, rules, novelty), part.column("row")
             clean = [t if not s else redact(t, s) for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(clean, pa.string())], names=["row", "text"])
+            fields = [pa.array(clean, f.type) if k == place else row.field(k) for k, f in enumerate(row.type)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["row"])
 
     done = inner.mapInArrow(run, inner.schema)
-    own = {text_col: F.col("text"), chars_col: F.length("text").cast("long")}
-    return done.select(*[own[c].alias(c) if c in own else F.col("row").getField(c).alias(c) for c in docs.columns])
+    held = {c: F.col("row").getField(c) for c in docs.columns}
+    if chars_col in held:
+        held[chars_col] = F.length(held[text_col]).cast("long")
+    return done.select(*[x.alias(c) for c, x in held.items()])
 
 
 def secret_digest(found: DataFrame) -> DataFrame:

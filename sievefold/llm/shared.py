@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievefold.sources.store import Scratch
 
-__all__ = ["Scratch", "hashable", "keep_columns", "let", "library_tokenizer", "row_keys", "slices", "split_words"]
+__all__ = ["Scratch", "bound_batches", "hashable", "keep_columns", "let", "library_tokenizer", "row_keys", "slices", "split_words", "with_text"]
 
 #: Words are maximal runs of characters other than space and \t \n \v \f \r.
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -32,8 +32,30 @@ def hashable(df: DataFrame) -> list[Column]:
     return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
 
 
+#: Bytes of rows in a batch on its way to Python. By Spark's own bound, 64 MB or 10,000 rows, the JVM and Python each hold tens of MB a task.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session bounds Arrow batches by ``ARROW_BYTES`` from now on, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df
+
+
+def with_text(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) of batches of whole rows: the text is the row's own field, so it is sent once."""
+    for batch in batches:
+        row = batch.column(0)
+        yield pa.RecordBatch.from_arrays([row, row.field(place)], names=["row", "text"])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``max_bytes`` of ``column`` or one row."""
+    """Cuts batches so that each holds about ``max_bytes`` of ``column`` or one row.
+
+    At the end the worker, which is kept for later tasks, gives back what Arrow holds free.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -45,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, "pa.Array"]:
@@ -60,7 +83,7 @@ def keep_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
     Extra columns of the input, whatever their names, can't clash.
     """
-    return df.select(*[F.col(f"`{name}`").alias(inner) for inner, name in wanted.items()])
+    return bound_batches(df).select(*[F.col(f"`{name}`").alias(inner) for inner, name in wanted.items()])
 
 
 def library_tokenizer(path: str):

@@ -172,7 +172,8 @@ def links(distinct: DataFrame, rules: SimhashRules, scratch: Scratch) -> DataFra
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return pairs.select("a", "b").mapInArrow(run, "a long, b long").filter(F.col("a") != F.col("b"))
+    # written, so that no task has a second Python worker for what reads the edges; workers are kept with their memory
+    return scratch.table(pairs.select("a", "b").mapInArrow(run, "a long, b long").filter(F.col("a") != F.col("b")), "near")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SimhashRules = SimhashRules(), scratch: Scratch | None = None) -> DataFrame:
