@@ -203,6 +203,10 @@ class ChunkScores:
         features = feature_moments(scaled, columns, float(((low - mean) / unit).min()), float(((high - mean) / unit).max()))
         return cls(contamination, mean, std, np.linalg.pinv(cov), model, features)
 
+    def lone(self, x: np.ndarray) -> np.ndarray:
+        """The forest's scores."""
+        return self.model.score((x - self.mean) / np.where(self.std == 0, 1, self.std))
+
     def __call__(self, x: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """(scores, votes) of each method; ``ends`` says where the chunks of the rows end. The forest's votes need all scores."""
         limit, d = normal_quantile(1 - self.contamination), x - self.mean

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator, Mapping, Sequence
@@ -20,6 +21,8 @@ from sievefold.sources.store import Scratch
 PRIME = (1 << 31) - 1
 #: Scores are compared to so many digits.
 DIGITS = 9
+#: So few rows go down all trees at once; for more, a tree at a time stays in the cache.
+FEW = 1024
 TREES = "forest string, tree int, node long, feature int, threshold double, size long, depth double"
 
 
@@ -129,13 +132,27 @@ class Forest:
         """Summed over the trees. Rows go down to the last level; below a leaf all nodes have its depth, so no row is left behind."""
         levels, n = height_of(self.psi), len(x)
         columns, rows, total = np.ascontiguousarray(x.T).ravel(), np.arange(n), np.zeros(n)
-        for feature, threshold, depth in zip(*self._filled(), strict=True):
+        if n <= FEW:
+            feature, threshold, depth = (a.ravel() for a in self._handed)
+            root = np.arange(len(self.feature))[:, None] * self.feature.shape[1]
+            node = np.ones((len(self.feature), n), np.intp)
+            for _ in range(levels):
+                at = root + node
+                node = 2 * node + (columns[feature[at] * n + rows] >= threshold[at])
+            for found in depth[root + node]:  # in the trees' order, as below
+                total += found
+            return total
+        for feature, threshold, depth in zip(*self._handed, strict=True):
             node = np.ones(n, np.intp)
             for _ in range(levels):
                 node = 2 * node + (columns[feature[node] * n + rows] >= threshold[node])
             total += depth[node]
         return total
 
+    @functools.cached_property
+    def _handed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._filled()
+
     def _filled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features, thresholds and depths of all trees, leaves' depths handed down to all below them."""
         depth, first = self.depth.copy(), 1

@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievefold.functions.scaling import percentiles
-from sievefold.operators.detectors import EFFECTIVE4, ChunkScores, chunk_votes, consensus
+from sievefold.operators.detectors import EFFECTIVE4, ChunkScores, consensus
 from sievefold.operators.forest import Forest
 from sievefold.operators.rowid import chunk_id
+from sievefold.sources.store import Scratch
 
-STATE = "ids array<long>, x array<double>, limit double"
+#: Of a chunk: the places in it of rows that came (32 bits each), their values until they are voted on, and then its limit.
+STATE = "places binary, x binary, limit double"
 
 
 @dataclass
@@ -29,12 +32,26 @@ class Frozen:
 
     @classmethod
     def fit(cls, df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05) -> Frozen:
-        """From all rows of a batch. ``key`` is a dense row id and columns hold no nulls."""
+        """From all rows of a batch. ``key`` is a dense row id and columns hold no nulls.
+
+        The forest's limit needs its scores only: one narrow pass, whose scores are written.
+        """
         wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
         scores = ChunkScores.fit(wide, key, columns, contamination)
-        votes = chunk_votes(wide, key, columns, EFFECTIVE4, contamination)
-        limit = percentiles(votes, [F.col("method_specific_scores")["isolation_forest"]], [1 - contamination])[0][0]
-        return cls(scores, limit if limit is not None else 0.0, wide.count())
+        if scores.model is None:
+            return cls(scores, 0.0, 0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                    yield pa.RecordBatch.from_arrays([pa.array(scores.lone(x))], names=["score"])
+
+        scratch = Scratch(df.sparkSession)
+        lone = scratch.table(wide.select(*columns).mapInArrow(run, "score double"), "lone")
+        frozen = cls(scores, percentiles(lone, ["score"], [1 - contamination])[0][0], lone.count())
+        scratch.drop()
+        return frozen
 
     def save(self, spark: SparkSession, path: str) -> None:
         s, f = self.scores, self.scores.model
@@ -65,7 +82,7 @@ def stream_consensus(stream: DataFrame, key: str, columns: Sequence[str], frozen
     scores, names = frozen.scores, list(EFFECTIVE4)
     kind = ", ".join([f"{key} long", *(f"{m} int" for m in names)])
 
-    def voted(ids: list, x: np.ndarray, limit: float | None) -> tuple[pd.DataFrame, float]:
+    def voted(ids: np.ndarray, x: np.ndarray, limit: float | None) -> tuple[pd.DataFrame, float]:
         found = scores(x, np.array([len(x)]))
         far = found["mahalanobis"][0]
         limit = float(np.percentile(far, 100 * (1 - scores.contamination))) if limit is None else limit
@@ -75,33 +92,32 @@ def stream_consensus(stream: DataFrame, key: str, columns: Sequence[str], frozen
         return pd.DataFrame({key: ids, **{m: votes[m] for m in names}}), limit
 
     def step(at: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, flat, limit = state.get if state.exists else ([], [], None)
-        ids, flat = list(ids), list(flat)
+        first = at[0] * chunk
+        held, flat, limit = state.get if state.exists else (b"", b"", None)
+        known, x = np.frombuffer(bytes(held), np.uint32), np.frombuffer(bytes(flat), float).reshape(-1, len(columns))
         if state.hasTimedOut:
-            out, limit = voted(ids, np.array(flat).reshape(-1, len(columns)), limit)
-            state.update((ids, [], limit))
+            out, limit = voted(first + known.astype(np.int64), x, limit)
+            state.update((known.tobytes(), b"", limit))
             yield out
             return
-        known, fresh = set(ids), []
+        before, values = len(known), [x]
         for pdf in frames:
-            for row in pdf[[key, *columns]].itertuples(index=False):
-                if row[0] not in known:
-                    known.add(row[0])
-                    fresh.append(row)
-        ids += [int(r[0]) for r in fresh]
-        values = [float(v) for r in fresh for v in r[1:]]
-        expected = min(chunk, frozen.rows - at[0] * chunk) if at[0] * chunk < frozen.rows else chunk
+            places = (pdf[key].to_numpy(np.int64) - first).astype(np.uint32)
+            own, where = np.unique(places, return_index=True)
+            where = np.sort(where[~np.isin(own, known)])
+            known = np.concatenate([known, places[where]])
+            values.append(pdf[list(columns)].to_numpy(float)[where])
+        x = np.concatenate(values)
+        expected = min(chunk, frozen.rows - first) if first < frozen.rows else chunk
         if limit is not None:  # late rows of a chunk that was voted on
-            flat = []
-            if fresh:
-                yield voted([int(r[0]) for r in fresh], np.array(values).reshape(-1, len(columns)), limit)[0]
-        else:
-            flat += values
-            if len(ids) >= expected:
-                out, limit = voted(ids, np.array(flat).reshape(-1, len(columns)), None)
-                flat = []
-                yield out
-        state.update((ids, flat, limit))
+            if len(x):
+                yield voted(first + known[before:].astype(np.int64), x, limit)[0]
+            x = x[:0]
+        elif len(known) >= expected:
+            out, limit = voted(first + known.astype(np.int64), x, None)
+            x = x[:0]
+            yield out
+        state.update((known.tobytes(), x.tobytes(), limit))
         if wait and limit is None:
             state.setTimeoutDuration(wait)
 
