@@ -1,4 +1,4 @@
-"""Boundaries around the bulk of the rows: robust covariance by concentration over all rows, and a kernel boundary."""
+"""Boundaries around the bulk of the rows: robust covariance by concentration over all rows, and a kernel boundary of all rows."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievefold.functions.scaling import order_statistic, percentiles
-from sievefold.operators.neighbours import squared
+from sievefold.operators import boundary
 from sievefold.operators.rowid import seeded_sample
 from sievefold.sources.store import Scratch
 
@@ -124,31 +124,19 @@ def envelope(df: DataFrame, key: str, columns: Sequence[str], contamination: flo
 # kernel boundary ----------------------------------------------------------------
 
 
-def one_class(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, sample: int = 1_000, seed: int = 42, rounds: int = 500, scratch: Scratch | None = None) -> DataFrame:
-    """(key, score, vote): kernel boundary, gamma 1 / columns, by projected gradient on a bounded sample.
+def one_class(df: DataFrame, key: str, columns: Sequence[str], contamination: float = 0.05, scratch: Scratch | None = None) -> DataFrame:
+    """(key, score, vote): kernel boundary, gamma 1 / columns, fitted to all rows (``boundary.py``).
 
-    All rows are scored, and a vote is above the quantile of all rows' scores.
+    A vote is above the quantile of all rows' scores.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    train = sample_matrix(df, key, columns, sample, seed)
-    gamma, n = 1 / len(columns), max(1, len(train))
-    kernel = lambda x, y: np.exp(-gamma * squared(x, y))
-    own, top, alpha = kernel(train, train), 1 / (contamination * n), np.full(len(train), 1 / n)
-    step = 1 / max(np.linalg.norm(own, 2), 1e-12) if len(train) else 0.0
-    for _ in range(rounds if len(train) else 0):
-        moved = alpha - step * own @ alpha
-        low, high = moved.min() - 1, moved.max()
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if np.clip(moved - mid, 0, top).sum() > 1 else (low, mid)
-        alpha = np.clip(moved - low, 0, top)
-    support, weight = train[alpha > 1e-9], alpha[alpha > 1e-9]
+    found = boundary.fit(df, columns, contamination, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-kernel(x, support) @ weight)], names=[key, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(-found.values(x), boundary.DIGITS))], names=[key, "score"])
 
     inner = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
     scored = inner.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, score double")
